@@ -15,5 +15,22 @@ SELECT questionid, id, CAST(place AS INTEGER) AS place FROM placed WHERE place <
 """
 
 
+# UTF-16 units: one for each character, one more for each above U+FFFF.
+P4_FOUND = """
+WITH items AS (
+  SELECT 'answers' AS tab, id AS rec_id, content AS t, 4000 AS most FROM answers
+  UNION ALL SELECT 'chunk', chunkid, text, 6000 FROM chunk
+), sized AS (
+  SELECT *, length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units FROM items WHERE t IS NOT NULL
+), over AS (SELECT * FROM sized WHERE units > most)
+SELECT DISTINCT tab, rec_id, 'over' AS need FROM over
+UNION
+SELECT DISTINCT tab, rec_id, 'hard' AS need FROM over
+WHERE list_max(list_transform(
+  regexp_split_to_array(t, '[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}。！？；，、…>.!?;,]'),
+  lambda x: length(x) + length(regexp_replace(x, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))) > most
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
+    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}

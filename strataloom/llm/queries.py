@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import neardup, topn
+from strataloom.llm import neardup, quality, split, topn
 from strataloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,42 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n_per_group(first, "questionid", "voteupcount", "captureseq", TOP).select("questionid", "id", "place")
 
 
+def _limits(spark: SparkSession, folder: str, tab: str, column: str) -> tuple[int, int]:
+    """The limits of one field from the fixed table of limits (one row a field)."""
+    row = table(spark, folder, "split_limits").where((F.col("tab") == tab) & (F.col("colname") == column)).first()
+    return row.max_units, row.overlap_units
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = None
+    for tab, key, column in (("answers", "id", "content"), ("chunk", "chunkid", "text")):
+        most, overlap = _limits(spark, folder, tab, column)
+        pieces = split.split_oversized(table(spark, folder, tab), [key], column, most, overlap, with_text=False, only_over=True)
+        need = F.when(F.col("longest_run") > most, F.array(F.lit("over"), F.lit("hard"))).otherwise(F.array(F.lit("over")))
+        found = pieces.where((F.col("piece") == 0) & (F.col("pieces") > 1)).select(F.lit(tab).alias("tab"), F.col(key).alias("rec_id"), F.explode(need).alias("need"))
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces of both fields, the text of each as its hash and size."""
+    out = None
+    for tab, key, column in (("answers", "id", "content"), ("chunk", "chunkid", "text")):
+        most, overlap = _limits(spark, folder, tab, column)
+        pieces = split.split_oversized(table(spark, folder, tab).dropDuplicates([key, column]), [key], column, most, overlap)
+        found = pieces.withColumn("piece_sha", F.sha2("piece_text", 256)).drop("piece_text").withColumnRenamed(key, "rec_id").withColumn("tab", F.lit(tab))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.document_forms(table(spark, folder, "documents"), "doc_id", "text").where("form <> 'prose'")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_statistics(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, folder, "answers"))
 
@@ -29,4 +65,4 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p5_found, p5_groups)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_statistics)}
