@@ -108,6 +108,20 @@ def _cells(line: str) -> tuple[str, int]:
     return "", 1
 
 
+#: Function words and characters that natural sentences hold.
+_FUNCTION = re.compile(r"\b(?:the|of|to|and|a|is|in|for|on|with|you|was)\b|[的了是在和把会有不这我要]")
+_CLAUSE = re.compile(r"[，。！？；]|[.,!?] ")
+_ODD = re.compile(r"[\t│|_\x80-\xff�ŒœŠšŽžŸƒˆ˜€™]|  |\[|锟斤拷|烫烫烫|屯屯屯|[\ue000-\uf8ff]|\.{4}|^\s*(?:[-*+•·◦‣▪●○■□◆◇➢➤✓✔☐☑☒(（#①-⑳0-9]|[a-zA-Z一二三四五六七八九十][.、)．]|第)")
+
+
+def _plain_prose(line: str) -> bool:
+    """A long line of clauses with function words and nothing odd: prose without a closer look."""
+    size = len(line)
+    if size < 40 or _ODD.search(line):
+        return False
+    return len(_CLAUSE.findall(line)) >= max(2, size // 150) and len(_FUNCTION.findall(line)) >= max(2, size // 60)
+
+
 def _repeats(words: list[str]) -> bool:
     """One word that is no common one, or one pair of words, fills the line."""
     word, times = Counter(words).most_common(1)[0]
@@ -158,14 +172,20 @@ def line_forms(text: str) -> list[tuple[str, str]]:
     lines = [x.strip("﻿").rstrip() for x in re.split(r"\r\n|\n|\r", text)]
     lines = [x for x in lines if x.strip()]
     forms: list[str] = []
-    cells = [_cells(x) for x in lines]
-    keys = [m.group(1) if (m := _KEY.match(x)) and len(m.group(2)) <= 40 and not _SENTENCE.search(m.group(2).rstrip("。.")) else None for x in lines]
+    sure = [_plain_prose(x) for x in lines]
+    if all(sure):
+        return [("prose", x) for x in lines]
+    cells = [("", 1) if s else _cells(x) for s, x in zip(sure, lines)]
+    keys = [None if s else m.group(1) if (m := _KEY.match(x)) and len(m.group(2)) <= 40 and not _SENTENCE.search(m.group(2).rstrip("。.")) else None for s, x in zip(sure, lines)]
     seen = Counter(x.strip() for x in lines)
     key_count = Counter(k for k in keys if k)
     short = _short_items(lines)
     for k, line in enumerate(lines):
+        if sure[k]:
+            forms.append("prose")
+            continue
         bare = line.strip()
-        letters = sum(c.isalnum() for c in bare)
+        letters = sum(map(str.isalnum, bare))
         odd = len(_MOJIBAKE.findall(bare))
         if odd >= 0.25 * len(bare) or (odd >= 3 and odd >= 0.1 * len(bare)) or _MOJIBAKE_ZH.search(bare):
             forms.append("junk")

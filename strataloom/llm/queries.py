@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import neardup, quality, split, topn
+from strataloom.llm import neardup, pii, quality, split, topn
 from strataloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,33 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n_per_group(first, "questionid", "voteupcount", "captureseq", TOP).select("questionid", "id", "place")
 
 
+FREE_TEXTS = (("answers", "content"), ("comments", "contentmarkdown"))
+
+
+def _common(spark: SparkSession, folder: str) -> str:
+    texts = [table(spark, folder, tab).select(F.col(column).alias("t")) for tab, column in FREE_TEXTS]
+    return pii.common_characters(texts[0].unionByName(texts[1]))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    common = _common(spark, folder)
+    parts = [
+        pii.personal_items(table(spark, folder, tab), ["id"], column, common).select(F.lit(tab).alias("tab"), F.col("id").alias("rec_id"), "kind", "start_pos")
+        for tab, column in FREE_TEXTS
+    ]
+    return parts[0].unionByName(parts[1]).where(F.col("rec_id").isNotNull()).distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with placeholders, as hash, and the kinds of what was replaced."""
+    common = _common(spark, folder)
+    parts = [
+        pii.redact(table(spark, folder, tab), ["id"], column, common).select(F.lit(tab).alias("tab"), F.col("id").alias("rec_id"), F.sha2("clean", 256).alias("clean_sha"), "kinds")
+        for tab, column in FREE_TEXTS
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _limits(spark: SparkSession, folder: str, tab: str, column: str) -> tuple[int, int]:
     """The limits of one field from the fixed table of limits (one row a field)."""
     row = table(spark, folder, "split_limits").where((F.col("tab") == tab) & (F.col("colname") == column)).first()
@@ -65,4 +92,4 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_statistics)}
