@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import neardup, pii, quality, split, topn
+from strataloom.llm import neardup, pii, quality, split, subjects, topn
 from strataloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,27 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _subject_rules(spark: SparkSession, folder: str) -> subjects.Rules:
+    texts = table(spark, folder, "answers").where("content is not null").select(F.col("content").alias("text"))
+    titles = table(spark, folder, "question").where("title is not null").select(F.col("title").alias("text"))
+    areas = [r.subject for r in table(spark, folder, "subjects").orderBy("subject").collect()]  # the fixed table of areas
+    return subjects.fit_rules(spark, table(spark, folder, "subject_samples"), texts.unionByName(titles), areas)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rules = _subject_rules(spark, folder)
+    parts = [
+        subjects.subject_areas(table(spark, folder, tab), ["id"], column, rules, title).select(F.lit(tab).alias("tab"), F.col("id").alias("rec_id"), "subject")
+        for tab, column, title in (("answers", "content", False), ("question", "title", True))
+    ]
+    return parts[0].unionByName(parts[1]).where(F.col("rec_id").isNotNull()).distinct()
+
+
+def p3_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """How many answers and titles each area has."""
+    return p3_found(spark, folder).groupBy("tab", "subject").agg(F.count(F.lit(1)).alias("items"))
+
+
 def _limits(spark: SparkSession, folder: str, tab: str, column: str) -> tuple[int, int]:
     """The limits of one field from the fixed table of limits (one row a field)."""
     row = table(spark, folder, "split_limits").where((F.col("tab") == tab) & (F.col("colname") == column)).first()
@@ -92,4 +113,4 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_statistics)}
