@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import neardup, pii, quality, split, subjects, topn
+from strataloom.llm import neardup, packing, pii, quality, split, subjects, topn
 from strataloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,19 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def _kinds(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """The fixed table of containers."""
+    return [(r.bin_kind, r.capacity_tokens) for r in table(spark, folder, "pack_bins").orderBy("capacity_tokens", "bin_kind").collect()]
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text", _kinds(spark, folder))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, folder), table(spark, folder, "pack_bins"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.document_forms(table(spark, folder, "documents"), "doc_id", "text").where("form <> 'prose'")
 
@@ -113,4 +126,4 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_fill, p8_found, p8_statistics)}
