@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import neardup, packing, pii, quality, split, subjects, topn
+from strataloom.llm import mixing, neardup, packing, pii, quality, split, subjects, topn
 from strataloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,14 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, folder), table(spark, folder, "pack_bins"))
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.document_forms(table(spark, folder, "documents"), "doc_id", "text").where("form <> 'prose'")
 
@@ -126,4 +134,4 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_fill, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_statistics)}
