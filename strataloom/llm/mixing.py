@@ -189,6 +189,12 @@ class Mix:
         width = len(self.sources)
         rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").alias("text"))
         kind = rows.schema["key"].dataType.simpleString()
+        if not width:  # no source is wanted
+            self.aim = share
+            self.copies = rows.where(F.lit(False)).select(
+                "key", "source", F.col("source").alias("domain"), F.lit(0).alias("tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies")
+            )
+            return
         self.base = written(rows.mapInArrow(_features, f"key {kind}, source string, tokens int, features binary"), "features")
         labelled = self.base.where(F.col("source").isin(self.sources)).select("source", "features")
         counts = np.zeros((width, (1 << CLASS_BITS) + 1))
