@@ -37,39 +37,50 @@ CHECKS = (
 )
 
 
+def capture_counts(answers: DataFrame) -> DataFrame:
+    """For each question its rows, the rows beyond the first of an id, and the ids that are none (``question_id``, ``id``).
+
+    Counted per id first, so that a question with a third of all rows is spread over its ids.
+    """
+    per_id = answers.groupBy("question_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    bad = ~F.coalesce(tx.valid_id("id"), F.lit(False))
+    return per_id.groupBy("question_id").agg(
+        F.sum("n").alias("answers"), F.sum(F.when(F.col("id").isNotNull(), F.col("n") - 1).otherwise(0)).alias("duplicates"), F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("bad_ids")
+    )
+
+
 def acceptance(captures: DataFrame) -> DataFrame:
     """For each capture ``valid``, the counts and the ``warnings``.
 
-    ``captures``: ``directory_id``, ``question_id``, ``bare_array``, ``answer_ids`` array (null if not an array),
-    ``reported_count``, ``done`` (null if there is no progress), ``markdown`` (null if missing), ``corrupt_files``,
-    ``failed``. A count that differs from the reported one is a warning only.
+    ``captures``: ``directory_id``, ``question_id``, ``bare_array``, ``answers`` (null if they are no array),
+    ``duplicates``, ``bad_ids`` (see ``capture_counts``), ``reported_count``, ``done`` (null without progress),
+    ``markdown`` (null if missing), ``corrupt_files``, ``failed``. A count that differs from the reported one is a
+    warning only.
     """
-    n = F.coalesce(F.size("answer_ids"), F.lit(0))
-    count = F.when(n < 0, 0).otherwise(n)
-    bad = F.size(F.filter("answer_ids", lambda i: ~F.coalesce(tx.valid_id(i), F.lit(False))))
-    duplicates = count - F.size(F.array_distinct(F.coalesce("answer_ids", F.array().cast("array<string>"))))
+    count = F.coalesce("answers", F.lit(0))
     frames = frame_count(F.col("markdown"))
+    shown = F.coalesce(tx.trim("markdown"), F.lit(""))
     tests = {
         "bare_array": F.coalesce("bare_array", F.lit(False)),
         "question_id_missing": F.coalesce(tx.trim("question_id"), F.lit("")) == "",
         "question_id_mismatch": F.col("question_id").isNotNull() & (F.col("question_id") != F.col("directory_id")),
-        "answers_not_array": F.col("answer_ids").isNull(),
+        "answers_not_array": F.col("answers").isNull(),
         "no_answers": count == 0,
-        "bad_answer_id": F.coalesce(bad, F.lit(0)) > 0,
-        "duplicate_ids": duplicates > 0,
+        "bad_answer_id": F.coalesce("bad_ids", F.lit(0)) > 0,
+        "duplicate_ids": F.coalesce("duplicates", F.lit(0)) > 0,
         "progress_missing": F.col("done").isNull(),
         "not_done": ~F.coalesce("done", F.lit(True)),
-        "markdown_missing": F.coalesce(tx.trim("markdown"), F.lit("")) == "",
-        "frame_mismatch": (count > 0) & (F.coalesce(tx.trim("markdown"), F.lit("")) != "") & (frames != count),
+        "markdown_missing": shown == "",
+        "frame_mismatch": (count > 0) & (shown != "") & (frames != count),
         "corrupt_file": F.coalesce("corrupt_files", F.lit(0)) > 0,
         "marked_failed": F.coalesce("failed", F.lit(False)),
     }
-    mismatch = F.col("reported_count").isNotNull() & (F.col("reported_count") != count)
+    mismatch = F.coalesce(F.col("reported_count") != count, F.lit(False))
     listed = F.array_compact(F.array(*[F.when(tests[c], F.lit(c)) for c in CHECKS], F.when(mismatch, F.lit("count_mismatch"))))
     errors = F.array_remove(listed, "count_mismatch")
     return captures.select(
         "directory_id", (F.size(errors) == 0).alias("valid"), count.cast("long").alias("captured"), F.col("reported_count").alias("reported"), mismatch.alias("count_mismatch"),
-        duplicates.cast("long").alias("duplicates"), frames.cast("long").alias("frames"), listed.alias("warnings"),
+        F.coalesce("duplicates", F.lit(0)).cast("long").alias("duplicates"), frames.cast("long").alias("frames"), listed.alias("warnings"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import html, urls
 from strataloom.functions import text as tx
 from strataloom.operators.chunking import ANONYMOUS, excerpt
+from strataloom.operators.packing import numbered
 
 RULE = "=" * 68
 
@@ -18,8 +19,8 @@ def _joined(order: str, value: str):
 
 def answer_blocks(answers: DataFrame, base: str, link_name: str = "回答", site: urls.Site = urls.Site()) -> DataFrame:
     """The block of each answer with its rank by votes (ties in capture order): ``questionid``, ``rank``, ``block``."""
-    rank = F.row_number().over(Window.partitionBy("questionid").orderBy(F.desc(F.coalesce("voteupcount", F.lit(0))), "captureseq"))
-    ranked = answers.where(F.col("questionid").isNotNull() & F.col("id").isNotNull()).withColumn("rank", rank)
+    named = answers.where(F.col("questionid").isNotNull() & F.col("id").isNotNull())
+    ranked = numbered(named, "questionid", [-F.coalesce("voteupcount", F.lit(0)), F.col("captureseq")])
     author = tx.escape_markdown(F.when(F.coalesce("author", F.lit("")) == "", ANONYMOUS).otherwise(F.col("author")))
     block = F.concat(
         F.lit("## "), F.col("rank").cast("string"), F.lit(". "), author, F.lit(" — "), F.coalesce("voteupcount", F.lit(0)).cast("string"), F.lit(" 赞 · "),

@@ -174,9 +174,14 @@ def coverage_report(found: DataFrame) -> DataFrame:
 
 
 def set_hash(df: DataFrame, name: str, body: str) -> DataFrame:
-    """One hash of a set of named texts, independent of their order. Rows are hashed first, so little is gathered."""
-    lines = df.select(F.concat(F.col(name), F.lit(":"), F.sha2(F.col(body), 256)).alias("line"))
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("set_hash"), F.count(F.lit(1)).alias("members"))
+    """One hash of a set of named texts, independent of their order: the hash of the sums of the members' hashes.
+
+    Sums need no sorted list of all members, so nothing is gathered.
+    """
+    member = df.select(F.sha2(F.concat(F.col(name), F.lit(":"), F.sha2(F.col(body), 256)), 256).alias("h"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"p{k}") for k in range(4)]
+    sums = member.agg(*parts, F.count(F.lit(1)).alias("members"))
+    return sums.select(F.sha2(F.concat_ws(":", "p0", "p1", "p2", "p3", F.col("members").cast("string")), 256).alias("set_hash"), "members")
 
 
 def final_report(claims: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as tx
+from strataloom.operators.packing import numbered
 
 SAFE_INTEGER = 2**53 - 1
 #: Pages per question, comments kept per answer, answers whose comments are read.
@@ -49,8 +50,8 @@ def duplicate_ids(df: DataFrame, group: str, key: str) -> DataFrame:
 
 def repeated_pages(df: DataFrame, group: str, key: str, order: str, page_size: int = 20) -> DataFrame:
     """Pages of a capture whose first five ids are those of the page before."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    paged = df.withColumn("page", F.floor(place / page_size).cast("long")).withColumn("_slot", place % page_size)
+    place = F.col("_place") - 1
+    paged = numbered(df, group, [order], "_place").withColumn("page", F.floor(place / page_size).cast("long")).withColumn("_slot", place % page_size)
     first = paged.where(F.col("_slot") < 5).groupBy(group, "page").agg(F.array_sort(F.collect_list(F.struct("_slot", F.col(key).alias("k")))).alias("_head"))
     mark = first.select(group, "page", F.array_join(F.transform("_head", lambda x: x["k"]), ",", "").alias("fingerprint"))
     before = F.lag("fingerprint").over(Window.partitionBy(group).orderBy("page"))

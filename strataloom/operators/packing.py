@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,7 +115,7 @@ def _assign(most: int, items: int):
     return run
 
 
-def greedy_pack(df: DataFrame, group: str, order: list[str], length: str, max_chars: int, max_items: int = UNLIMITED, number: str = "chunk_no") -> DataFrame:
+def greedy_pack(df: DataFrame, group: str, order: list[str | Column], length: str | Column, max_chars: int, max_items: int = UNLIMITED, number: str = "chunk_no") -> DataFrame:
     """``df`` with the number, from 1 in each group, of the chunk each row falls into.
 
     In ``order`` a row opens a new chunk if there is none, if the open one would exceed ``max_chars`` or already
@@ -129,8 +129,8 @@ def greedy_pack(df: DataFrame, group: str, order: list[str], length: str, max_ch
     """
     if max_chars < 1 or max_items < 1:
         raise ValueError("limits must be at least 1")
-    keys = [F.coalesce(F.col(group).cast("string"), F.lit("\x00")).alias("_group"), F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("_length")]
-    rows = df.select(F.struct(*df.columns).alias("_row"), *keys, *[F.col(c).alias(f"_order{k}") for k, c in enumerate(order)])
+    keys = [F.coalesce(F.col(group).cast("string"), F.lit("\x00")).alias("_group"), F.coalesce(_column(length).cast("long"), F.lit(0)).alias("_length")]
+    rows = df.select(F.struct(*df.columns).alias("_row"), *keys, *[_column(c).alias(f"_order{k}") for k, c in enumerate(order)])
     ranked = [F.col(f"_order{k}") for k in range(len(order))]
     blocks = max(1, -(-df.count() // BLOCK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     laid = rows.repartitionByRange(blocks, "_group", *ranked).sortWithinPartitions("_group", *ranked)
@@ -144,9 +144,15 @@ def greedy_pack(df: DataFrame, group: str, order: list[str], length: str, max_ch
     return numbered.select("_row.*", F.col("_number").alias(number))
 
 
-def pack_by_count(df: DataFrame, group: str, order: list[str], size: int, number: str = "volume_no") -> DataFrame:
+def _column(value: str | Column) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def pack_by_count(df: DataFrame, group: str, order: list[str | Column], size: int, number: str = "volume_no") -> DataFrame:
     """Volumes of ``size`` rows each, in ``order``; the last one may hold fewer."""
-    if size < 1:
-        raise ValueError("size must be at least 1")
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(number, (F.floor((place - 1) / size) + 1).cast("long"))
+    return greedy_pack(df, group, order, F.lit(0), 1, size, number)
+
+
+def numbered(df: DataFrame, group: str, order: list[str | Column], number: str = "rank") -> DataFrame:
+    """The place of each row in its group, from 1, without one task for a group: volumes of one row each."""
+    return pack_by_count(df, group, order, 1, number)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as tx
 from strataloom.operators.chunking import excerpt
+from strataloom.operators.packing import numbered
 
 #: The places of a sample as shares of the rows.
 PLACES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def ranked(df: DataFrame, group: str, score: str, order: str) -> DataFrame:
-    """The rank of each row in its group; null scores last, ties in ``order``."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(score), F.asc(order))))
+    """The rank of each row in its group; null scores last, ties in ``order``. No task holds a whole group."""
+    return numbered(df, group, [F.col(score).isNull(), -F.col(score), F.col(order)])
 
 
 def top_per_group(df: DataFrame, group: str, score: str, order: str, n: int = 6) -> DataFrame:
@@ -24,7 +25,8 @@ def top_per_group(df: DataFrame, group: str, score: str, order: str, n: int = 6)
     """
     if not 1 <= n <= 100:
         raise ValueError("n must be from 1 to 100")
-    return ranked(df, group, score, order).where(F.col("rank") <= n)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(score), F.asc(order)))
+    return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def popular_sample(df: DataFrame, group: str, score: str, order: str, text: str, n: int = 6, max_chars: int = 1300) -> DataFrame:
@@ -40,13 +42,12 @@ def place_sample(df: DataFrame, group: str, order: str, k: int = 5) -> DataFrame
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     wanted = F.array_distinct(F.array(*[F.floor((F.col("_n") - 1) * p) for p in PLACES[: max(1, min(k, 5))]]))
     filled = F.array_union(wanted, F.filter(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n") - 1, F.lit(k + 5).cast("long"))), lambda x: ~F.array_contains(wanted, x)))
     chosen = sizes.select(F.col(group).alias("_g"), F.slice(filled, 1, k).alias("_chosen"))
-    numbered = df.withColumn("place", place)
-    return numbered.join(chosen, F.col(group).eqNullSafe(F.col("_g"))).where(F.array_contains("_chosen", F.col("place").cast("long"))).drop("_g", "_chosen")
+    placed = numbered(df, group, [order], "_place").withColumn("place", F.col("_place") - 1).drop("_place")
+    return placed.join(chosen, F.col(group).eqNullSafe(F.col("_g"))).where(F.array_contains("_chosen", F.col("place"))).drop("_g", "_chosen")
 
 
 def top_percent(df: DataFrame, group: str, score: str, percent: int) -> DataFrame:

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from strataloom.plans import corpus, oracles
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    answers = spark.read.parquet(f"{folder}/answers.parquet")
-    return answers.groupBy("questionid").agg(F.count(F.lit(1)).alias("n"))
+    """The popular sample of every source."""
+    return corpus.QUERIES["popular_sample"](spark, folder)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, corpus.Query]:
+    return dict(corpus.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
