@@ -6,11 +6,14 @@ no-break spaces and the byte order mark, a length counts UTF-16 units.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the whitespace of the web's scripting language, as a regex class body.
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Fixed value: control characters that are dropped or marked (tab and line ends stay).
 CONTROL = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F"
 #: Fixed value: characters that carry meaning in Markdown.
@@ -24,9 +27,14 @@ def _col(value: Text) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(value: Text) -> Column:
     """Without whitespace at both ends (§1.4-2)."""
-    return F.regexp_replace(_col(value), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(_col(value), F.lit(WS_CHARS))
 
 
 def utf16_length(value: Text) -> Column:
@@ -39,8 +47,6 @@ def decode_entities(value: Text) -> Column:
 
     Each part of the text begins with at most one entity, so no decoded text is read again.
     """
-    text = _col(value)
-    parts = F.split(text, r"(?i)(?=&(?:#\d+|#x[\da-f]+|amp|lt|gt|quot|apos|nbsp);)")
 
     def one(part: Column) -> Column:
         name = F.lower(F.regexp_extract(part, r"(?i)^&(#\d+|#x[\da-f]+|amp|lt|gt|quot|apos|nbsp);", 1))
@@ -62,8 +68,12 @@ def decode_entities(value: Text) -> Column:
             .otherwise(part)
         )
 
-    # most texts hold no entity and skip the parts
-    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    def decoded(text: Column) -> Column:
+        parts = F.split(text, r"(?i)(?=&(?:#\d+|#x[\da-f]+|amp|lt|gt|quot|apos|nbsp);)")
+        # most texts hold no entity and skip the parts
+        return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+    return let(_col(value), decoded)
 
 
 def escape_raw_html(value: Text) -> Column:
@@ -112,7 +122,7 @@ def safe_text(value: Text) -> Column:
 
 def collapse_whitespace(value: Text) -> Column:
     """Runs of whitespace as one space, none at the ends."""
-    return trim(F.regexp_replace(_col(value), rf"[{WS}]+", " "))
+    return trim(F.regexp_replace(F.translate(_col(value), WS_CHARS, " " * len(WS_CHARS)), " {2,}", " "))
 
 
 def normalize_author(value: Text) -> Column:

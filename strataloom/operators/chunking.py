@@ -47,14 +47,19 @@ def split_long(value: Column, limit: int) -> Column:
 
 def excerpt(value: Column, limit: int) -> Column:
     """F8: a text cut to the limit, at the last end beyond 60 percent of it if there is one."""
-    window = F.substring(value, 1, limit)
 
-    def last(end: str) -> Column:
-        at = F.instr(F.reverse(window), end[::-1])
-        return F.when(at > 0, F.length(window) - at - len(end) + 1).otherwise(-1)
+    def cutted(text: Column) -> Column:
+        window = F.substring(text, 1, limit)
 
-    best = F.greatest(*[last(e) for e in ENDS])
-    return F.when(F.length(value) <= limit, value).when(best > LEAST * limit, F.substring(window, F.lit(1), best + 1)).otherwise(window)
+        def last(end: str) -> Column:
+            at = F.instr(F.reverse(window), end[::-1])
+            return F.when(at > 0, F.length(window) - at - len(end) + 1).otherwise(-1)
+
+        best = F.greatest(*[last(e) for e in ENDS])
+        whole = tx.let(best, lambda b: F.when(b > LEAST * limit, F.substring(window, F.lit(1), b + 1)).otherwise(window))
+        return F.when(F.length(text) <= limit, text).otherwise(whole)
+
+    return tx.let(value, cutted)
 
 
 def source_id(question: Column, answer: Column) -> Column:

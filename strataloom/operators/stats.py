@@ -28,12 +28,22 @@ def totals(stats: DataFrame) -> DataFrame:
 def fragments(normal: Column) -> Column:
     """Up to three parts of a text (front, middle, end) by sentences, without addresses, each of at least 20 characters."""
     parts = F.split(tx.collapse_whitespace(normal), r"(?<=[。！？!?])")
-    clean = F.transform(parts, lambda s: tx.collapse_whitespace(F.regexp_replace(s, r"(?i)https?://\S+", " ")))
-    some = F.filter(clean, lambda s: s != "")
-    n = F.size(some)
-    third = F.ceil(n / 3).cast("int")
-    groups = F.when(n >= 3, F.array(F.slice(some, F.lit(1), third), F.slice(some, third + 1, F.greatest(n - 2 * third, F.lit(0))), F.slice(some, n - third + 1, third))).otherwise(F.array(some))
-    return F.filter(F.array_distinct(F.transform(groups, lambda g: tx.trim(F.array_join(g, " ")))), lambda s: F.length(s) >= 20)
+
+
+    def clean_sentence(s: Column) -> Column:
+        without = tx.collapse_whitespace(F.regexp_replace(s, r"(?i)https?://\S+", " "))
+        return F.when(F.contains(F.lower(s), F.lit("http")), without).otherwise(tx.trim(s))
+
+    clean = F.transform(parts, clean_sentence)
+
+    def grouped(some: Column) -> Column:
+        n = F.size(some)
+        third = F.ceil(n / 3).cast("int")
+        three = F.array(F.slice(some, F.lit(1), third), F.slice(some, third + 1, F.greatest(n - 2 * third, F.lit(0))), F.slice(some, n - third + 1, third))
+        return F.transform(F.when(n >= 3, three).otherwise(F.array(some)), lambda g: tx.trim(F.array_join(g, " ")))
+
+    groups = tx.let(F.filter(clean, lambda s: s != ""), grouped)
+    return F.filter(F.array_distinct(groups), lambda s: F.length(s) >= 20)
 
 
 def content_matched(original: Column, shown: Column) -> Column:
@@ -41,9 +51,15 @@ def content_matched(original: Column, shown: Column) -> Column:
 
     One of up to two, two thirds of three; a text without fragments must occur whole and have 8 characters.
     """
-    normal, hay = tx.normalize_html(original), tx.collapse_whitespace(F.coalesce(shown, F.lit("")))
-    found = fragments(normal)
-    hits = F.size(F.filter(found, lambda f: F.contains(hay, f)))
-    need = F.when(F.size(found) <= 2, 1).otherwise(F.ceil(F.size(found) * 2 / 3))
-    whole = tx.collapse_whitespace(F.regexp_replace(normal, r"(?i)https?://\S+", " "))
-    return F.when(normal == "", F.lit(False)).when(F.size(found) == 0, (F.length(whole) >= 8) & F.contains(hay, whole)).otherwise(hits >= need)
+    hay = tx.collapse_whitespace(F.coalesce(shown, F.lit("")))
+
+    def judged(x: Column) -> Column:
+        found, size = x["found"], F.size(x["found"])
+        hits = F.size(F.filter(found, lambda f: F.contains(x["hay"], f)))
+        need = F.when(size <= 2, 1).otherwise(F.ceil(size * 2 / 3))
+        whole = tx.collapse_whitespace(F.regexp_replace(x["normal"], r"(?i)https?://\S+", " "))
+        short = (F.length(whole) >= 8) & F.contains(x["hay"], whole)
+        return F.when(x["normal"] == "", F.lit(False)).when(size == 0, short).otherwise(hits >= need)
+
+    parts = tx.let(tx.normalize_html(original), lambda n: F.struct(n.alias("normal"), fragments(n).alias("found"), hay.alias("hay")))
+    return tx.let(parts, judged)
