@@ -19,8 +19,8 @@ def _whole(spark: SparkSession, paths: list[str], pattern: str) -> DataFrame:
     there = sorted({p if "://" in p else os.path.abspath(p) for p in paths if "://" in p or os.path.exists(p)})
     if not there:
         return spark.createDataFrame([], "path string, text string")
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.text(there).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.text(there, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
 
 
 def text_documents(spark: SparkSession, paths: list[str], pattern: str = "*.{md,json,txt}") -> DataFrame:

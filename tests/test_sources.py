@@ -63,7 +63,7 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_question_documents_in_two_shapes(spark, tmp_path):
-    for name, text in (("7", '{"questionId":"7","questionTitle":"t","answers":[{"id":"1","voteupCount":3},{"id":"2"}]}'), ("8", '[{"id":"5","content":"x"}]'), ("9", "{broken")):
+    for name, text in (("7", '{"questionId":"7",\n"questionTitle":"t",\n"answers":[{"id":"1","voteupCount":3},{"id":"2"}]}'), ("8", '[{"id":"5","content":"x"}]'), ("9", "{broken")):
         (tmp_path / name).mkdir()
         (tmp_path / name / "answers.json").write_text(text)
     docs = files.question_documents(spark, [str(tmp_path), str(tmp_path / "none")], skip_corrupt=True)
