@@ -17,7 +17,7 @@ from strataloom.llm.tables import written
 #: in either collection, so SIDE * SIDE tables from 2 * SIDE * ROWS minhashes. A true pair at similarity s is
 #: missed with probability of about 2 * (1 - s**ROWS)**SIDE.
 WIDTH, THRESHOLD, SHORTEST = 10, 0.6, 80
-SIDE, ROWS = 16, 3
+SIDE, ROWS = 20, 3
 #: Tables with more rows than this are joined by Spark instead of within one task; nothing is dropped.
 IN_TASK = 1500
 #: Classes of exact copies up to this size come out as all their pairs; of larger ones each copy is paired with
