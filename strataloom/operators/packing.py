@@ -12,6 +12,8 @@ from strataloom.shared import written
 
 #: Rows of a block; a block is what one task holds.
 BLOCK_ROWS = 1_000_000
+#: Rows from which another block is worth its task.
+SMALL_BLOCK = 5_000
 UNLIMITED = 2**31 - 1
 
 
@@ -132,7 +134,9 @@ def greedy_pack(df: DataFrame, group: str, order: list[str | Column], length: st
     keys = [F.coalesce(F.col(group).cast("string"), F.lit("\x00")).alias("_group"), F.coalesce(_column(length).cast("long"), F.lit(0)).alias("_length")]
     rows = df.select(F.struct(*df.columns).alias("_row"), *keys, *[_column(c).alias(f"_order{k}") for k, c in enumerate(order)])
     ranked = [F.col(f"_order{k}") for k in range(len(order))]
-    blocks = max(1, -(-df.count() // BLOCK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = df.count()
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-size // BLOCK_ROWS), min(parallel, -(-size // SMALL_BLOCK)))
     laid = rows.repartitionByRange(blocks, "_group", *ranked).sortWithinPartitions("_group", *ranked)
     laid = laid.withColumn("_block", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()).drop(*[f"_order{k}" for k in range(len(order))])
     laid = written(laid, "blocks")

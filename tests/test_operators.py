@@ -17,7 +17,8 @@ def greedy(lengths, most, items):
 
 
 @pytest.mark.parametrize("most,items", [(100, 7), (100, packing.UNLIMITED), (1, 3), (10_000, 40)])
-def test_greedy_pack_in_blocks_is_that_of_one_pass(spark, most, items):
+def test_greedy_pack_in_blocks_is_that_of_one_pass(spark, monkeypatch, most, items):
+    monkeypatch.setattr(packing, "SMALL_BLOCK", 100)
     rng = random.Random(most + items % 97)
     rows = [(k, "hot" if rng.random() < 0.6 else rng.choice(["a", "b", None]), rng.choice([0, 1, 5, 30, 90, 250])) for k in range(3000)]
     df = spark.createDataFrame(rows, "k int, g string, n int").withColumn("chunk_no_", F.lit(1)).repartition(9)
