@@ -399,10 +399,10 @@ def assets(source: str | None, site: urls.Site = urls.Site()) -> dict:
     return {"images": found.images, "links": found.links, "references": found.references, "code_blocks": found.code, "videos": []}
 
 
-ASSETS = (
-    "images array<struct<host:string,original_url:string,width:bigint,height:bigint,caption:string,clickable:boolean,security_class:string>>,"
-    "links array<struct<original_url:string,canonical_url:string,domain:string,clickable:boolean,security_class:string,redirect_target:string>>,"
-    "references array<struct<source_numero:string,text:string>>,code_blocks array<struct<language:string,lines:bigint>>,videos array<string>"
+ASSETS_TYPE = (
+    "struct<images:array<struct<host:string,original_url:string,width:bigint,height:bigint,caption:string,clickable:boolean,security_class:string>>,"
+    "links:array<struct<original_url:string,canonical_url:string,domain:string,clickable:boolean,security_class:string,redirect_target:string>>,"
+    "references:array<struct<source_numero:string,text:string>>,code_blocks:array<struct<language:string,lines:bigint>>,videos:array<string>>"
 )
 
 
@@ -420,7 +420,7 @@ def rich_markdown(html: Column, answer_id: Column, heading_offset: int = 2, site
 def extract_assets(html: Column, site: urls.Site = urls.Site()) -> Column:
     """H50-H56 over a column, as one struct of arrays; null counts as empty."""
 
-    @F.udf(f"struct<{re.sub(r'(^|,)([a-z_]+) array', r'\1\2:array', ASSETS)}>", useArrow=True)
+    @F.udf(ASSETS_TYPE, useArrow=True)
     def run(text: str | None):
         return assets(text, site)
 

@@ -276,6 +276,7 @@ def classify_answer(raw: str | None, question: str | None, answer: str | None, s
 # ---------------------------------------------------------------- Columns
 
 _CLASS = "clickable boolean, security_class string, canonical_url string, display_host string, reason string, redirect_target string"
+CLASS_TYPE = _CLASS.replace(" ", ":").replace(",:", ",")
 _IMAGE = "host string, original_url string, clickable boolean, security_class string, reason string"
 
 

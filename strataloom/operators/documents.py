@@ -50,8 +50,7 @@ def digest_document(claims: DataFrame, minority: DataFrame, uncertain: DataFrame
 
     A claim of blank text keeps its number but is not shown.
     """
-    number = F.row_number().over(Window.orderBy("first_seq"))
-    shown = claims.withColumn("number", number).withColumn("safe", tx.safe_text("text")).where(F.col("safe") != "")
+    shown = numbered(claims.withColumn("_all", F.lit("")), "_all", ["first_seq"], "number").withColumn("safe", tx.safe_text("text")).where(F.col("safe") != "")
     sources = F.array_join(F.transform("evidence", lambda s: F.concat(F.lit("["), s, F.lit("]"))), " ")
     sure = tx.safe_text("confidence")
     line = F.concat(
@@ -62,7 +61,8 @@ def digest_document(claims: DataFrame, minority: DataFrame, uncertain: DataFrame
     def listed(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.select(F.col("first_seq").alias("o"), F.concat(F.lit("- "), tx.safe_text(column)).alias("line")).agg(_joined("o", "line").alias(name))
 
-    joined = parts.join(listed(minority, "minority_view", "views")).join(listed(uncertain, "uncertainty", "doubts"))  # one row each
+    rows = parts.unionByName(listed(minority, "minority_view", "views"), True).unionByName(listed(uncertain, "uncertainty", "doubts"), True)  # one row each
+    joined = rows.agg(*[F.any_value(c, True).alias(c) for c in rows.columns])
 
     def part(title: str, column: str):
         return F.when(F.coalesce(column, F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), column, F.lit("\n\n"))).otherwise("")

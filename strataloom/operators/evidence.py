@@ -193,14 +193,16 @@ def final_report(claims: DataFrame, inputs: DataFrame) -> DataFrame:
     cites = F.coalesce(F.size("evidence_source_ids"), F.lit(0)) > 0
     refs = claims.where(has_text & cites).select("claim_no", F.explode("evidence_source_ids").alias("source_id"))
     known = inputs.select("source_id").distinct().withColumn("known", F.lit(True))
-    judged = refs.join(known, "source_id", "left").agg(F.count("known").alias("valid_refs"), F.count_if(F.col("known").isNull()).cast("long").alias("invalid_refs"))
-    shape = claims.agg(
-        F.count(F.lit(1)).alias("claims"),
-        F.count_if(~has_text | ~cites).cast("long").alias("claims_without_evidence"),
-        F.count_if(has_text & F.col("confidence").isNotNull() & ~F.col("confidence").isin(*CONFIDENCE)).cast("long").alias("bad_confidence"),
+    judged = refs.join(known, "source_id", "left").select(
+        F.lit(0).alias("claims"), F.lit(0).alias("claims_without_evidence"), F.lit(0).alias("bad_confidence"), F.col("known").isNotNull().cast("int").alias("valid_refs"), F.col("known").isNull().cast("int").alias("invalid_refs")
     )
-    joined = shape.join(judged)  # one row each
-    return joined.withColumn("valid", (F.col("claims") > 0) & (F.col("claims_without_evidence") == 0) & (F.col("bad_confidence") == 0) & (F.col("invalid_refs") == 0))
+    unsure = has_text & F.col("confidence").isNotNull() & ~F.col("confidence").isin(*CONFIDENCE)
+    shape = claims.select(
+        F.lit(1).alias("claims"), (~has_text | ~cites).cast("int").alias("claims_without_evidence"), unsure.cast("int").alias("bad_confidence"), F.lit(0).alias("valid_refs"), F.lit(0).alias("invalid_refs")
+    )
+    both = shape.unionByName(judged)
+    sums = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in both.columns])
+    return sums.withColumn("valid", (F.col("claims") > 0) & (F.col("claims_without_evidence") == 0) & (F.col("bad_confidence") == 0) & (F.col("invalid_refs") == 0))
 
 
 def run_map(chunks: DataFrame, function: Callable, schema: str) -> DataFrame:

@@ -80,4 +80,19 @@ def final_document(merged: DataFrame, minority: DataFrame, uncertain: DataFrame,
     claims = listed(merged, F.struct("text", F.col("evidence").alias("evidence_source_ids"), "confidence"), "claims")
     views = listed(minority, F.col("minority_view"), "minority_views")
     doubts = listed(uncertain, F.col("uncertainty"), "uncertainties")
-    return claims.join(views).join(doubts).select(F.lit(1).alias("schema_version"), F.lit(inputs).alias("input_count"), F.lit(chunks).alias("chunk_count"), "*")
+    rows = claims.unionByName(views, True).unionByName(doubts, True)  # one row each
+    return rows.agg(*[F.any_value(c, True).alias(c) for c in rows.columns]).select(
+        F.lit(1).alias("schema_version"), F.lit(inputs).alias("input_count"), F.lit(chunks).alias("chunk_count"), "*"
+    )
+
+
+def merge_levels(claims: DataFrame, sources: DataFrame, groups: DataFrame) -> DataFrame:
+    """K3: claims merged within each group of chunks first and then over all, with the lineage of every merged claim.
+
+    ``claims``: also ``chunk_id``; ``groups``: ``chunk_id``, ``group_id``. The result is that of ``merge_claims`` with
+    ``lineage``, the groups the claim came from in order; a chunk without a group forms its own.
+    """
+    named = claims.join(groups, "chunk_id", "left").withColumn("group_id", F.coalesce("group_id", "chunk_id")).withColumn("text", tx.trim("claim")).where(F.col("text") != "")
+    lower = named.groupBy("text", "group_id").agg(F.min("seq").alias("seq"))
+    lineage = lower.groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "group_id"))), lambda x: x["group_id"]).alias("lineage"))
+    return merge_claims(claims.drop("chunk_id"), sources).join(lineage, "text")

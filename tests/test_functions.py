@@ -186,3 +186,17 @@ def test_columns(spark):
     assert rows[0].m.startswith("a [打开") and rows[1].m == "" and rows[0].a.code_blocks[0].lines == 2 and rows[0].u is None and rows[0].g.clickable
     text = df.select(html.project_code(html.rich_markdown(F.col("h"), F.col("i"))).alias("m")).first().m
     assert "[CODE_BLOCK language=unknown lines=2 omitted_by_policy]" in text and "x\ny" not in text
+
+
+def test_sql_names(spark):
+    from strataloom.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("select rich_markdown('<b>x</b>', null) m, classify_url('https://ok.example/').display_host h, classify_url('http://ok.example/') n, extract_assets('<pre>a</pre>').code_blocks[0].lines l").first()
+    assert (row.m, row.h, row.n, row.l) == ("**x**", "ok.example", None, 1)
+    assert [r.text for r in spark.sql("select s.text from values ('aaaa。bb') t(x), lateral split_text(x, 5) s order by s.part").collect()] == ["aaaa。", "bb"]
+    assert spark.sql("select s.kind from values ('a https://b.example c') t(x), lateral text_spans(x) s").count() == 3
+    framed = "<!-- ARCHIVE_SOURCE_BEGIN a -->\n<!-- ARCHIVE_BODY_CHARS: 2 -->\nhi\n<!-- ARCHIVE_SOURCE_END -->\n"
+    df = spark.createDataFrame([(framed,)], "x string")
+    df.createOrReplaceTempView("framed")
+    assert spark.sql("select s.* from framed, lateral archive_sections(x) s").collect() == [("a", "hi")]

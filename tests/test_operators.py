@@ -163,6 +163,8 @@ def test_merged_claims(spark):
     got = {r.text: r for r in merge.merge_claims(claims, sources).collect()}
     assert set(got) == {"a", "b"} and got["a"].evidence == ["s2", "s1", "s3"] and got["a"].confidence == "high" and got["b"].confidence == "low" and got["b"].evidence == []
     assert got["a"].high_vote_sources == ["s1"] and got["a"].high_vote_sources_all == ["s1", "s3"]
+    levels = merge.merge_levels(claims.withColumn("chunk_id", F.concat(F.lit("c"), "seq")), sources, spark.createDataFrame([("c1", "g1"), ("c3", "g1")], "chunk_id string, group_id string"))
+    assert {r.text: r.lineage for r in levels.collect()} == {"a": ["g1", "c2"], "b": ["g1"]}
     themes = spark.createDataFrame([(1, "x"), (2, " x "), (3, "y"), (4, " ")], "seq long, theme string")
     assert [(r.theme, r.occurrences) for r in merge.theme_counts(themes).orderBy("first_seq").collect()] == [("x", 2), ("y", 1)]
     views = spark.createDataFrame([(1, "v")], "first_seq long, minority_view string")
