@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm import chars
+
 
 #: Frequent function words of English and frequent characters of Chinese.
 COMMON_EN = frozenset(
@@ -76,6 +80,213 @@ _RULE = re.compile(r"^[\s\-=_+|:*#~│┌┐└┘├┤┬┴┼─━]+$")
 _CLOSERS = str.maketrans("", "", "\"'")
 
 
+# ---------------------------------------------------------------- vectorised statistics
+
+#: Characters that end a line, that part clauses, that stand for a symbol, and bullets.
+_ENDS = ".!?。！？…;；:：\"'”’」』)）》】"
+_CLAUSE_ENDS = "，。！？；"
+_SYMBOLS = "#…|│\ufffd¬¦§"
+_BULLETS = "-*+•·◦‣▪●○■□◆◇➢➤✓✔☐☑☒"
+_NUMERALS = "一二三四五六七八九十"
+_BROKEN = "\t│|_[ŒœŠšŽžŸƒˆ˜€™\ufffd锟烫屯"
+#: Words and characters of a natural sentence that are looked for in the quick test of a line.
+_FUNCTION_EN = ("the", "of", "to", "and", "a", "is", "in", "for", "on", "with", "you", "was")
+_FUNCTION_ZH = "的了是在和把会有不这我要"
+
+LETTER, HAN, DIGIT, SPACE, BREAK = 1, 2, 4, 8, 16
+END_MARK, CLAUSE, SYMBOL, BULLET, COMMON_CHAR, FUNCTION_CHAR, STRANGE, OPENING = 32, 64, 128, 256, 512, 1024, 2048, 4096
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """For every code point the flags above."""
+    out = np.zeros(0x110000, dtype=np.uint16)
+    letters = chars.letter_digit()
+    kind = chars.kinds()
+    out[letters & (kind != 2)] |= LETTER
+    out[0x3400:0x9FFF + 1] |= HAN
+    for code in np.flatnonzero(letters & (kind != 2)):
+        if chr(code).isnumeric():
+            out[code] = DIGIT
+    for code in range(0x3100):
+        if chr(code).isspace():
+            out[code] |= SPACE
+    out[[0, 10, 13]] |= BREAK | SPACE
+    out[0xFEFF] |= SPACE
+    for flag, text in ((END_MARK, _ENDS), (CLAUSE, _CLAUSE_ENDS), (SYMBOL, _SYMBOLS), (BULLET, _BULLETS), (COMMON_CHAR, "".join(COMMON_ZH)), (FUNCTION_CHAR, _FUNCTION_ZH), (STRANGE, _BROKEN), (OPENING, "(（#第")):
+        out[[ord(c) for c in text]] |= flag
+    out[0x80:0x100] |= STRANGE
+    out[0xE000:0xF900] |= STRANGE
+    out[0x2460:0x2474] |= OPENING
+    return out
+
+
+def _word_hash(words) -> np.ndarray:
+    """The hashes that ``Lines`` gives to words in lower case."""
+    out = []
+    for w in words:
+        codes = np.array([ord(c) for c in w], dtype=np.uint64)
+        out.append(int(np.add.reduce(chars.mix64(codes + (np.arange(len(codes), dtype=np.uint64) << np.uint64(32)) + np.uint64(1)))))
+    return np.array(out, dtype=np.uint64)
+
+
+class Lines:
+    """Lines and words of a batch of texts as arrays; blank lines are left out."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.rows = len(texts)
+        low = chars.join(texts).lower()
+        self.codes = c = chars.flat(low)
+        self.cls = k = _classes()[c]
+        self.row = np.cumsum(c == 0)
+        n = len(c)
+        start = np.r_[0, np.flatnonzero(k & BREAK) + 1]
+        end = np.r_[start[1:] - 1, n]
+        filled = np.flatnonzero((k & SPACE) == 0)
+        a, b = np.searchsorted(filled, start), np.searchsorted(filled, end)
+        some = b > a
+        self.start, self.end = start[some], end[some]
+        self.first, self.last = (filled[a[some]], filled[b[some] - 1]) if some.any() else (np.zeros(0, int), np.zeros(0, int))
+        self.line_row = self.row[self.first] if some.any() else np.zeros(0, int)
+        # words: runs of letters and runs of digits, and each ideograph
+        alpha = (k & LETTER) > 0
+        at = np.flatnonzero(alpha)
+        self.word_at, self.word_hash = np.zeros(0, int), np.zeros(0, np.uint64)
+        if len(at):
+            head = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+            run = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(at)]))
+            offset = (at - at[head][run]).astype(np.uint64)
+            self.word_hash = np.add.reduceat(chars.mix64(c[at].astype(np.uint64) + (offset << np.uint64(32)) + np.uint64(1)), head)
+            self.word_at = at[head]
+        self.letters = at
+
+    def per_line(self, at: np.ndarray) -> np.ndarray:
+        """How many of the sorted positions fall into each line."""
+        return np.searchsorted(at, self.end) - np.searchsorted(at, self.start)
+
+    def per_row(self, rows: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, minlength=self.rows)
+
+    def _numbered(self) -> np.ndarray:
+        """Lines that begin with a number, a letter or a numeral before a stop."""
+        k, c = self.cls, self.codes
+        digits = (k[self.first] & DIGIT) > 0
+        following = np.minimum(self.first + 1, len(c) - 1)
+        stop = np.isin(c[following], np.array([ord(x) for x in ".、)．）"], dtype=np.uint32))
+        single = ((k[self.first] & LETTER) > 0) | np.isin(c[self.first], np.array([ord(x) for x in _NUMERALS], dtype=np.uint32))
+        return digits | (single & stop)
+
+    def sure(self) -> np.ndarray:
+        """Long lines of clauses with function words and nothing odd: prose without a closer look."""
+        if not len(self.start):
+            return np.zeros(0, dtype=bool)
+        c, k = self.codes, self.cls
+        following = np.r_[c[1:], 0]
+        latin_end = np.isin(c, np.array([46, 44, 33, 63], dtype=np.uint32)) & (following == 32)
+        clause = np.flatnonzero(((k & CLAUSE) > 0) | latin_end)
+        word = self.word_at[np.isin(self.word_hash, _word_hash(_FUNCTION_EN))]
+        function = np.sort(np.r_[np.flatnonzero(k & FUNCTION_CHAR), word])
+        dots = c == 46
+        four = np.flatnonzero(dots[:-3] & dots[1:-2] & dots[2:-1] & dots[3:]) if len(c) > 3 else np.zeros(0, int)
+        odd = np.sort(np.r_[np.flatnonzero(k & STRANGE), np.flatnonzero((c == 32) & (following == 32)), four])
+        size = self.last + 1 - self.start
+        begins = ((k[self.first] & (BULLET | OPENING)) > 0) | self._numbered()
+        return (size >= 24) & (self.per_line(odd) == 0) & ~begins & (self.per_line(clause) >= np.maximum(1, size // 150)) & (self.per_line(function) >= np.maximum(1, size // 60))
+
+    def plain_rows(self, sure: np.ndarray) -> np.ndarray:
+        """Texts of sure lines, headings and a few rules only: prose."""
+        if not len(self.start):
+            return np.ones(self.rows, dtype=bool)
+        c = self.codes
+        size = self.last + 1 - self.first
+
+        def begins(mark: str) -> np.ndarray:
+            out = size >= len(mark)
+            for k, ch in enumerate(mark):
+                out &= c[np.minimum(self.first + k, len(c) - 1)] == ord(ch)
+            return out
+
+        hashes = np.zeros(len(size), dtype=bool)
+        for k in range(1, 7):
+            hashes |= begins("#" * k + " ")
+        heading = hashes | begins("[source ")
+        marks = np.flatnonzero(np.isin(c, np.array([ord(x) for x in "-=_*~"], dtype=np.uint32)))
+        rule = self.per_line(marks) == size
+        lines, rules = self.per_row(self.line_row), self.per_row(self.line_row[rule])
+        other = self.per_row(self.line_row[~(sure | heading | rule)])
+        return (other == 0) & ((rules == 0) | ((rules < 0.4 * lines) & (self.per_row(self.line_row[sure]) > 0)))
+
+    def measures(self) -> dict[str, np.ndarray]:
+        """The statistics of each text."""
+        c, k, n = self.codes, self.cls, self.rows
+        han = np.flatnonzero(k & HAN)
+        digit = np.flatnonzero(k & DIGIT)
+        number = digit[np.r_[True, np.diff(digit) > 1]] if len(digit) else digit
+        latin, ideographs, numbers = self.per_row(self.row[self.word_at]), self.per_row(self.row[han]), self.per_row(self.row[number])
+        words = latin + ideographs + numbers
+        safe = np.maximum(words, 1)
+        lines = self.per_row(self.line_row)
+        many = np.maximum(lines, 1)
+        dots = c == 46
+        three = np.flatnonzero(dots[:-2] & dots[1:-1] & dots[2:] & ~np.r_[False, dots[:-3]]) if len(c) > 2 else np.zeros(0, int)
+        symbols = self.per_row(self.row[np.flatnonzero(k & SYMBOL)]) + self.per_row(self.row[three])
+        last, before = c[self.last], np.maximum(self.last - 2, 0)
+        ellipsis = (last == 0x2026) | ((last == 46) & (c[before] == 46) & (c[np.maximum(self.last - 1, 0)] == 46)) if len(last) else np.zeros(0, bool)
+        follows = c[np.minimum(self.first + 1, len(c) - 1)] if len(self.first) else c[:0]
+        bullet = (((k[self.first] & BULLET) > 0) & ((follows == 32) | (k[self.first] & END_MARK == 0) & (follows == 32))) | self._bullet_numbers()
+        common = self.per_row(self.row[np.flatnonzero(k & COMMON_CHAR)]) + self.per_row(self.row[self.word_at[np.isin(self.word_hash, _word_hash(sorted(COMMON_EN)))]])
+        stops = np.zeros(n, dtype=np.int64)
+        for h in _word_hash(sorted(STOP_EN)):
+            stops += self.per_row(self.row[self.word_at[self.word_hash == h]]) > 0
+        for ch in STOP_ZH:
+            stops += self.per_row(self.row[np.flatnonzero(c == ord(ch))]) > 0
+        return {
+            "word_count": words.astype(np.int32),
+            "mean_word_length": self.per_row(self.row[self.letters]) / np.maximum(latin, 1),
+            "symbol_ratio": np.where(words > 0, symbols / safe, (symbols > 0).astype(float)),
+            "punctuated_lines": self.per_row(self.line_row[(k[self.last] & END_MARK) > 0]) / many,
+            "bullet_lines": self.per_row(self.line_row[bullet]) / many,
+            "ellipsis_lines": self.per_row(self.line_row[ellipsis]) / many,
+            "alpha_words": np.where(words > 0, (latin + ideographs) / safe, 0.0),
+            "stop_words": stops.astype(np.int32),
+            "common_share": common / safe,
+            "repeated_lines": self._repeated(many),
+            "top_pair": self._top_pair(safe),
+            "_mostly_latin": latin > ideographs,
+        }
+
+    def _bullet_numbers(self) -> np.ndarray:
+        k = self.cls
+        return self._numbered() if len(self.first) else np.zeros(0, bool)
+
+    def _repeated(self, many: np.ndarray) -> np.ndarray:
+        """Share of lines that repeat an earlier line of their text."""
+        if not len(self.start):
+            return np.zeros(self.rows)
+        line = np.repeat(np.arange(len(self.first)), self.last + 1 - self.first)
+        length = self.last + 1 - self.first
+        offset = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        value = chars.mix64(self.codes[self.first[line] + offset].astype(np.uint64) + (offset.astype(np.uint64) << np.uint64(32)) + np.uint64(7))
+        total = np.add.reduceat(value, np.cumsum(length) - length)
+        pairs = np.unique(np.stack([self.line_row.astype(np.uint64), total], axis=1), axis=0)
+        return (self.per_row(self.line_row) - self.per_row(pairs[:, 0].astype(np.int64))) / many
+
+    def _top_pair(self, safe: np.ndarray) -> np.ndarray:
+        """Share of the words that the most frequent pair of neighbouring words makes up."""
+        han = np.flatnonzero(self.cls & HAN)
+        at = np.r_[self.word_at, han]
+        value = np.r_[self.word_hash, chars.mix64(self.codes[han].astype(np.uint64) + np.uint64(99))]
+        order = np.argsort(at, kind="stable")
+        value, row = value[order], self.row[at[order]]
+        out = np.zeros(self.rows)
+        same = np.flatnonzero(row[:-1] == row[1:]) if len(row) > 1 else np.zeros(0, int)
+        if len(same):
+            key = chars.mix64(value[same] * np.uint64(0x9E3779B97F4A7C15) + value[same + 1])
+            pairs, times = np.unique(np.stack([row[same].astype(np.uint64), key], axis=1), axis=0, return_counts=True)
+            np.maximum.at(out, pairs[:, 0].astype(np.int64), times)
+        return out * 2 / safe
+
+
 def _common_share(text: str) -> float:
     """Share of words (Chinese: characters) that are common ones."""
     latin = re.findall(r"[a-zA-Z]+", text)
@@ -108,20 +319,6 @@ def _cells(line: str) -> tuple[str, int]:
     return "", 1
 
 
-#: Function words and characters that natural sentences hold.
-_FUNCTION = re.compile(r"\b(?:the|of|to|and|a|is|in|for|on|with|you|was)\b|[的了是在和把会有不这我要]")
-_CLAUSE = re.compile(r"[，。！？；]|[.,!?] ")
-_ODD = re.compile(r"[\t│|_\x80-\xff�ŒœŠšŽžŸƒˆ˜€™]|  |\[|锟斤拷|烫烫烫|屯屯屯|[\ue000-\uf8ff]|\.{4}|^\s*(?:[-*+•·◦‣▪●○■□◆◇➢➤✓✔☐☑☒(（#①-⑳0-9]|[a-zA-Z一二三四五六七八九十][.、)．]|第)")
-
-
-def _plain_prose(line: str) -> bool:
-    """A long line of clauses with function words and nothing odd: prose without a closer look."""
-    size = len(line)
-    if size < 40 or _ODD.search(line):
-        return False
-    return len(_CLAUSE.findall(line)) >= max(2, size // 150) and len(_FUNCTION.findall(line)) >= max(2, size // 60)
-
-
 def _repeats(words: list[str]) -> bool:
     """One word that is no common one, or one pair of words, fills the line."""
     word, times = Counter(words).most_common(1)[0]
@@ -167,12 +364,14 @@ def _short_items(lines: list[str]) -> list[bool]:
     return out
 
 
-def line_forms(text: str) -> list[tuple[str, str]]:
+def line_forms(text: str, sure: list[bool] | None = None) -> list[tuple[str, str]]:
     """(form, line) for each line that is not blank; form is prose, list, table, junk or neutral (headings, rules)."""
     lines = [x.strip("﻿").rstrip() for x in re.split(r"\r\n|\n|\r", text)]
     lines = [x for x in lines if x.strip()]
     forms: list[str] = []
-    sure = [_plain_prose(x) for x in lines]
+    if sure is None or len(sure) != len(lines):
+        sure = Lines([text]).sure().tolist() if lines else []
+        sure = sure if len(sure) == len(lines) else [False] * len(lines)
     if all(sure):
         return [("prose", x) for x in lines]
     cells = [("", 1) if s else _cells(x) for s, x in zip(sure, lines)]
@@ -258,10 +457,10 @@ def line_forms(text: str) -> list[tuple[str, str]]:
     return list(zip(forms, lines))
 
 
-def form_of(text: str) -> tuple[str, dict[str, int]]:
+def form_of(text: str, sure: list[bool] | None = None) -> tuple[str, dict[str, int]]:
     """The form with more than half of the characters, and the characters of each form. Blank texts are prose."""
     share: Counter[str] = Counter()
-    parts = line_forms(text)
+    parts = line_forms(text, sure)
     for form, line in parts:
         if form != "neutral":
             share[form] += len(line.strip())
@@ -289,48 +488,54 @@ COLUMNS = (
 )
 
 
-def statistics(text: str) -> tuple:
-    """The values of COLUMNS for one text."""
-    words = _WORD.findall(text)
-    lines = [x for x in (y.strip() for y in text.splitlines()) if x]
-    n, m = len(words), max(1, len(lines))
-    latin = [w for w in words if w[0].isascii() and w[0].isalpha()]
-    han = n and sum("㐀" <= w[0] <= "鿿" for w in words)
-    mean = sum(map(len, latin)) / len(latin) if latin else 0.0
-    symbols = text.count("#") + text.count("...") + text.count("…") + sum(text.count(c) for c in "|│�¬¦§")
-    low = [w.lower() for w in words]
-    stop = len(STOP_EN & set(low)) + len(STOP_ZH & set(low))
-    common = sum(w in COMMON_EN or w in COMMON_ZH for w in low) / n if n else 0.0
-    repeated = sum(c - 1 for c in Counter(lines).values()) / m
-    values = {
-        "word_count": n, "mean_word_length": mean, "symbol_ratio": symbols / n if n else (1.0 if symbols else 0.0),
-        "punctuated_lines": sum(bool(_END.search(x)) for x in lines) / m, "bullet_lines": sum(bool(_BULLET.match(x)) for x in lines) / m,
-        "ellipsis_lines": sum(x.endswith(("...", "…")) for x in lines) / m, "alpha_words": sum(any(c.isalpha() for c in w) for w in words) / n if n else 0.0,
-        "stop_words": stop, "common_share": common, "repeated_lines": repeated, "top_pair": _pair_share(low),
-    }
-    fail = []
-    if n < WORDS[0]:
-        fail.append("few_words")
-    if n > WORDS[1]:
-        fail.append("many_words")
-    if latin and han < len(latin) and not MEAN_WORD[0] <= mean <= MEAN_WORD[1]:
-        fail.append("mean_word_length")
-    for name, bad in (
-        ("symbol_ratio", values["symbol_ratio"] > SYMBOLS), ("bullet_lines", values["bullet_lines"] > BULLET_LINES), ("ellipsis_lines", values["ellipsis_lines"] > ELLIPSIS_LINES),
-        ("alpha_words", values["alpha_words"] < ALPHA_WORDS), ("stop_words", stop < STOPS), ("repeated_lines", repeated > REPEATED_LINES), ("top_pair", values["top_pair"] > TOP_PAIR),
-        ("punctuated_lines", values["punctuated_lines"] < PUNCTUATED_LINES), ("common_share", common < COMMON),
-    ):
-        if bad:
-            fail.append(name)
-    form, share = form_of(text)
-    if form != "prose":
-        fail.append(f"mostly_{form}")
-    return (*values.values(), form, fail)
+def forms_of(texts: list[str], lines: Lines | None = None) -> list[str]:
+    """The form of each text; a text whose lines are all surely prose is not looked at further."""
+    lines = lines or Lines(texts)
+    sure = lines.sure()
+    edge = np.searchsorted(lines.line_row, np.arange(len(texts) + 1))
+    doubtful = ~lines.plain_rows(sure)
+    return [form_of(t, sure[edge[k] : edge[k + 1]].tolist())[0] if doubtful[k] else "prose" for k, t in enumerate(texts)]
+
+
+def statistics(texts: list[str]) -> dict[str, list]:
+    """The values of COLUMNS for a batch of texts, with the names of the failed rules."""
+    lines = Lines(texts)
+    m = lines.measures()
+    forms = forms_of(texts, lines)
+    n, mean, latin = m["word_count"], m["mean_word_length"], m.pop("_mostly_latin")
+    rules = (
+        ("few_words", n < WORDS[0]),
+        ("many_words", n > WORDS[1]),
+        ("mean_word_length", latin & ((mean < MEAN_WORD[0]) | (mean > MEAN_WORD[1]))),
+        ("symbol_ratio", m["symbol_ratio"] > SYMBOLS),
+        ("bullet_lines", m["bullet_lines"] > BULLET_LINES),
+        ("ellipsis_lines", m["ellipsis_lines"] > ELLIPSIS_LINES),
+        ("alpha_words", m["alpha_words"] < ALPHA_WORDS),
+        ("stop_words", m["stop_words"] < STOPS),
+        ("repeated_lines", m["repeated_lines"] > REPEATED_LINES),
+        ("top_pair", m["top_pair"] > TOP_PAIR),
+        ("punctuated_lines", m["punctuated_lines"] < PUNCTUATED_LINES),
+        ("common_share", m["common_share"] < COMMON),
+    )
+    failures: list[list[str]] = [[] for _ in texts]
+    for name, failed in rules:
+        for k in np.flatnonzero(failed):
+            failures[k].append(name)
+    for k, form in enumerate(forms):
+        if form != "prose":
+            failures[k].append(f"mostly_{form}")
+    return {**{c: v.tolist() for c, v in m.items()}, "form": forms, "failures": failures}
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    return chars.slices(np.array([len(t) for t in texts]), 1_000_000)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([form_of(t)[0] for t in batch.column(1).to_pylist()], pa.string())], names=["key", "form"])
+        texts = batch.column(1).to_pylist()
+        for low, high in _parts(texts):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(forms_of(texts[low:high]), pa.string())], names=["key", "form"])
 
 
 def document_forms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -342,9 +547,12 @@ def document_forms(df: DataFrame, key: str, text: str) -> DataFrame:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
     for batch in batches:
-        rows = [statistics(t) for t in batch.column(1).to_pylist()]
-        columns = list(zip(*rows)) or [[] for _ in COLUMNS]
-        yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, COLUMNS)], names=["key", *(c for c, _ in COLUMNS)])
+        texts = batch.column(1).to_pylist()
+        for low, high in _parts(texts):
+            found = statistics(texts[low:high])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, high - low)] + [pa.array(found[c], kinds[k]) for c, k in COLUMNS], names=["key", *(c for c, _ in COLUMNS)]
+            )
 
 
 def quality_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
