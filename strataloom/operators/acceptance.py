@@ -58,7 +58,8 @@ def acceptance(captures: DataFrame) -> DataFrame:
     warning only.
     """
     count = F.coalesce("answers", F.lit(0))
-    frames = frame_count(F.col("markdown"))
+    captures = captures.withColumn("_frames", frame_count(F.col("markdown")))
+    frames = F.col("_frames")
     shown = F.coalesce(tx.trim("markdown"), F.lit(""))
     tests = {
         "bare_array": F.coalesce("bare_array", F.lit(False)),

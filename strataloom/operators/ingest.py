@@ -76,8 +76,12 @@ def root_comments(comments: DataFrame, group: str = "answerid", order: str = "cr
 
     One row an answer: ``answerid``, ``valid`` and ``comments`` (null where a violation voids the answer).
     """
-    row = F.struct(F.col(order).alias("o"), F.col("id").alias("id"), "replycommentid", "replyrootcommentid", "contenthtml", "authorname")
-    some = comments.where(F.col(group).isNotNull()).groupBy(group).agg(F.slice(F.array_sort(F.collect_set(row)), 1, COMMENTS_KEPT).alias("c"))
+    columns = ["id", "replycommentid", "replyrootcommentid", "contenthtml", "authorname"]
+    distinct = comments.where(F.col(group).isNotNull()).select(group, F.col(order).alias("_o"), *columns).distinct()
+    # the rank filter keeps three rows of an answer per partition before anything is gathered
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_o", *columns))
+    first = distinct.withColumn("_place", place).where(F.col("_place") <= COMMENTS_KEPT)
+    some = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_place", *columns))).alias("c"))
 
     def good(c: Column) -> Column:
         return F.coalesce((c["replycommentid"] == "0") & ((c["replyrootcommentid"] == c["id"]) | (c["replyrootcommentid"] == "0")) & c["contenthtml"].isNotNull(), F.lit(False))
