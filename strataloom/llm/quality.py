@@ -171,8 +171,7 @@ class Lines:
         """Lines that begin with a number, a letter or a numeral before a stop."""
         k, c = self.cls, self.codes
         digits = (k[self.first] & DIGIT) > 0
-        following = np.minimum(self.first + 1, len(c) - 1)
-        stop = np.isin(c[following], np.array([ord(x) for x in ".、)．）"], dtype=np.uint32))
+        stop = np.isin(np.r_[c, 0][self.first + 1], np.array([ord(x) for x in ".、)．）"], dtype=np.uint32))
         single = ((k[self.first] & LETTER) > 0) | np.isin(c[self.first], np.array([ord(x) for x in _NUMERALS], dtype=np.uint32))
         return digits | (single & stop)
 
@@ -231,9 +230,10 @@ class Lines:
         three = np.flatnonzero(dots[:-2] & dots[1:-1] & dots[2:] & ~np.r_[False, dots[:-3]]) if len(c) > 2 else np.zeros(0, int)
         symbols = self.per_row(self.row[np.flatnonzero(k & SYMBOL)]) + self.per_row(self.row[three])
         last, before = c[self.last], np.maximum(self.last - 2, 0)
-        ellipsis = (last == 0x2026) | ((last == 46) & (c[before] == 46) & (c[np.maximum(self.last - 1, 0)] == 46)) if len(last) else np.zeros(0, bool)
-        follows = c[np.minimum(self.first + 1, len(c) - 1)] if len(self.first) else c[:0]
-        bullet = (((k[self.first] & BULLET) > 0) & ((follows == 32) | (k[self.first] & END_MARK == 0) & (follows == 32))) | self._bullet_numbers()
+        long = self.last - self.first >= 2
+        ellipsis = (last == 0x2026) | (long & (last == 46) & (c[before] == 46) & (c[np.maximum(self.last - 1, 0)] == 46))
+        follows = np.r_[c, 0][self.first + 1]
+        bullet = (((k[self.first] & BULLET) > 0) & (follows == 32)) | self._numbered()
         common = self.per_row(self.row[np.flatnonzero(k & COMMON_CHAR)]) + self.per_row(self.row[self.word_at[np.isin(self.word_hash, _word_hash(sorted(COMMON_EN)))]])
         stops = np.zeros(n, dtype=np.int64)
         for h in _word_hash(sorted(STOP_EN)):
@@ -255,10 +255,6 @@ class Lines:
             "_mostly_latin": latin > ideographs,
         }
 
-    def _bullet_numbers(self) -> np.ndarray:
-        k = self.cls
-        return self._numbered() if len(self.first) else np.zeros(0, bool)
-
     def _repeated(self, many: np.ndarray) -> np.ndarray:
         """Share of lines that repeat an earlier line of their text."""
         if not len(self.start):
