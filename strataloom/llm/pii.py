@@ -75,10 +75,11 @@ _EN_DIGIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 _SPELLED_EN = re.compile(rf"\b(?:(?:plus|double|triple|{_EN_DIGIT})[\s,-]+){{6,}}(?:{_EN_DIGIT})\b", re.I)
 _EMAIL = re.compile(
     rf"(?<![{_ASCII}_.+\\-])(?P<local>[{_ASCII}](?:\\?[{_ASCII}_.+%-])*)"
-    r"(?P<at>\\?\s?@\s?|\s?\\?[\(\[\{（【]\s?(?:at|AT|@|艾特)\s?\\?[\)\]\}）】]\s?|\s(?:at|AT|At)\s|\\?#|\s艾特\s|艾特)"
+    r"(?P<at>\\?\s?@\s?|\s?\\?[\(\[\{（【]\s?(?:at|AT|@|艾特)\s?\\?[\)\]\}）】]\s?|\s(?:at|AT|At)\s|\s?&(?:#64|#[xX]40|commat);\s?|%40|\\?#|\s艾特\s|艾特)"
     rf"(?P<domain>[{_ASCII}](?:\\?[{_ASCII}-])*"
     rf"(?:(?:\s?\\?\.\s?|\s(?:dot|DOT|Dot)\s|\s?\\?[\(\[\{{（【]\s?(?:dot|DOT|\.|点)\s?\\?[\)\]\}}）】]\s?|\s?点\s?)[{_ASCII}](?:\\?[{_ASCII}-])*)+)"
 )
+_MAIL_HINT = re.compile(r"[@#＠]|%40|&commat|艾特|(?<![A-Za-z])at(?![A-Za-z])", re.I)
 _TLD = re.compile(r"[A-Za-z]{2,}$")
 _ROAD = re.compile(
     r"(?:大道|[路街道巷弄]|胡同|里弄)\s?(?P<no>[0-9]{1,5}|[一二三四五六七八九十百零〇]{1,5})\s?(?:号|號|弄\d+号)"
@@ -144,10 +145,12 @@ class Finder:
         text = raw.translate(_FULL) if _FULL_ANY.search(raw) else raw
         found: list[Candidate] = []
         add = found.append
-        if "@" in text or "#" in text or " at " in text.lower() or "at)" in text.lower() or "at]" in text.lower() or "艾特" in text:
+        if _MAIL_HINT.search(text):
             for m in _EMAIL.finditer(text):
                 domain, at = m["domain"].replace("\\", ""), m["at"]
-                worded = not any(c in at for c in "@#([{（【艾")
+                worded = not any(c in at for c in "@#([{（【艾&%")
+                if "&" in at or "%" in at:
+                    at = "@"
                 tld = re.split(r"[^A-Za-z0-9\-]+", domain)
                 tld = [x for x in tld if x.lower() != "dot"]
                 spelled = bool(re.search(r"dot|点", domain, re.I))

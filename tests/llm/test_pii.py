@@ -19,6 +19,8 @@ def test_held_out_accuracy():
     [
         ("Write to ada\\.l@post\\.example today.", [("email", "ada")]),
         ("mail ada at post dot example now", [("email", "ada")]),
+        ("mail ada \\(at\\) post\\.example now", [("email", "ada")]),
+        ("mail ada&#64;post.example now", [("email", "ada")]),
         ("<a href=\"mailto:ada@post.example\">ada@post.example</a>", [("email", "ada@post.example\">"), ("email", "ada@post.example</")]),
         ("电话\\(0199\\) 5550314，下午都在。", [("phone", "(0199")]),
         ("Call me (07700 900166) now", [("phone", "07700")]),
