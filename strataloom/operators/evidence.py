@@ -97,9 +97,6 @@ def map_content(gated: DataFrame) -> DataFrame:
     """The rules on what is in a map that passed all gates."""
     ok = gated.where(F.col("gate").isNull()).withColumn("have", F.coalesce("chunk_sources", F.array().cast("array<string>")))
 
-    def each(column: Column, kind: str) -> DataFrame:
-        return _issue(ok.select("chunk_id", F.explode(column).alias("x")), kind, F.concat_ws(" ", "chunk_id", "x"))
-
     def outside(ids: Column) -> Column:
         return F.filter(ids, lambda s: ~F.array_contains(F.col("have"), s))
 
@@ -120,33 +117,37 @@ def map_content(gated: DataFrame) -> DataFrame:
     # the first entry of each id is judged, later ones are repetitions
     firsts = F.transform(F.array_distinct(ids), lambda i: F.element_at(named, F.array_position(ids, i).cast("int")))
     inside = F.filter(firsts, lambda s: F.array_contains(F.col("have"), s["source_id"]))
-    parts = [
-        each(outside(F.col("source_ids")), "cross_chunk_evidence"),
-        each(F.filter("have", lambda s: ~F.array_contains(F.col("source_ids"), s)), "missing_mapped_sources"),
-        each(F.transform(bad_claim, lambda c: text_of(c["claim"])), "malformed_maps"),
-        each(outside(cited), "cross_chunk_evidence"),
-        _issue(ok.where(F.col("themes").isNull()), "malformed_maps", F.concat_ws(" ", "chunk_id", F.lit("themes"))),
-        _issue(ok.where(F.col("uncertainties").isNull()), "malformed_maps", F.concat_ws(" ", "chunk_id", F.lit("uncertainties"))),
-        _issue(ok.where(F.size(rows) <= 0), "malformed_maps", F.concat_ws(" ", "chunk_id", F.lit("source_coverage"))),
-        each(F.transform(F.filter(rows, lambda s: blank(s["source_id"])), lambda s: F.lit("entry")), "malformed_maps"),
-        _issue(
-            ok.select("chunk_id", (F.size(ids) - F.size(F.array_distinct(ids))).alias("n")).where("n > 0").withColumn("x", F.explode(F.sequence(F.lit(1), F.col("n")))),
-            "malformed_maps",
-            "chunk_id",
-        ),
-        each(F.transform(F.filter(firsts, lambda s: ~F.array_contains(F.col("have"), s["source_id"])), lambda s: s["source_id"]), "cross_chunk_evidence"),
-        each(F.transform(F.filter(inside, lambda s: blank(s["summary"])), lambda s: s["source_id"]), "malformed_maps"),
-        each(
-            F.transform(F.filter(inside, lambda s: ~blank(s["summary"]) & s["disposition"].isNotNull() & ~s["disposition"].isin(*DISPOSITION)), lambda s: s["source_id"]),
-            "malformed_maps",
-        ),
-        _issue(
-            ok.where(F.size(rows) > 0).select("chunk_id", F.explode(F.filter("have", lambda s: ~F.array_contains(ids, s))).alias("x")),
-            "missing_mapped_sources",
-            F.concat_ws(" ", "chunk_id", "x"),
-        ),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+
+    def items(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), F.concat_ws(" ", F.col("chunk_id"), x).alias("item")))
+
+    def one_if(condition: Column, name: str) -> Column:
+        return F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+
+    def source(s: Column) -> Column:
+        return s["source_id"]
+
+    repeats = F.size(ids) - F.size(F.array_distinct(ids))
+    strange = F.filter(inside, lambda s: ~blank(s["summary"]) & s["disposition"].isNotNull() & ~s["disposition"].isin(*DISPOSITION))
+    foreign = F.filter(firsts, lambda s: ~F.array_contains(F.col("have"), s["source_id"]))
+    uncovered = F.when(F.size(rows) > 0, F.filter("have", lambda s: ~F.array_contains(ids, s))).otherwise(F.array().cast("array<string>"))
+    # every rule yields a list for its row, so the maps are read once
+    found = F.concat(
+        items("cross_chunk_evidence", outside(F.col("source_ids"))),
+        items("missing_mapped_sources", F.filter("have", lambda s: ~F.array_contains(F.col("source_ids"), s))),
+        items("malformed_maps", F.transform(bad_claim, lambda c: text_of(c["claim"]))),
+        items("cross_chunk_evidence", outside(cited)),
+        items("malformed_maps", one_if(F.col("themes").isNull(), "themes")),
+        items("malformed_maps", one_if(F.col("uncertainties").isNull(), "uncertainties")),
+        items("malformed_maps", one_if(F.size(rows) <= 0, "source_coverage")),
+        items("malformed_maps", F.transform(F.filter(rows, lambda s: blank(s["source_id"])), lambda s: F.lit("entry"))),
+        items("malformed_maps", F.array_repeat(F.lit("repeated"), repeats)),
+        items("cross_chunk_evidence", F.transform(foreign, source)),
+        items("malformed_maps", F.transform(F.filter(inside, lambda s: blank(s["summary"])), source)),
+        items("malformed_maps", F.transform(strange, source)),
+        items("missing_mapped_sources", uncovered),
+    )
+    return ok.select(F.explode(found).alias("x")).select("x.kind", "x.item")
 
 
 def stale_hashes(inputs: DataFrame, current: DataFrame) -> DataFrame:
