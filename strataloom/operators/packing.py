@@ -41,13 +41,17 @@ def _runs(table: pa.Table) -> list[tuple[int, int]]:
 
 
 def _summaries(most: int, items: int):
-    """What each block does to each group, for every position at which the open chunk may be closed."""
+    """What a block does to its first and last group, for every position at which the open chunk may be closed.
+
+    Other groups lie in one block as a whole, so a block yields two rows at most.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_pos")
         out: dict[str, list] = {c: [] for c in ("_group", "_block", "n", "heads", "chunks", "chars", "counts")}
         lengths = table.column("_length").to_numpy()
-        for a, b in _runs(table):
+        runs = _runs(table)
+        for a, b in dict.fromkeys(runs[:1] + runs[-1:]):
             size = lengths[a:b]
             n = b - a
             prefix = np.r_[0, np.cumsum(size)]
@@ -99,18 +103,21 @@ def _states(most: int, items: int):
 def _assign(most: int, items: int):
     def run(table: pa.Table, states: pa.Table) -> pa.Table:
         table = table.sort_by("_pos")
-        state = {r["_group"]: r for r in states.to_pylist()}
+        state, fresh = {r["_group"]: r for r in states.to_pylist()}, {"done": 0, "chars": 0, "count": 0}
         lengths = table.column("_length").to_numpy()
         number = np.zeros(table.num_rows, dtype=np.int64)
         for a, b in _runs(table):
-            s = state[table.column("_group")[int(a)].as_py()]
+            s = state.get(table.column("_group")[int(a)].as_py(), fresh) if a == 0 or b == table.num_rows else fresh
             size = lengths[a:b]
             cut = first_cut(size, s["chars"], s["count"], most, items)
-            after = following(np.r_[0, np.cumsum(size)], most, items)
             opens = np.zeros(b - a, dtype=np.int64)
-            while cut < b - a:
-                opens[cut] = 1
-                cut = int(after[cut])
+            if items == 1:
+                opens[cut:] = 1
+            else:
+                after = following(np.r_[0, np.cumsum(size)], most, items)
+                while cut < b - a:
+                    opens[cut] = 1
+                    cut = int(after[cut])
             number[a:b] = s["done"] + np.cumsum(opens)
         return table.append_column("_number", pa.array(number))
 
