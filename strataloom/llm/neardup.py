@@ -132,22 +132,51 @@ def _collide(key: np.ndarray, cid: np.ndarray, second: np.ndarray) -> tuple[np.n
     key, cid, second = key[shared], cid[shared], second[shared]
     if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    column = np.arange(SIDE, dtype=np.uint64) << np.uint64(16)
-    table_key = chars.mix64(key.astype(np.uint64)[:, None] ^ chars.mix64(column + second.astype(np.uint64) + np.uint64(1))).ravel()
-    owner = np.repeat(np.arange(len(key)), SIDE)
-    order = np.argsort(table_key, kind="stable")
-    in_order = table_key[order]
-    start = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
-    size = np.diff(np.r_[start, len(order)])
-    small = (size > 1) & (size <= IN_TASK)
-    a, b = _run_pairs(start[small], size[small], order)
-    a, b = cid[owner[a]], cid[owner[b]]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    differ = low != high
-    pairs = np.unique(np.stack([low[differ], high[differ]], axis=1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
-    big = np.repeat(size > IN_TASK, size)
-    later = np.stack([in_order[big].astype(np.int64), cid[owner[order[big]]]], axis=1)
-    return pairs[:, 0], pairs[:, 1], later
+    base = key.astype(np.uint64)
+    pairs = waiting = np.zeros((0, 2), np.int64)
+    later = []
+    for column in range(SIDE):
+        # one column of tables at a time: near copies share most tables, and their pairs are the same in each
+        table_key = _table_keys(base, second[:, column], column)
+        order = np.argsort(table_key, kind="stable")
+        in_order = table_key[order]
+        start = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+        size = np.diff(np.r_[start, len(order)])
+        small = (size > 1) & (size <= IN_TASK)
+        a, b = _run_pairs(start[small], size[small], order)
+        a, b = cid[a], cid[b]
+        differ = a != b
+        waiting = np.concatenate([waiting, np.stack([np.minimum(a, b)[differ], np.maximum(a, b)[differ]], axis=1)])
+        if len(waiting) > 1_000_000 or column == SIDE - 1:
+            pairs, waiting = _distinct(np.concatenate([pairs, waiting])), waiting[:0]
+        big = np.repeat(size > IN_TASK, size)
+        later.append(np.stack([in_order[big].astype(np.int64), cid[order[big]]], axis=1))
+    return pairs[:, 0], pairs[:, 1], np.concatenate(later)
+
+
+def _table_keys(key: np.ndarray, second: np.ndarray, column: int | np.ndarray) -> np.ndarray:
+    """The key of a table: a band of the first collection with one of the second."""
+    place = (np.asarray(column, dtype=np.uint64) << np.uint64(16)) + np.uint64(1)
+    return chars.mix64(key ^ chars.mix64(place + second.astype(np.uint64)))
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    if len(pairs) < 2:
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
+
+
+def _all_tables(key: np.ndarray, second: np.ndarray, cid: np.ndarray) -> pa.RecordBatch:
+    """(table key, cid) rows of documents whose bucket is too large for a task."""
+    tables = _table_keys(key.astype(np.uint64)[:, None], second, np.arange(SIDE, dtype=np.uint64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(tables.ravel().astype(np.int64)), pa.array(np.repeat(cid, SIDE)), pa.array(np.ones(tables.size, bool))], names=["a", "b", "later"]
+    )
+
+
+def _bands_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SIDE)
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +184,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key = rows.column("key").to_numpy()
-        second = np.frombuffer(b"".join(rows.column("second").to_pylist()), dtype=np.uint16).reshape(len(key), SIDE)
-        a, b, later = _collide(key, rows.column("cid").to_numpy(), second)
+        a, b, later = _collide(key, rows.column("cid").to_numpy(), _bands_of(rows.column("second")))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[a, later[:, 0]]), pa.array(np.r_[b, later[:, 1]]), pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(later), bool)])],
             names=["a", "b", "later"],
@@ -179,15 +207,9 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = rows.slice(cut)
         if open_key == key[-1] and not cut and len(key) >= 400_000:
             # one bucket fills the task: its rows go on to Spark's join, table by table
-            second = np.frombuffer(b"".join(rest.column("second").to_pylist()), dtype=np.uint16).reshape(-1, SIDE)
-            column = np.arange(SIDE, dtype=np.uint64) << np.uint64(16)
-            tables = chars.mix64(key.astype(np.uint64)[:, None] ^ chars.mix64(column + second.astype(np.uint64) + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tables.ravel().astype(np.int64)), pa.array(np.repeat(rest.column("cid").to_numpy(), SIDE)), pa.array(np.ones(tables.size, bool))],
-                names=["a", "b", "later"],
-            )
+            yield _all_tables(key, _bands_of(rest.column("second")), rest.column("cid").to_numpy())
             # the bucket stays open: its other rows are sent the same way
-            yield from _send_rest(batches, key[-1], emit)
+            yield from _send_rest(batches, key[-1])
             return
         open_key = key[-1]
         held, size = rest.to_batches(), rest.num_rows
@@ -196,25 +218,14 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(pa.Table.from_batches(held))
 
 
-def _send_rest(batches: Iterator[pa.RecordBatch], hot: int, emit) -> Iterator[pa.RecordBatch]:
+def _send_rest(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """Goes on after a bucket that fills a task: its further rows go to Spark's join, the rest is handled as usual."""
-    column = np.arange(SIDE, dtype=np.uint64) << np.uint64(16)
-
-    def after() -> Iterator[pa.RecordBatch]:
-        yield from batches
-
-    rest = after()
+    rest = iter(batches)
     for batch in rest:
-        key = batch.column(0).to_numpy()
-        n = int(np.searchsorted(key, hot, side="right"))
+        n = int(np.searchsorted(batch.column(0).to_numpy(), hot, side="right"))
         if n:
             part = batch.slice(0, n)
-            second = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint16).reshape(-1, SIDE)
-            tables = chars.mix64(key[:n].astype(np.uint64)[:, None] ^ chars.mix64(column + second.astype(np.uint64) + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tables.ravel().astype(np.int64)), pa.array(np.repeat(part.column(1).to_numpy(), SIDE)), pa.array(np.ones(tables.size, bool))],
-                names=["a", "b", "later"],
-            )
+            yield _all_tables(part.column(0).to_numpy(), _bands_of(part.column(2)), part.column(1).to_numpy())
         if n < batch.num_rows:
 
             def chained(first: pa.RecordBatch = batch.slice(n)) -> Iterator[pa.RecordBatch]:
