@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import chars
 from strataloom.llm.quality import COMMON_EN, COMMON_ZH
+from strataloom.llm.tables import written
 
 LABELS = ("none", "email", "phone", "idnum", "address", "person")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[ID]", "address": "[ADDRESS]", "person": "[NAME]"}
@@ -111,6 +112,11 @@ _TAIL_VERB = re.compile(r"^(?:[’']s)?[\s,.()\[\]\\]*(?:[a-z]+(?:ed|s|ly)?\b|$|
 _BREAK = re.compile(r"[。！？!?\n]|<(?:/?p|br|/?li|/?div|/?h\d|/?blockquote)\b|(?<=[a-z])\.\s")
 
 
+#: Characters often met in given names, and characters that mostly are function words; both are features only.
+USUAL_GIVEN = frozenset(
+    "国强建军明伟志海天小雨文华杰峰磊静丽敏娟涛超鹏辉刚勇平红玉兰英秀芳春梅晓东林波斌宇浩然子轩欣怡佳思梦洁雪云龙飞亮光荣成德永福祥新中立宏大学家庆生正安宁清美玲霞燕琴艳莉晨阳凯俊豪威武利民心月星河山川青松柏竹若如诗书墨言婉晴岚"
+)
+FUNCTION_HAN = frozenset("的一是不了在有我他她它这个们来上和地到以说时要就出会可也你对能而那得于着下之过发后里用么去都同现当没动面起看还些其把被让给再先换更最很则虽即将已曾每几两何谁哪怎什且或者与及但因只从想比等很并至否未")
 #: Characters that begin a common verb or adverb after a name of one given character.
 _VERB_HEADS = frozenset("当见建一居其后这在和与的还把就果仍总反难简几偶往通恐未渐大多确")
 
@@ -132,13 +138,13 @@ def _checksum(digits: str) -> bool:
 
 
 class Finder:
-    """Candidate items of a text. ``common``: characters too frequent in the corpus to begin a given name."""
+    """Candidate items of a text. Every family name before a Han character is one; ``common``, the frequent characters
+    of the corpus, and ``words``, pairs with a family name in many of its texts, only tell features of it."""
 
-    def __init__(self, common: str) -> None:
-        banned = re.escape("".join(sorted(set(common)))) or "　"
+    def __init__(self, common: str, words: frozenset[str] = frozenset()) -> None:
         two = "|".join(FAMILY_TWO)
-        self.banned = frozenset(common)
-        self.name = re.compile(rf"(?:{two}|[{FAMILY}])(?=[一-鿿])(?=[^{banned}])")
+        self.banned, self.words = frozenset(common), words
+        self.name = re.compile(rf"(?:{two}|[{FAMILY}])(?=[一-鿿])")
         self.strong = re.compile(rf"(?:收件人|联系人|收货人|(?:姓名|署名|落款|户名)\s?[：:]\s?|我叫|名叫|原稿在|收款人|户名\s?[：:]\s?)(?P<name>(?:{two}|[{FAMILY}])[一-鿿]{{1,2}})(?![一-鿿]{{2}}(?:公司|店|馆))")
 
     def __call__(self, raw: str) -> list[Candidate]:
@@ -192,13 +198,18 @@ class Finder:
             if any(a <= m.start() < b for a, b in covered):
                 continue
             self._english(text, m, found)
+        labelled = {m.start("name") for m in self.strong.finditer(text)}
         starts: list[tuple[int, int, str]] = []
         for m in self.name.finditer(text):
+            if text[m.end()] in self.banned:
+                if m.start() not in labelled:
+                    add(self._usual(text, m))
+                continue
             c = Candidate(m.start(), self._name_end(text, m.end()), "person", "zh_name", text[m.start() : m.end() + 1])
             c.features.append("two_family" if len(m.group()) == 2 else "one_family")
             c.features.append("family_common" if m.group()[-1] in self.banned and len(m.group()) == 1 else "family_rare")
             after = self.name.match(text, m.end())
-            if after:
+            if after and text[after.end()] not in self.banned:
                 c.features.append("inner_common" if c.features[-1] == "family_common" else "inner_rare")
             if starts and starts[-1][1] > m.start() and starts[-1][2] == "family_rare":
                 c.features.append(f"inside_{starts[-1][2]}")
@@ -208,6 +219,29 @@ class Finder:
             add(Candidate(m.start("name"), m.end("name"), "person", "zh_labelled", m["name"][:2] if m["name"][:2] not in FAMILY_TWO else m["name"][:3]))
         return self._finish(text, found)
 
+    def _usual(self, text: str, m: re.Match) -> Candidate:
+        """A candidate whose given name begins with a common character; its features have weights of their own."""
+        start, given = m.start(), m.end()
+        end = self._name_end(text, given)
+        c = Candidate(start, end, "person", "zh_common", text[start : given + 1])
+        traits = ["two_family" if given - start == 2 else "one_family"]
+        traits.append(f"usual{sum(x in USUAL_GIVEN for x in text[given:end])}of{end - given}")
+        if any(x in FUNCTION_HAN and x not in USUAL_GIVEN for x in text[given:end]):
+            traits.append("function")
+        if text[given - 1 : given + 1] in self.words:
+            traits.append("word")
+        left = text[start - 1 : start] if start else ""
+        if left + text[start] in self.words or left + text[start] in ("感谢", "多谢", "谢谢", "答谢"):
+            traits.append("left_word")
+        if any(text[k : k + 2] in self.words for k in range(given, end)):
+            traits.append("right_word")
+        free = "known" if len(traits) > 2 else "free"
+        traits.append("han_left" if "一" <= left <= "鿿" else "edge_left")
+        traits.append("tail" if _TAIL_NAME.match(text[end : end + 6]) or text[end : end + 1] in tuple("也又却") else "no_tail")
+        traits += [f"{free}&{traits[1]}", f"{free}&{traits[1]}&{traits[-2]}&{traits[-1]}"]
+        c.features = [f"common:{t}" for t in traits]
+        return c
+
     def _name_end(self, text: str, given: int) -> int:
         """The end of a name whose given name begins at ``given``: one or two characters."""
         second = text[given + 1 : given + 2]
@@ -283,13 +317,19 @@ class Finder:
         order = {"email": 0, "email_hash": 0, "email_word": 0, "zh_address": 1, "en_address": 1}
         found.sort(key=lambda c: (order.get(c.shape, 2), c.start, -c.end))
         kept: list[Candidate] = []
+        first: dict[tuple[int, str], Candidate] = {}
+        block: dict[int, list[Candidate]] = {}  # the kept items that touch each stretch of 64 characters
         for c in found:
-            if any(c.start < k.end and k.start < c.end and not (k.label == c.label == "person" and k.start != c.start) for k in kept[-400:] if abs(k.start - c.start) < 200):
-                same = [k for k in kept if k.start == c.start and k.label == c.label]
+            touched = range(c.start >> 6, (max(c.end, c.start + 1) - 1 >> 6) + 1)
+            if any(c.start < k.end and k.start < c.end and not (k.label == c.label == "person" and k.start != c.start) for b in touched for k in block.get(b, ())):
+                same = first.get((c.start, c.label))
                 if same:
-                    same[0].features.append(c.shape)
+                    same.features.append(c.shape)
                 continue
             kept.append(c)
+            first.setdefault((c.start, c.label), c)
+            for b in touched:
+                block.setdefault(b, []).append(c)
         kept.sort(key=lambda c: c.start)
         for c in kept:
             left, right = text[max(0, c.start - 40) : c.start], text[c.end : c.end + 20]
@@ -297,6 +337,14 @@ class Finder:
             for name, pattern in _LABELS_LEFT:
                 if pattern.search(left[-40:]):
                     c.features.append(f"left={name}")
+            if c.shape == "zh_common":
+                c.features = [f if f.startswith("common:") else f"common:{f}" for f in c.features]
+                if _PLACE_NAME.match(text[c.start : c.start + 6]):
+                    c.features.append("common:place")
+                if re.search(r"@\S{0,8}$", left):
+                    c.features.append("common:mention")
+                c.features.append("common:bias")
+                continue
             if c.label == "person":
                 if c.shape.startswith("zh"):
                     c.features.append("han_left" if left[-1:] and "一" <= left[-1] <= "鿿" else "edge_left")
@@ -352,13 +400,21 @@ class Field:
 
     def marginals(self, items: list[Candidate], rounds: int = 12) -> np.ndarray:
         """The probability that each item is personal, by damped loopy sum-product messages."""
-        own = self.potentials(items)
-        near, far = self.edges(items)
+        return self.marginals_of([items], rounds)
+
+    def marginals_of(self, texts: list[list[Candidate]], rounds: int = 12) -> np.ndarray:
+        """The same for the items of many texts, one after the other; no message goes from one text to another."""
+        own = self.potentials([c for items in texts for c in items])
+        near, far, base = [], [], 0
+        for items in texts:
+            for into, edges in zip((near, far), self.edges(items)):
+                into += [(i + base, j + base) for i, j in edges]
+            base += len(items)
         pairs = near + far
         if pairs:
             a = np.array([p[0] for p in pairs] + [p[1] for p in pairs])
             b = np.array([p[1] for p in pairs] + [p[0] for p in pairs])
-            table = np.stack([self.chain] * len(near) + [self.skip] * len(far) + [self.chain.T] * len(near) + [self.skip.T] * len(far))
+            table = np.stack([self.chain, self.skip, self.chain.T, self.skip.T]).repeat([len(near), len(far)] * 2, axis=0)
             back = np.r_[np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))]
             message = np.zeros((len(a), 2))
             for _ in range(rounds):
@@ -411,43 +467,102 @@ COMMON_SHARE = 6e-5
 THRESHOLD = 0.5
 
 
+#: A pair with a family name is a word if more than this share of the distinct texts, and more than 20, have it.
+WORD_SHARE = 5e-4
+_HAN, _SPAN = 0x4E00, 0x5200
+
+
 def _count_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0x5200, dtype=np.int64)
+    """Occurrences of each Han character (``c`` under _SPAN), and the texts with each pair of which one is a family name."""
+    total = np.zeros(_SPAN, dtype=np.int64)
+    family = np.zeros(_SPAN, dtype=bool)
+    family[[ord(c) - _HAN for c in FAMILY + "".join(FAMILY_TWO)]] = True
+    pairs, counts, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     for batch in batches:
         texts = [t for t in batch.column(0).to_pylist() if t]
+        size += len(texts)
         for low, high in chars.slices(np.array([len(t) for t in texts])):
-            codes = chars.flat(chars.join(texts[low:high]))
-            codes = codes[(codes >= 0x4E00) & (codes < 0x4E00 + 0x5200)] - 0x4E00
-            total += np.bincount(codes, minlength=0x5200)
+            codes = chars.flat(chars.join(texts[low:high])).astype(np.int64)
+            row = np.cumsum(codes == 0)
+            codes -= _HAN
+            han = (codes >= 0) & (codes < _SPAN)
+            total += np.bincount(codes[han], minlength=_SPAN)
+            at = np.flatnonzero(han[:-1] & han[1:])
+            at = at[family[codes[at]] | family[codes[at + 1]]]
+            pair = codes[at] * _SPAN + codes[at + 1] + _SPAN
+            seen, n = np.unique(np.unique(row[at] << 32 | pair) & 0xFFFFFFFF, return_counts=True)
+            pairs, back = np.unique(np.r_[pairs, seen], return_inverse=True)
+            counts = np.bincount(back, weights=np.r_[counts, n], minlength=len(pairs)).astype(np.int64)
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["c", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some, pairs].astype(np.int64)), pa.array(np.r_[size, total[some], counts])], names=["c", "n"])
 
 
-def common_characters(texts: DataFrame) -> str:
-    """The Han characters of more than COMMON_SHARE of all Han characters; counted over all rows.
+@dataclass(frozen=True)
+class Commonness:
+    """Frequent characters, and pairs with a family name that are in many texts."""
+
+    characters: str
+    words: frozenset[str]
 
-    At most 20,992 counts reach the driver, whatever the size of the corpus.
+
+def commonness(texts: DataFrame) -> Commonness:
+    """The Han characters of more than COMMON_SHARE of all Han characters and the words with a family name.
+
+    Every distinct text counts once, so copies and recaptures make nothing common. At most 20,992 counts of characters
+    reach the driver, and the pairs of more than WORD_SHARE of the texts.
     """
-    counts = texts.mapInArrow(_count_chars, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    counted = written(texts.dropDuplicates().mapInArrow(_count_chars, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")), "commonness")
+    counts = counted.where(F.col("c") < _SPAN).collect()
+    size = sum(r.n for r in counts if r.c < 0)
+    counts = [r for r in counts if r.c >= 0]
     total = sum(r.n for r in counts)
-    frequent = {chr(0x4E00 + r.c) for r in counts if r.n > max(COMMON_SHARE * total, 20)}
-    return "".join(sorted(frequent | set(COMMON_ZH)))
+    frequent = {chr(_HAN + r.c) for r in counts if r.n > max(COMMON_SHARE * total, 20)}
+    pairs = counted.where((F.col("c") >= _SPAN) & (F.col("n") > max(WORD_SHARE * size, 20))).collect()
+    words = frozenset(chr(_HAN + (r.c - _SPAN) // _SPAN) + chr(_HAN + (r.c - _SPAN) % _SPAN) for r in pairs)
+    return Commonness("".join(sorted(frequent | set(COMMON_ZH))), words)
+
+
+def common_characters(texts: DataFrame) -> str:
+    """The characters of ``commonness``."""
+    return commonness(texts).characters
 
 
 @functools.lru_cache(maxsize=4)
-def _model(common: str) -> tuple[Finder, Field]:
+def _model(common: str | Commonness) -> tuple[Finder, Field]:
     from strataloom.llm import pii_samples
 
-    return Finder(common), fit(Finder(pii_samples.common()), pii_samples.documents())
+    known = common if isinstance(common, Commonness) else Commonness(common, pii_samples.WORDS)  # words that were not counted
+    return Finder(known.characters, known.words), fit(Finder(pii_samples.common(), pii_samples.WORDS), pii_samples.documents() + pii_samples.common_names())
 
 
-def find_in(text: str, common: str = "", threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
+def find_in(text: str, common: str | Commonness = "", threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, probability) of each item of one text, in code points."""
+    return find_each([text], common, threshold)[0]
+
+
+def find_each(texts: list[str], common: str | Commonness = "", threshold: float = THRESHOLD) -> list[list[tuple[str, int, int, float]]]:
+    """``find_in`` of every text; the messages of up to 256 texts go in the same arrays."""
     finder, model = _model(common)
-    items = finder(text)
-    if not items:
-        return []
-    return [(c.label, c.start, c.end, float(p)) for c, p in zip(items, model.marginals(items)) if p >= threshold]
+    out = []
+    for low in range(0, len(texts), 256):
+        items = [finder(t) for t in texts[low : low + 256]]
+        sure = iter(model.marginals_of(items).tolist() if any(items) else ())
+        out += [_chosen([(c, next(sure)) for c in row], threshold) for row in items]
+    return out
+
+
+def _chosen(items: list[tuple[Candidate, float]], threshold: float) -> list[tuple[str, int, int, float]]:
+    out: list[tuple[Candidate, float]] = []
+    for c, p in items:
+        if p < threshold:
+            continue
+        # of two readings that share characters the likelier one holds, where one begins with a common character
+        if out and out[-1][0].end > c.start and "zh_common" in (c.shape, out[-1][0].shape) and out[-1][0].label == c.label:
+            if p <= out[-1][1]:
+                continue
+            out.pop()
+        out.append((c, p))
+    return [(c.label, c.start, c.end, p) for c, p in out]
 
 
 def replaced(text: str, found: list[tuple[str, int, int, float]]) -> str:
@@ -461,13 +576,12 @@ def replaced(text: str, found: list[tuple[str, int, int, float]]) -> str:
     return "".join(out) + text[last:]
 
 
-def _scan(common: str, carried: int, with_text: bool):
+def _scan(common: str | Commonness, carried: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(carried).to_pylist()
             row, kind, start, end, clean = [], [], [], [], []
-            for k, text in enumerate(texts):
-                found = find_in(text, common)
+            for k, (text, found) in enumerate(zip(texts, find_each(texts, common))):
                 if with_text:
                     row.append(k)
                     clean.append(replaced(text, found))
@@ -496,14 +610,14 @@ def _prepared(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, str
     return rows, ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keys)))
 
 
-def personal_items(df: DataFrame, keys: list[str], text: str, common: str) -> DataFrame:
+def personal_items(df: DataFrame, keys: list[str], text: str, common: str | Commonness) -> DataFrame:
     """One row per occurrence: ``keys``, ``kind``, ``start_pos``, ``end_pos`` in code points of the raw text (problem 2).
 
     Method: a skip-chain conditional random field. Candidate items (addresses of mail, numbers, places, names)
     are its nodes; neighbours within forty characters and repeats of an item, however distant, share pair
     potentials; loopy message passing gives each candidate's probability within its document. Its weights are
-    trained piecewise on labelled documents made by ``pii_samples``; ``common`` (see ``common_characters``) are
-    the corpus's frequent characters, which do not begin a given name.
+    trained piecewise on labelled documents made by ``pii_samples``; ``common`` (see ``commonness``) are the
+    corpus's frequent characters and words, which are features of a name and exclude none.
 
     Null and empty texts give no row; repeated rows give repeated rows; whole texts are read.
     """
@@ -513,7 +627,7 @@ def personal_items(df: DataFrame, keys: list[str], text: str, common: str) -> Da
     return found.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keys)], "kind", "start_pos", "end_pos")
 
 
-def redact(df: DataFrame, keys: list[str], text: str, common: str) -> DataFrame:
+def redact(df: DataFrame, keys: list[str], text: str, common: str | Commonness) -> DataFrame:
     """``keys``, ``clean`` (typed placeholders in place of the items) and ``kinds`` (of the items, in order); nulls are left out."""
     rows, schema = _prepared(df, keys, text)
     found = rows.mapInArrow(_scan(common, len(keys), True), f"{schema}, clean string, kinds array<string>")

@@ -18,6 +18,18 @@ ZH_TOWNS = ("海丰", "金城", "云山")
 FILLER_ZH = ("今天的天气不错。", "这个问题大家讨论过很多次了。", "我觉得还是要看情况，别着急。", "周末打算去爬山。")
 FILLER_EN = ("The weather was fine today. ", "We talked about it many times. ", "I think it depends on the case. ", "They saw 3 kinds of road last year. ")
 
+#: Given characters that are frequent in any text, and sentences in which family names are parts of words.
+USUAL = "国强建军明伟志海天小雨文华生家大心学"
+OTHER_COMMON = "好看想行点作成道理面定"
+ORDINARY = (
+    "周末打算去爬山。", "一周后再看。", "非常大的变化。", "平时常去那里。", "范围很广。", "水平不高。", "何况我没有去。", "尤其是这样。", "麻烦在于时间。", "几十元的价格。", "高原的天气。", "高兴得很。", "乐队来了。", "方程的解。", "方法很多。", "用金的做。", "云的形状。", "马上就去。", "万一不行呢？",
+    "安全第一。", "通常会好。", "常见的问题。", "许多人都说好。", "和平时一样。", "方便的话。", "任何人都行。", "张开嘴。", "季节变了。", "温度不高。", "黄色的花。", "史料很少。", "项目完成了。", "强调一下。", "路上小心。", "路线很长。", "于是他走了。", "白云在天上。", "江水很大。", "这方面不懂。", "平常心就好。", "花时间学。", "花生好吃。", "康复得很快。", "周期很长。",
+    "水面很平。", "国家安定。", "地方文学。", "周天再说。", "金文很难懂。", "古文化很多。", "平等看待。", "上方有人。", "石家庄大道。", "毛病不少。", "时常想起。", "皮面很好。", "成为作家。", "汤好喝，", "苗长得好，", "席上都是客人，", "席是新的，", "水生植物。", "云海很美。", "高明的人。", "安心学习。", "平生第一次。", "方向盘。", "马路对面。", "万里无云。", "夏天很热。", "明天见。", "雷雨天气。", "花心思。", "华文学校。", "严明的纪律。", "成都很远。",
+    "尤其大约三次。", "尤其在夏天，", "周期大约三年。", "花时大约一天，", "高原反应。", "方程在书里。", "江口市很远。", "水平在上升。", "范围还在变大。", "麻烦还在后面。", "康复后再说。", "何况还有他。", "在江口市待过。", "管辖权的来源，", "方志的效果。",
+)
+#: Those of their pairs that stand for words of many texts; the others are as rare as names.
+WORDS = frozenset("周末 一周 非常 平时 范围 水平 何况 尤其 麻烦 元的 高原 高兴 乐队 方程 方法 马上 万一 安全 通常 常见 许多 和平 方便 任何 季节 温度 黄色 史料 项目 路上 路线 江水 方面 平常 花时 花生 康复 周期 水面 地方 毛病 时常 夏天 雷雨 马路 方向 安心 成都 明天".split())
+
 
 def _date(r: random.Random) -> str:
     return f"{r.randint(1950, 2005)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}"
@@ -90,7 +102,7 @@ NEGATIVE = (
 
 def common() -> str:
     """The characters that count as frequent in these documents."""
-    fixed = "".join(FILLER_ZH) + "".join(b + a for b, _, a in POSITIVE) + COMMON_SURNAMES + "汤很好大路街"
+    fixed = "".join(FILLER_ZH) + "".join(b + a for b, _, a in POSITIVE) + COMMON_SURNAMES + "汤很好大路街" + USUAL + OTHER_COMMON + "".join(ORDINARY)
     return "".join(sorted({c for c in fixed if "一" <= c <= "鿿" and c not in GIVEN and c not in RARE_SURNAMES}))
 
 
@@ -114,3 +126,27 @@ def documents(count: int = 1200, seed: int = 20240611) -> list[tuple[str, set[tu
                 text += r.choice(NEGATIVE).format(o=f"20{r.randint(10**15, 10**16 - 1)}", d6=f"{r.randint(0, 999999):06d}", d8=f"{r.randint(0, 10**8 - 1):08d}", d1=r.randint(2, 40), fake=f"20{r.randint(1000, 9999)}{_date(r)}{r.randint(0, 9999):04d}")
         out.append((text, truth))
     return out
+
+
+def common_names(count: int = 1200, seed: int = 20240612) -> list[tuple[str, set[tuple[str, int]]]]:
+    """Texts with names of common given characters, among words that begin or end with a family name."""
+    from strataloom.llm.pii import FAMILY
+
+    r = random.Random(seed)
+    before_after = [(b, a) for b, kind, a in POSITIVE if kind == "zh_name"]
+    out = []
+    for _ in range(count):
+        text, truth, used = "", set(), ""
+        for _ in range(r.randint(2, 6)):
+            if r.random() < 0.35:
+                family = r.choice(TWO) if r.random() < 0.1 else r.choice(COMMON_SURNAMES + RARE_SURNAMES) if r.random() < 0.6 else r.choice(FAMILY)
+                given = "".join(r.choice(USUAL if r.random() < 0.85 else OTHER_COMMON) for _ in range(r.choice((1, 2, 2, 2, 2, 2))))
+                before, after = r.choice(before_after)
+                used = used if used and r.random() < 0.35 else family + given
+                text += before
+                truth.add(("person", len(text)))
+                text += used + after
+            else:
+                text += "".join(r.choice(("", "", "", "", "和", "与", "我找", "感谢")) + r.choice(ORDINARY) for _ in range(r.randint(1, 5)))
+        out.append((text, truth))
+    return out

@@ -23,9 +23,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 FREE_TEXTS = (("answers", "content"), ("comments", "contentmarkdown"))
 
 
-def _common(spark: SparkSession, folder: str) -> str:
+def _common(spark: SparkSession, folder: str) -> pii.Commonness:
     texts = [table(spark, folder, tab).select(F.col(column).alias("t")) for tab, column in FREE_TEXTS]
-    return pii.common_characters(texts[0].unionByName(texts[1]))
+    return pii.commonness(texts[0].unionByName(texts[1]))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

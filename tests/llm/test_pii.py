@@ -80,3 +80,27 @@ def test_operator_and_replacement(spark):
     assert clean == {"1": "电话[PHONE]，找我。", "4": "无"}
     assert pii.personal_items(df.limit(0), ["id"], "content", "").count() == 0
     assert "的" in pii.common_characters(df.select("content"))
+
+
+@pytest.mark.parametrize("name", ["李国强", "陈天明", "王建军", "周小雨"])
+def test_names_of_common_given_characters(name):
+    common = pii.Commonness("".join(sorted(set(pii_samples.common()) | pii.COMMON_ZH | set("国建明军志海小天子雨强"))), pii_samples.WORDS)
+    for text in (f"昨天{name}没有来。", f"我跟{name}聊过。", f"当时{name}在场。"):
+        assert [(kind, text[a:b]) for kind, a, b, _ in pii.find_in(text, common)] == [("person", name)]
+    assert pii.find_in("周末打算去爬山，水平不高。", common) == []
+
+
+def test_a_text_copied_to_a_third_of_the_rows_makes_nothing_common(spark):
+    rng = pii.np.random.default_rng(5)
+    others = ["".join(chr(0x5000 + k) for k in rng.integers(0, 4000, 40)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in ["我跟秦珩栖聊过。"] * 100 + others], "content string")
+    common = pii.commonness(df)
+    assert "珩" not in common.characters and "栖" not in common.characters and "秦珩" not in common.words
+    once = pii.commonness(df.distinct())
+    assert once == common
+
+
+def test_nothing_is_found_inside_a_mail_address_among_hundreds():
+    text = "".join(f"mail ada{k}@post.example or 159-1234-{k:04d}@post.example now. " for k in range(500))
+    got = pii.find_in(text)
+    assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
