@@ -125,12 +125,24 @@ def run_ingest(spark: SparkSession, args: argparse.Namespace) -> dict:
     return {"answers": table.count(), "questions": table.select("questionid").distinct().count()}
 
 
+#: Questions that the envelope of ``status`` lists; the table below --out has all.
+LISTED = 10_000
+
+
 def run_status(spark: SparkSession, args: argparse.Namespace) -> dict:
-    """The questions below a folder with their answers."""
+    """The questions below a folder with their answers.
+
+    All rows are counted, and written to ``status`` below --out if that is given; the envelope lists the first LISTED,
+    ``truncated`` are the others.
+    """
     docs = files.question_documents(spark, args.inputs, skip_corrupt=True)
-    rows = docs.where(tx.valid_id("directory")).select("directory", "corrupt", F.coalesce(F.size("doc.answers"), F.lit(0)).alias("answers")).orderBy("directory")
-    listed = [r.asDict() for r in rows.limit(10_000).collect()]
-    return {"questions": listed, "corrupt": sum(r["corrupt"] for r in listed)}
+    rows = docs.where(tx.valid_id("directory")).select("directory", "corrupt", F.coalesce(F.size("doc.answers"), F.lit(0)).alias("answers"))
+    made = written(rows, "status")
+    if args.out:
+        made.write.mode("overwrite").parquet(os.path.join(args.out, "status"))
+    total = made.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.count_if("corrupt"), F.lit(0)).alias("corrupt"), F.coalesce(F.sum("answers"), F.lit(0)).alias("answers")).first()
+    listed = [r.asDict() for r in made.orderBy("directory").limit(LISTED).collect()]
+    return {"questions": listed, "total": total.total, "answers": total.answers, "corrupt": total.corrupt, "truncated": total.total - len(listed)}
 
 
 COMMANDS = {"stats": run_stats, "sample": run_sample, "digest": run_digest, "archive": run_archive, "verify": run_verify, "ingest": run_ingest, "status": run_status}
@@ -140,7 +152,7 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="strataloom")
     out.add_argument("command", choices=sorted(COMMANDS))
     out.add_argument("inputs", nargs="+")
-    out.add_argument("--out", default="out")
+    out.add_argument("--out", default=None)
     out.add_argument("--master")
     out.add_argument("--top", default=6)
     out.add_argument("--max-chars", default=None)
@@ -156,6 +168,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         args = parser().parse_args(argv)
     except SystemExit as stop:
         return OK if stop.code in (0, None) else USAGE
+    if args.out is None and args.command != "status":
+        args.out = "out"
     if args.max_chars is None:
         args.max_chars = {"sample": 1300, "digest": 24_000}.get(args.command)
     try:

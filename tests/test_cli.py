@@ -36,3 +36,16 @@ def test_errors(capsys, spark, tmp_path):
     code, got = call(capsys, spark, "digest", str(tmp_path), "--max-chars", "1")
     assert code == 2 and got["error"]["type"] == "invalid_argument" or code == 1
     assert cli.main(["nonsense"], spark) == 2
+
+
+def test_status_counts_what_it_does_not_list(capsys, spark, tmp_path, monkeypatch):
+    for q in ("1", "2", "3", "4"):
+        (tmp_path / "in" / q).mkdir(parents=True)
+        text = "{broken" if q == "4" else json.dumps({"questionId": q, "questionTitle": "t", "answers": [{"id": "1", "content": "x"}]})
+        (tmp_path / "in" / q / "answers.json").write_text(text)
+    monkeypatch.setattr(cli, "LISTED", 2, raising=False)
+    out = str(tmp_path / "out")
+    code, got = call(capsys, spark, "status", str(tmp_path / "in"), "--out", out)
+    assert code == 0 and [r["directory"] for r in got["questions"]] == ["1", "2"]
+    assert (got["total"], got["answers"], got["corrupt"], got["truncated"]) == (4, 3, 1, 2)
+    assert sorted(r.directory for r in spark.read.parquet(out + "/status").collect()) == ["1", "2", "3", "4"]
