@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strataloom.llm.quality import COMMON_EN, COMMON_ZH, STOP_EN, STOP_ZH
+
 P1_FOUND = """
 WITH firsts AS (
   SELECT * FROM answers WHERE id IS NOT NULL
@@ -32,5 +34,26 @@ WHERE list_max(list_transform(
 """
 
 
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+P8_COUNTS = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\\P{{L}}\\x{{3400}}-\\x{{9FFF}}]+') AS latin,
+    regexp_extract_all(text, '[\\x{{3400}}-\\x{{9FFF}}]') AS han, regexp_extract_all(text, '\\p{{N}}+') AS numbers
+  FROM documents WHERE text IS NOT NULL
+), counted AS (
+  SELECT doc_id, len(latin) AS a, len(han) AS h, len(numbers) AS n, coalesce(list_sum(list_transform(latin, lambda x: length(x))), 0) AS letters,
+    len(list_filter([{_listed(STOP_EN)}], lambda x: list_contains(latin, x))) + len(list_filter([{_listed(STOP_ZH)}], lambda x: list_contains(han, x))) AS stops,
+    len(list_filter(latin, lambda x: list_contains([{_listed(COMMON_EN)}], x))) + len(list_filter(han, lambda x: list_contains([{_listed(COMMON_ZH)}], x))) AS common
+  FROM words
+)
+SELECT doc_id, CAST(a + h + n AS INTEGER) AS word_count, round(letters / greatest(a, 1), 6) AS mean_word_length,
+  round((a + h) / greatest(a + h + n, 1), 6) AS alpha_words, CAST(stops AS INTEGER) AS stop_words, round(common / greatest(a + h + n, 1), 6) AS common_share
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p8_counts": P8_COUNTS}

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import chars
+from strataloom.llm.tables import written
 
 
 #: Frequent function words of English and frequent characters of Chinese.
@@ -47,54 +46,30 @@ PUNCTUATED_LINES = 0.12
 COMMON = 0.08
 #: A form that holds more than this share of the characters decides.
 MAJORITY = 0.5
-
-_BULLET = re.compile(
-    r"^\s*(?:[-*+•·◦‣▪●○■□◆◇➢➤✓✔☐☑☒]\s+|[-*+]\s*\[[ xX]\]\s*|\(?\d{1,3}[.)、．]\s*(?=\D)|[（(][0-9一二三四五六七八九十]{1,3}[)）]\s*|[①-⑳]\s*"
-    r"|[a-zA-Z][.)]\s+|[一二三四五六七八九十]{1,3}[、.．]\s*|第[0-9一二三四五六七八九十百]{1,4}[章节条部回]\s*|\[[ xX✓]\]\s*)"
-)
-_LINK = re.compile(r"^\s*(?:[-*•]\s*)?\[[^\]\n]{0,200}\]\([^)\s]{1,400}\)[。.;；]?\s*$")
-_LEADER = re.compile(r"(?:\.\s?){4,}\s*\d{1,5}\s*$|[…·]{2,}\s*\d{1,5}\s*$")
-_HEADING = re.compile(r"^\s*(?:#{1,6}\s|\[SOURCE )")
-_SENTENCE = re.compile(r"[。！？!?；;…]|\.(?=\s|$)|，|, ")
-_END = re.compile(r"[.!?。！？…;；:：\"'”’」』)）]\s*$")
-_PAGE = re.compile(r"^\s*(?:第\s*\d+\s*[页頁](?:\s*[,，/共]?\s*共?\s*\d+\s*[页頁])?|page\s+\d+(?:\s+of\s+\d+)?|[-–—]?\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-–—]?|p\.\s*\d+)\s*$", re.I)
-_NOTICE = re.compile(
-    r"copyright|all rights reserved|cookies?|subscribe|privacy|log ?in|sign ?(?:in|up)|terms of|advert|read more|版权|转载|登录|注册|首页|上一页|下一页"
-    r"|展开|收起|热榜|关注|举报|分享|广告|备案|客服|查看更多|写回答|隐私",
-    re.I,
-)
-#: Phrases of notices that may also be whole sentences.
-_STRONG = re.compile(
-    r"all rights reserved|版权所有|未经授权|禁止转载|cookies? to|enable (?:javascript|cookies)|loading\.{2,}|please wait|error \d{3}|request blocked|access denied|not found"
-    r"|浏览器版本|加载失败|加载中|请刷新|刷新重试|无法显示|登录后|已折叠|已被删除|违反|点击(?:这里|查看|展开|下载)|扫码|下载\s*app|打开\s*app|阅读全文|展开全文|inappropriate|unsupported browser|try again"
-    r"|sign in to|log in to|terms of (?:use|service)|privacy policy",
-    re.I,
-)
-_KEY = re.compile(r"^\s*([^\s:：|,\t][^:：|\t]{0,23}?)\s*[:：]\s*(.{0,60})$")
-_WORD = re.compile(r"[a-zA-Z]+(?:['’-][a-zA-Z]+)*|[㐀-鿿]|\d+(?:[.,]\d+)*|[^\W\d_]+")
-_HAN = re.compile(r"[㐀-鿿]")
-_MOJIBAKE = re.compile(r"[\x80-\xff�ŒœŠšŽžŸƒˆ˜€™]")
-_MOJIBAKE_ZH = re.compile(r"锟斤拷|烫烫烫|屯屯屯|[-]")
-_CELLS = ((re.compile(r"\t"), "t"), (re.compile(r"\s*[│┃]\s*"), "b"), (re.compile(r"\s*\|\s*"), "p"), (re.compile(r"(?<=\S) {2,}(?=\S)|　{2,}"), "w"), (re.compile(r"[;；](?! )"), "s"), (re.compile(r",(?! )|，"), "c"))
-_RULE = re.compile(r"^[\s\-=_+|:*#~│┌┐└┘├┤┬┴┼─━]+$")
-_CLOSERS = str.maketrans("", "", "\"'")
-
+#: Thresholds of a line: broken characters, least share of letters and digits.
+BROKEN_SHARE, LETTER_SHARE = 0.25, 0.3
+#: A sentence on a line of its own, of fewer characters than SHORT_LINE, is a notice if more than FREQUENT of the
+#: distinct texts have it, and at least FREQUENT_LEAST.
+SHORT_LINE, FREQUENT, FREQUENT_LEAST = 60, 0.001, 3
 
 # ---------------------------------------------------------------- vectorised statistics
 
-#: Characters that end a line, that part clauses, that stand for a symbol, and bullets.
+#: Characters that end a line, that part clauses, that end sentences, that stand for a symbol, and bullets.
 _ENDS = ".!?。！？…;；:：\"'”’」』)）》】"
 _CLAUSE_ENDS = "，。！？；"
+_STOPS = "。！？!?；;…"
 _SYMBOLS = "#…|│\ufffd¬¦§"
 _BULLETS = "-*+•·◦‣▪●○■□◆◇➢➤✓✔☐☑☒"
 _NUMERALS = "一二三四五六七八九十"
-_BROKEN = "\t│|_[ŒœŠšŽžŸƒˆ˜€™\ufffd锟烫屯"
-#: Words and characters of a natural sentence that are looked for in the quick test of a line.
-_FUNCTION_EN = ("the", "of", "to", "and", "a", "is", "in", "for", "on", "with", "you", "was")
-_FUNCTION_ZH = "的了是在和把会有不这我要"
+_RULES = "-=_+|:*#~│┌┐└┘├┤┬┴┼─━ \t"
+#: Characters that UTF-8 read as another encoding leaves behind, beside U+0080 to U+00FF and the private area.
+_BROKEN = "ŒœŠšŽžŸƒˆ˜€™\ufffd"
 
 LETTER, HAN, DIGIT, SPACE, BREAK = 1, 2, 4, 8, 16
-END_MARK, CLAUSE, SYMBOL, BULLET, COMMON_CHAR, FUNCTION_CHAR, STRANGE, OPENING = 32, 64, 128, 256, 512, 1024, 2048, 4096
+END_MARK, CLAUSE, SYMBOL, BULLET, COMMON_CHAR, STOP, STRANGE, RULE = 32, 64, 128, 256, 512, 1024, 2048, 4096
+#: Kinds of lines.
+FORMS = ("prose", "list", "table", "junk")
+PROSE, LIST, TABLE, JUNK, NEUTRAL, RULED = range(6)
 
 
 @functools.cache
@@ -113,14 +88,18 @@ def _classes() -> np.ndarray:
             out[code] |= SPACE
     out[[0, 10, 13]] |= BREAK | SPACE
     out[0xFEFF] |= SPACE
-    for flag, text in ((END_MARK, _ENDS), (CLAUSE, _CLAUSE_ENDS), (SYMBOL, _SYMBOLS), (BULLET, _BULLETS), (COMMON_CHAR, "".join(COMMON_ZH)), (FUNCTION_CHAR, _FUNCTION_ZH), (STRANGE, _BROKEN), (OPENING, "(（#第")):
+    for flag, text in ((END_MARK, _ENDS), (CLAUSE, _CLAUSE_ENDS), (SYMBOL, _SYMBOLS), (BULLET, _BULLETS), (COMMON_CHAR, "".join(COMMON_ZH)), (STOP, _STOPS), (STRANGE, _BROKEN), (RULE, _RULES)):
         out[[ord(c) for c in text]] |= flag
     out[0x80:0x100] |= STRANGE
+    out[0xA0] &= ~np.uint16(STRANGE)
     out[0xE000:0xF900] |= STRANGE
-    out[0x2460:0x2474] |= OPENING
     return out
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.array([ord(x) for x in text], dtype=np.uint32)
+
+
 def _word_hash(words) -> np.ndarray:
     """The hashes that ``Lines`` gives to words in lower case."""
     out = []
@@ -130,6 +109,11 @@ def _word_hash(words) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def _within(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A value's hash within its group (a line or a text of the batch): 24 bits of the group before 40 of the hash."""
+    return (group.astype(np.uint64) << np.uint64(40)) | (value >> np.uint64(24))
+
+
 class Lines:
     """Lines and words of a batch of texts as arrays; blank lines are left out."""
 
@@ -167,53 +151,260 @@ class Lines:
     def per_row(self, rows: np.ndarray) -> np.ndarray:
         return np.bincount(rows, minlength=self.rows)
 
-    def _numbered(self) -> np.ndarray:
-        """Lines that begin with a number, a letter or a numeral before a stop."""
-        k, c = self.cls, self.codes
-        digits = (k[self.first] & DIGIT) > 0
-        stop = np.isin(np.r_[c, 0][self.first + 1], np.array([ord(x) for x in ".、)．）"], dtype=np.uint32))
-        single = ((k[self.first] & LETTER) > 0) | np.isin(c[self.first], np.array([ord(x) for x in _NUMERALS], dtype=np.uint32))
-        return digits | (single & stop)
-
-    def sure(self) -> np.ndarray:
-        """Long lines of clauses with function words and nothing odd: prose without a closer look."""
-        if not len(self.start):
-            return np.zeros(0, dtype=bool)
+    def at(self, offset: int) -> np.ndarray:
+        """The character so many places after each line's first one; 0 behind the line's end."""
+        place = self.first + offset
+        return np.where(place <= self.last, self.codes[np.minimum(place, len(self.codes) - 1)], 0)
+
+    def _run_end(self, outside: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """For each start the next position whose character is ``outside`` of a class (or the end of the text)."""
+        where = np.r_[np.flatnonzero(outside), len(self.codes)]
+        return where[np.searchsorted(where, start)]
+
+    def begins(self, mark: str) -> np.ndarray:
+        out = self.last + 1 - self.first >= len(mark)
+        for k, ch in enumerate(mark):
+            out &= self.at(k) == ord(ch)
+        return out
+
+    def bullets(self) -> np.ndarray:
+        """Lines that begin with a bullet, a box, a number or numeral before a stop, a circled or bracketed number, or a chapter's number."""
+        c, k = np.r_[self.codes, 0, 0], np.r_[self.cls, 0, 0]
+        one, two, three = self.at(0), self.at(1), self.at(2)
+        plain = ((k[self.first] & BULLET) > 0) & (two == 32)
+        box = (one == ord("[")) & np.isin(two, _codes(" xX✓")) & (three == ord("]"))
+        box |= np.isin(one, _codes("-*+")) & (two == ord("["))
+        opening = np.isin(one, _codes("(（"))
+        start = self.first + opening
+        digit_end = self._run_end((self.cls & DIGIT) == 0, start)
+        numeral = np.isin(self.codes, _codes(_NUMERALS + "百0123456789"))
+        numeral_end = self._run_end(~numeral, start)
+        mark = c[digit_end]
+        numbered = (digit_end > start) & (digit_end - start <= 3) & np.isin(mark, _codes(".)、．）")) & ((k[np.minimum(digit_end + 1, len(c) - 1)] & DIGIT) == 0)
+        chinese = (numeral_end > start) & (numeral_end - start <= 3) & np.isin(c[numeral_end], _codes("、.．")) & ~((k[start] & DIGIT) > 0)
+        bracketed = opening & (numeral_end > start) & (numeral_end - start <= 3) & np.isin(c[numeral_end], _codes(")）"))
+        letter = ((k[self.first] & LETTER) > 0) & np.isin(two, _codes(".)")) & (three == 32)
+        circled = (one >= 0x2460) & (one <= 0x2473)
+        after = self._run_end(~numeral, np.minimum(self.first + 1, len(self.codes)))
+        chapter = (one == ord("第")) & (after > self.first + 1) & np.isin(c[after], _codes("章节条部回"))
+        return plain | box | numbered | chinese | bracketed | letter | circled | chapter
+
+    def _parts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each line the number of the sorted positions inside it, and the length of the longest part between them."""
+        inside = self.per_line(at)
+        line = np.repeat(np.arange(len(self.first)), inside)
+        low = np.searchsorted(at, self.start)
+        own = at[np.repeat(low - np.r_[0, np.cumsum(inside)[:-1]], inside) + np.arange(len(line))]
+        edge = np.concatenate([self.first - 1, own, self.last + 1])
+        which = np.concatenate([np.arange(len(self.first)), line, np.arange(len(self.first))])
+        order = np.lexsort((edge, which))
+        edge, which = edge[order], which[order]
+        longest = np.zeros(len(self.first), dtype=np.int64)
+        same = which[1:] == which[:-1]
+        np.maximum.at(longest, which[1:][same], (edge[1:] - edge[:-1] - 1)[same])
+        return inside, longest
+
+    def _near(self, offset: int, value: np.ndarray, outside) -> np.ndarray:
+        """The value of the line so many lines on, in the same text; ``outside`` beyond it."""
+        out = np.full(len(value), outside, dtype=value.dtype)
+        n = len(value)
+        if 0 < abs(offset) < n:
+            here, there = (slice(0, n - offset), slice(offset, n)) if offset > 0 else (slice(-offset, n), slice(0, n + offset))
+            out[here] = np.where(self.line_row[here] == self.line_row[there], value[there], outside)
+        return out
+
+    def kinds(self, frequent: np.ndarray | None = None) -> np.ndarray:
+        """The kind of each line by fixed thresholds on its measures (``frequent``: sorted hashes of lines that many texts share)."""
+        n = len(self.first)
+        if not n:
+            return np.zeros(0, dtype=np.int8)
         c, k = self.codes, self.cls
-        following = np.r_[c[1:], 0]
-        latin_end = np.isin(c, np.array([46, 44, 33, 63], dtype=np.uint32)) & (following == 32)
-        clause = np.flatnonzero(((k & CLAUSE) > 0) | latin_end)
-        word = self.word_at[np.isin(self.word_hash, _word_hash(_FUNCTION_EN))]
-        function = np.sort(np.r_[np.flatnonzero(k & FUNCTION_CHAR), word])
-        dots = c == 46
-        four = np.flatnonzero(dots[:-3] & dots[1:-2] & dots[2:-1] & dots[3:]) if len(c) > 3 else np.zeros(0, int)
-        odd = np.sort(np.r_[np.flatnonzero(k & STRANGE), np.flatnonzero((c == 32) & (following == 32)), four])
-        size = self.last + 1 - self.start
-        begins = ((k[self.first] & (BULLET | OPENING)) > 0) | self._numbered()
-        return (size >= 24) & (self.per_line(odd) == 0) & ~begins & (self.per_line(clause) >= np.maximum(1, size // 150)) & (self.per_line(function) >= np.maximum(1, size // 60))
-
-    def plain_rows(self, sure: np.ndarray) -> np.ndarray:
-        """Texts of sure lines, headings and a few rules only: prose."""
-        if not len(self.start):
-            return np.ones(self.rows, dtype=bool)
-        c = self.codes
+        following, before = np.r_[c[1:], 0], np.r_[0, c[:-1]]
+        inside = np.zeros(len(c) + 1, dtype=np.int32)
+        np.add.at(inside, self.first, 1)
+        np.add.at(inside, self.last + 1, -1)
+        inside = np.cumsum(inside)[:-1] > 0
+
+        def count(mask: np.ndarray) -> np.ndarray:
+            return self.per_line(np.flatnonzero(mask))
+
         size = self.last + 1 - self.first
+        han, digits, words = count(k & HAN), count(k & DIGIT), self.per_line(self.word_at)
+        alnum = han + digits + self.per_line(self.letters)
+        solid = count((k & SPACE) == 0)
+        latin_stop = (c == 46) & ((following == 32) | (following == 10) | (following == 13) | (following == 0))
+        stops = count(((k & STOP) > 0) | latin_stop)
+        commas = count((c == ord("，")) | ((c == 44) & (following == 32)))
+        single = np.zeros(n, dtype=np.int8)  # prose unless a test below says otherwise; the first test that holds decides
+        open_ = np.ones(n, dtype=bool)
+
+        def decide(mask: np.ndarray, kind: int) -> None:
+            single[open_ & mask] = kind
+            open_[mask] = False
+
+        # broken encodings
+        triple = (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:]) & np.isin(c[:-2], _codes("烫屯")) if len(c) > 2 else np.zeros(0, bool)
+        lost = count((c == ord("锟")) & (following == ord("斤"))) + count(np.r_[triple, np.zeros(len(c) - len(triple), bool)])
+        odd = count(k & STRANGE)
+        decide((odd >= BROKEN_SHARE * size) | ((odd >= 3) & (odd >= 0.1 * size)) | (lost > 0), JUNK)
+        hashes = np.zeros(n, dtype=bool)
+        for depth in range(1, 7):
+            hashes |= self.begins("#" * depth + " ")
+        heading = hashes | self.begins("[source ")
+        decide(heading, NEUTRAL)
+        decide(count(((k & RULE) > 0) & inside) == size, RULED)
+        # page marks and lines without letters
+        colon = (c == 58) | (c == ord("："))
+        bullet = self.bullets()
+        numbers = count(((k & DIGIT) > 0) & ((np.r_[0, k[:-1]] & DIGIT) == 0))
+        space = (c == 32) | (c == 0x3000)
+        gap = space & (np.r_[False, space[1:] & (c[1:] == c[:-1])]) & ~((following == c) & space) & inside
+        mark = np.isin(c, _codes(":：\t,，;；|│┃")) | gap
+        decide(~bullet & (numbers > 0) & (numbers <= 3) & (han + words <= 2) & (size <= 20) & (count(mark) == 0) & (stops == 0), JUNK)
+        dots = c == 46
+        decide((alnum == 0) | (alnum < LETTER_SHARE * (solid - count(dots))), JUNK)
+        # links and leader dots
+        link = (count((c == ord("]")) & (following == ord("("))) > 0) & np.isin(c[self.last], _codes(")。.;；")) & ((c[self.first] == ord("[")) | bullet)
+        leading = dots & ((following == 46) | ((following == 32) & (np.r_[c[2:], 0, 0] == 46)[: len(c)]))
+        leader = ((k[self.last] & DIGIT) > 0) & ((count(leading) >= 3) | (count((c == 0x2026) | (c == 0xB7)) >= 2))
+        decide(link | leader, LIST)
+        # rows of cells: the same separator about as often in a line nearby
+        quotes = count(c == 34)
+        comma = np.flatnonzero(((c == 44) & (following != 32)) | (c == ord("，")))
+        n_comma, long_comma = self._parts(comma)
+        wide_comma = count(c == ord("，"))
+        kinds = [
+            (count(c == 9), True), (count(((c == 0x2502) | (c == 0x2503)) & inside), True), (count((c == ord("|")) & inside), True), (count(gap), stops == 0),
+            (count(((c == 59) | (c == ord("；"))) & (following != 32) & inside), None),
+            (n_comma, (long_comma <= 30) & ~(((k[self.last] & STOP) > 0) | (c[self.last] == 46)) & ((wide_comma == 0) | (long_comma <= 8))),
+        ]
+        sep, cells = np.zeros(n, dtype=np.int8), np.ones(n, dtype=np.int64)
+        for code, (times, allowed) in enumerate(kinds, 1):
+            if allowed is None:
+                allowed = (times >= 2) | (quotes >= 2 * np.maximum(times, 1))
+            hit = (sep == 0) & (times > 0) & allowed
+            sep[hit], cells[hit] = code, times[hit] + 1
+        loose = sep >= 4  # cells may be missing where separators are blanks, semicolons or commas
+        aligned = np.zeros(n, dtype=bool)
+        for step in (-3, -2, -1, 1, 2, 3):
+            aligned |= (self._near(step, sep, 0) == sep) & (np.abs(self._near(step, cells, -9) - cells) <= loose)
+        # a row of short parts that no other row stands under
+        marks = np.flatnonzero(np.isin(c, _codes("|│·/>»")) & inside)
+        n_mark, long_mark = self._parts(marks)
+        decide((n_mark >= 2) & (long_mark <= 26) & ~((sep > 0) & aligned) & ~bullet, JUNK)
+        decide((sep > 0) & aligned & ~(bullet & (sep >= 4)), TABLE)
+        decide(bullet, LIST)
+        # keys with short values beside others
+        where = np.flatnonzero(colon)
+        place = np.searchsorted(where, self.first)
+        at = np.where(place < len(where), np.r_[where, 0][place], 0)
+        has = (place < len(where)) & (at > self.first) & (at <= self.last) & (at - self.first <= 24)
+        value = self.last - at
+        ended = (stops > 0) & ~((stops == 1) & (((k[self.last] & STOP) > 0) | (c[self.last] == 46)))
+        key = has & (value <= 42) & ~ended & (commas == 0) & ~heading
+        window, near = np.ones(n, dtype=np.int64), key.astype(np.int64)
+        for step in (-3, -2, -1, 1, 2, 3):
+            window += self._near(step, np.ones(n, dtype=np.int64), 0)
+            near += self._near(step, key.astype(np.int64), 0)
+        name = np.where(key, self._hash(self.first, np.where(key, at, self.first)), 0).astype(np.uint64)
+        _, back, times = np.unique(_within(self.line_row, name), return_inverse=True, return_counts=True)
+        again = times[back.ravel()]
+        decide(key & (((near >= 3) & (near >= 0.8 * window)) | ((again >= 2) & (near >= 0.6 * window))), TABLE)
+        # lines that many texts share, and lines that fill their own text
+        line_hash = self._hash(self.first, self.last + 1)
+        if frequent is not None and len(frequent):
+            spot = np.minimum(np.searchsorted(frequent, line_hash), len(frequent) - 1)
+            decide((frequent[spot] == line_hash) & self.whole_sentences(stops), JUNK)
+        # runs of short phrases of uneven length
+        brief = np.where(han > 0, han <= 16, words <= 8) & (size <= 60)
+        body_stop = stops - (((k[self.last] & STOP) > 0) | (c[self.last] == 46))
+        marked = count(np.isin(c, _codes("，,、|│\t")))
+        item = brief & (body_stop <= 0) & (marked == 0) & ~heading & (alnum > 0)
+        head = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (self.line_row[1:] != self.line_row[:-1])])
+        run = np.repeat(np.arange(len(head)), np.diff(np.r_[head, n]))
+        runs = np.bincount(run)
+        mean = np.bincount(run, weights=size) / runs
+        spread = np.sqrt(np.maximum(0, np.bincount(run, weights=size.astype(float) ** 2) / runs - mean**2))
+        decide(item & ((runs >= 4) & (spread >= 0.15 * mean))[run], LIST)
+        _, back, times = np.unique(_within(self.line_row, line_hash), return_inverse=True, return_counts=True)
+        lines = self.per_row(self.line_row)
+        decide((times[back.ravel()] >= 4) & (lines[self.line_row] >= 6) & (size < 60), JUNK)
+        # repeated words and pairs, unconnected tokens, and text without common words
+        total = han + words + numbers
+        top_word, top_pair = self._tops()
+        decide((total >= 12) & (((top_word >= 6) & (top_word > 0.25 * total)) | (top_pair >= np.maximum(5, TOP_PAIR * total / 2))), JUNK)
+        scattered = np.zeros(n, dtype=bool)
+        for mark in "_,、 ":
+            times, longest = self._parts(np.flatnonzero((c == ord(mark)) & inside))
+            scattered |= (times >= 7) & (size - times <= 5.5 * (times + 1)) & (longest <= 14)
+        decide(scattered & (han > 2 * words) & (stops == 0), JUNK)
+        common = count(k & COMMON_CHAR) + self.per_line(self.word_at[np.isin(self.word_hash, _word_hash(sorted(COMMON_EN)))])
+        decide((alnum >= 20) & (common < COMMON * np.maximum(1, han + words)), JUNK)
+        # a ruled line belongs to the table around it, otherwise to nothing unless such lines fill the text
+        ruled = single == RULED
+        if ruled.any():
+            up, down = self._near(-1, single, NEUTRAL), self._near(1, single, NEUTRAL)
+            beside = (up == TABLE) | (down == TABLE)
+            many = self.per_row(self.line_row[ruled])[self.line_row]
+            fills = (many >= 3) & ((many >= 0.4 * lines[self.line_row]) | (up == JUNK) | (down == JUNK))
+            single[ruled] = np.where(beside, TABLE, np.where(fills, JUNK, NEUTRAL))[ruled]
+        return single
+
+    def whole_sentences(self, stops: np.ndarray | None = None) -> np.ndarray:
+        """Lines of at least six letters that end as a sentence does, without a bullet."""
+        end = self.codes[self.last]
+        return (self.last - self.first >= 6) & (((self.cls[self.last] & STOP) > 0) | (end == 46) | (end == ord("）")) | ((self.cls[self.last] & LETTER) > 0))
+
+    def _hash(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A hash of the characters of each stretch [low, high); empty ones give 0."""
+        length = high - low
+        out = np.zeros(len(low), dtype=np.uint64)
+        some = np.flatnonzero(length > 0)
+        if len(some):
+            length = length[some]
+            first = np.cumsum(length) - length
+            offset = np.arange(int(length.sum())) - np.repeat(first, length)
+            value = chars.mix64(self.codes[np.repeat(low[some], length) + offset].astype(np.uint64) + (offset.astype(np.uint64) << np.uint64(32)) + np.uint64(7))
+            out[some] = np.add.reduceat(value, first)
+        return out
+
+    def _tops(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the most frequent word that is no common one, and the most frequent pair of words, occur in each line."""
+        at, value = self._words()
+        line = np.searchsorted(self.start, at, side="right") - 1
+        word, pair = np.zeros(len(self.first), dtype=np.int64), np.zeros(len(self.first), dtype=np.int64)
+        if not len(at):
+            return word, pair
+        long = np.bincount(line, minlength=len(self.first)) >= 12
+        keep = long[line]
+        line, value, at = line[keep], value[keep], at[keep]
+        if len(line):
+            rare = ~((self.cls[at] & COMMON_CHAR) > 0) & ~np.isin(value, _word_hash(sorted(COMMON_EN)))
+            for into, who, what in ((word, line[rare], value[rare]), (pair, line[:-1][line[:-1] == line[1:]], self._paired(value)[line[:-1] == line[1:]])):
+                if len(who):
+                    seen, times = np.unique(_within(who, what), return_counts=True)
+                    np.maximum.at(into, (seen >> np.uint64(40)).astype(np.int64), times)
+        return word, pair
+
+    @staticmethod
+    def _paired(value: np.ndarray) -> np.ndarray:
+        return chars.mix64(value[:-1] * np.uint64(0x9E3779B97F4A7C15) + value[1:])
+
+    def _words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of words and ideographs in order."""
+        han = np.flatnonzero(self.cls & HAN)
+        at = np.r_[self.word_at, han]
+        value = np.r_[self.word_hash, chars.mix64(self.codes[han].astype(np.uint64) + np.uint64(99))]
+        order = np.argsort(at, kind="stable")
+        return at[order], value[order]
 
-        def begins(mark: str) -> np.ndarray:
-            out = size >= len(mark)
-            for k, ch in enumerate(mark):
-                out &= c[np.minimum(self.first + k, len(c) - 1)] == ord(ch)
-            return out
-
-        hashes = np.zeros(len(size), dtype=bool)
-        for k in range(1, 7):
-            hashes |= begins("#" * k + " ")
-        heading = hashes | begins("[source ")
-        marks = np.flatnonzero(np.isin(c, np.array([ord(x) for x in "-=_*~"], dtype=np.uint32)))
-        rule = self.per_line(marks) == size
-        lines, rules = self.per_row(self.line_row), self.per_row(self.line_row[rule])
-        other = self.per_row(self.line_row[~(sure | heading | rule)])
-        return (other == 0) & ((rules == 0) | ((rules < 0.4 * lines) & (self.per_row(self.line_row[sure]) > 0)))
+    def shares(self, frequent: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """The share of each text's characters in lines of each kind; neutral lines count for nothing."""
+        kinds = self.kinds(frequent)
+        size = self.last + 1 - self.first
+        held = {f: np.bincount(self.line_row[kinds == code], weights=size[kinds == code], minlength=self.rows) for code, f in enumerate(FORMS)}
+        total = np.maximum(sum(held.values()), 1)
+        return {f"{f}_chars": held[f] / total for f in FORMS}
 
     def measures(self) -> dict[str, np.ndarray]:
         """The statistics of each text."""
@@ -232,8 +423,7 @@ class Lines:
         last, before = c[self.last], np.maximum(self.last - 2, 0)
         long = self.last - self.first >= 2
         ellipsis = (last == 0x2026) | (long & (last == 46) & (c[before] == 46) & (c[np.maximum(self.last - 1, 0)] == 46))
-        follows = np.r_[c, 0][self.first + 1]
-        bullet = (((k[self.first] & BULLET) > 0) & (follows == 32)) | self._numbered()
+        bullet = self.bullets()
         common = self.per_row(self.row[np.flatnonzero(k & COMMON_CHAR)]) + self.per_row(self.row[self.word_at[np.isin(self.word_hash, _word_hash(sorted(COMMON_EN)))]])
         stops = np.zeros(n, dtype=np.int64)
         for h in _word_hash(sorted(STOP_EN)):
@@ -259,245 +449,35 @@ class Lines:
         """Share of lines that repeat an earlier line of their text."""
         if not len(self.start):
             return np.zeros(self.rows)
-        line = np.repeat(np.arange(len(self.first)), self.last + 1 - self.first)
-        length = self.last + 1 - self.first
-        offset = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        value = chars.mix64(self.codes[self.first[line] + offset].astype(np.uint64) + (offset.astype(np.uint64) << np.uint64(32)) + np.uint64(7))
-        total = np.add.reduceat(value, np.cumsum(length) - length)
-        pairs = np.unique(np.stack([self.line_row.astype(np.uint64), total], axis=1), axis=0)
-        return (self.per_row(self.line_row) - self.per_row(pairs[:, 0].astype(np.int64))) / many
+        pairs = np.unique(_within(self.line_row, self._hash(self.first, self.last + 1)))
+        return (self.per_row(self.line_row) - self.per_row((pairs >> np.uint64(40)).astype(np.int64))) / many
 
     def _top_pair(self, safe: np.ndarray) -> np.ndarray:
         """Share of the words that the most frequent pair of neighbouring words makes up."""
-        han = np.flatnonzero(self.cls & HAN)
-        at = np.r_[self.word_at, han]
-        value = np.r_[self.word_hash, chars.mix64(self.codes[han].astype(np.uint64) + np.uint64(99))]
-        order = np.argsort(at, kind="stable")
-        value, row = value[order], self.row[at[order]]
+        at, value = self._words()
+        row = self.row[at]
         out = np.zeros(self.rows)
         same = np.flatnonzero(row[:-1] == row[1:]) if len(row) > 1 else np.zeros(0, int)
         if len(same):
-            key = chars.mix64(value[same] * np.uint64(0x9E3779B97F4A7C15) + value[same + 1])
-            pairs, times = np.unique(np.stack([row[same].astype(np.uint64), key], axis=1), axis=0, return_counts=True)
-            np.maximum.at(out, pairs[:, 0].astype(np.int64), times)
+            pairs, times = np.unique(_within(row[same], self._paired(value)[same]), return_counts=True)
+            np.maximum.at(out, (pairs >> np.uint64(40)).astype(np.int64), times)
         return out * 2 / safe
 
 
-def _common_share(text: str) -> float:
-    """Share of words (Chinese: characters) that are common ones."""
-    latin = re.findall(r"[a-zA-Z]+", text)
-    han = _HAN.findall(text)
-    total = len(latin) + len(han)
-    if not total:
-        return 0.0
-    return (sum(w.lower() in COMMON_EN for w in latin) + sum(c in COMMON_ZH for c in han)) / total
-
-
-def _cells(line: str) -> tuple[str, int]:
-    """The separator of a line of cells and the number of cells; ("", 1) for other lines."""
-    if _RULE.match(line):
-        return "", 1
-    for pattern, name in _CELLS:
-        n = len(pattern.findall(line))
-        if not n:
-            continue
-        if name == "c":
-            parts = re.split(r"[,，]", line)
-            if any(len(p) > 30 for p in parts) or _SENTENCE.search(line.replace("，", ",").rstrip()[-1:]):
-                continue
-            if "，" in line and max(map(len, parts)) > 8:
-                continue
-        if name == "s" and not (line.count('"') >= 2 * n or n >= 2):
-            continue
-        if name == "w" and (n < 1 or _SENTENCE.search(line)):
-            continue
-        return name, n + 1
-    return "", 1
-
-
-def _repeats(words: list[str]) -> bool:
-    """One word that is no common one, or one pair of words, fills the line."""
-    word, times = Counter(words).most_common(1)[0]
-    if times >= 6 and times > 0.25 * len(words) and word not in COMMON_EN and word not in COMMON_ZH:
-        return True
-    return Counter(zip(words, words[1:])).most_common(1)[0][1] >= max(5, TOP_PAIR * len(words) / 2)
-
-
-def _loose_tokens(line: str) -> bool:
-    """At least eight short tokens side by side, joined by blanks, commas or underscores only."""
-    for mark in ("_", ",", "、", " "):
-        parts = [p for p in line.split(mark) if p.strip()]
-        if len(parts) >= 8:
-            han = sum(len(_HAN.findall(p)) for p in parts)
-            if han and sum(map(len, parts)) <= 5.5 * len(parts) and max(map(len, parts)) <= 14 and not _SENTENCE.search(line.replace("，", "").replace(",", "")):
-                return True
-    return False
-
-
-def _short_items(lines: list[str]) -> list[bool]:
-    """Lines of runs of at least four short phrases of uneven length: items without a bullet."""
-    plain = []
-    for x in lines:
-        y = x.strip().rstrip("。.;；")
-        han = len(_HAN.findall(y))
-        brief = han <= 16 if han else len(y.split()) <= 8
-        plain.append(bool(y) and brief and len(y) <= 60 and not re.search(r"[，。！？!?；;,、…|│\t]|\. ", y) and not _HEADING.match(x))
-    out = [False] * len(lines)
-    k = 0
-    while k < len(lines):
-        if not plain[k]:
-            k += 1
-            continue
-        end = k
-        while end < len(lines) and plain[end]:
-            end += 1
-        sizes = [len(x.strip()) for x in lines[k:end]]
-        mean = sum(sizes) / len(sizes)
-        spread = (sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5
-        if end - k >= 4 and spread >= 0.15 * mean:
-            out[k:end] = [True] * (end - k)
-        k = end
-    return out
-
-
-def line_forms(text: str, sure: list[bool] | None = None) -> list[tuple[str, str]]:
-    """(form, line) for each line that is not blank; form is prose, list, table, junk or neutral (headings, rules)."""
-    lines = [x.strip("﻿").rstrip() for x in re.split(r"\r\n|\n|\r", text)]
-    lines = [x for x in lines if x.strip()]
-    forms: list[str] = []
-    if sure is None or len(sure) != len(lines):
-        sure = Lines([text]).sure().tolist() if lines else []
-        sure = sure if len(sure) == len(lines) else [False] * len(lines)
-    if all(sure):
-        return [("prose", x) for x in lines]
-    cells = [("", 1) if s else _cells(x) for s, x in zip(sure, lines)]
-    keys = [None if s else m.group(1) if (m := _KEY.match(x)) and len(m.group(2)) <= 40 and not _SENTENCE.search(m.group(2).rstrip("。.")) else None for s, x in zip(sure, lines)]
-    seen = Counter(x.strip() for x in lines)
-    key_count = Counter(k for k in keys if k)
-    short = _short_items(lines)
-    for k, line in enumerate(lines):
-        if sure[k]:
-            forms.append("prose")
-            continue
-        bare = line.strip()
-        letters = sum(map(str.isalnum, bare))
-        odd = len(_MOJIBAKE.findall(bare))
-        if odd >= 0.25 * len(bare) or (odd >= 3 and odd >= 0.1 * len(bare)) or _MOJIBAKE_ZH.search(bare):
-            forms.append("junk")
-            continue
-        if _HEADING.match(line):
-            forms.append("neutral")
-            continue
-        if _RULE.match(bare):
-            forms.append("rule")
-            continue
-        if _PAGE.match(bare):
-            forms.append("junk")
-            continue
-        if not letters or letters < 0.3 * len(bare.replace(" ", "").replace(".", "")):
-            forms.append("junk")
-            continue
-        if _LINK.match(line) or _LEADER.search(line):
-            forms.append("list")
-            continue
-        sep, n = cells[k]
-        parts = re.split(r"\s*[|│·/>»]\s*", bare)
-        if len(parts) >= 3 and max(map(len, parts)) <= 24:
-            notices = sum(bool(_NOTICE.search(p)) for p in parts)
-            if notices >= 2 and notices >= 0.3 * len(parts):
-                forms.append("junk")
-                continue
-        if n > 1:
-            around = [cells[j] for j in range(max(0, k - 3), min(len(lines), k + 4)) if j != k and cells[j][0] == sep]
-            if any(abs(m - n) <= (1 if sep in "wcs" else 0) for _, m in around):
-                forms.append("table")
-                continue
-        if _BULLET.match(line):
-            forms.append("list")
-            continue
-        if keys[k] is not None:
-            window = range(max(0, k - 3), min(len(lines), k + 4))
-            near = sum(keys[j] is not None for j in window)
-            if (near >= 3 and near >= 0.8 * len(window)) or (key_count[keys[k]] >= 2 and near >= 0.6 * len(window)):
-                forms.append("table")
-                continue
-        if len(bare) <= 80 and _STRONG.search(bare):
-            forms.append("junk")
-            continue
-        if short[k]:
-            forms.append("list")
-            continue
-        if len(bare) <= 40 and len(_NOTICE.findall(bare)) >= 1 and not _SENTENCE.search(bare):
-            forms.append("junk")
-            continue
-        if seen[bare] >= 4 and len(lines) >= 6 and len(bare) < 60:
-            forms.append("junk")
-            continue
-        words = _WORD.findall(bare.lower())
-        if len(words) >= 12 and _repeats(words):
-            forms.append("junk")
-            continue
-        if _loose_tokens(bare):
-            forms.append("junk")
-            continue
-        if letters >= 20 and _common_share(bare) < COMMON:
-            forms.append("junk")
-            continue
-        forms.append("prose")
-    # a rule belongs to the table around it, otherwise to nothing unless rules fill the text
-    rules = sum(f == "rule" for f in forms)
-    for k, f in enumerate(forms):
-        if f == "rule":
-            near = forms[max(0, k - 1) : k] + forms[k + 1 : k + 2]
-            forms[k] = "table" if "table" in near else "junk" if rules >= 3 and (rules >= 0.4 * len(forms) or "junk" in near) else "neutral"
-    return list(zip(forms, lines))
-
-
-def form_of(text: str, sure: list[bool] | None = None) -> tuple[str, dict[str, int]]:
-    """The form with more than half of the characters, and the characters of each form. Blank texts are prose."""
-    share: Counter[str] = Counter()
-    parts = line_forms(text, sure)
-    for form, line in parts:
-        if form != "neutral":
-            share[form] += len(line.strip())
-    total = sum(share.values())
-    if not total:
-        return "prose", {}
-    best, most = max(share.items(), key=lambda x: x[1])
-    if best == "prose" or most <= MAJORITY * total:
-        if share["prose"] >= MAJORITY * total or best == "prose":
-            return "prose", dict(share)
-    return best, dict(share)
-
-
-def _pair_share(words: list[str]) -> float:
-    if len(words) < 2:
-        return 0.0
-    pairs = Counter(zip(words, words[1:]))
-    return pairs.most_common(1)[0][1] * 2 / len(words)
-
-
 COLUMNS = (
     ("word_count", "int"), ("mean_word_length", "double"), ("symbol_ratio", "double"), ("punctuated_lines", "double"),
     ("bullet_lines", "double"), ("ellipsis_lines", "double"), ("alpha_words", "double"), ("stop_words", "int"),
-    ("common_share", "double"), ("repeated_lines", "double"), ("top_pair", "double"), ("form", "string"), ("failures", "array<string>"),
+    ("common_share", "double"), ("repeated_lines", "double"), ("top_pair", "double"), ("list_chars", "double"), ("table_chars", "double"), ("junk_chars", "double"),
+    ("form", "string"), ("failures", "array<string>"),
 )
 
 
-def forms_of(texts: list[str], lines: Lines | None = None) -> list[str]:
-    """The form of each text; a text whose lines are all surely prose is not looked at further."""
-    lines = lines or Lines(texts)
-    sure = lines.sure()
-    edge = np.searchsorted(lines.line_row, np.arange(len(texts) + 1))
-    doubtful = ~lines.plain_rows(sure)
-    return [form_of(t, sure[edge[k] : edge[k + 1]].tolist())[0] if doubtful[k] else "prose" for k, t in enumerate(texts)]
-
-
-def statistics(texts: list[str]) -> dict[str, list]:
-    """The values of COLUMNS for a batch of texts, with the names of the failed rules."""
+def statistics(texts: list[str], frequent: np.ndarray | None = None) -> dict[str, list]:
+    """The values of COLUMNS for a batch of texts: measures, the form they tell and the names of the failed rules."""
     lines = Lines(texts)
     m = lines.measures()
-    forms = forms_of(texts, lines)
+    held = lines.shares(frequent)
+    m.update({name: held[name] for name in ("list_chars", "table_chars", "junk_chars")})
     n, mean, latin = m["word_count"], m["mean_word_length"], m.pop("_mostly_latin")
     rules = (
         ("few_words", n < WORDS[0]),
@@ -512,55 +492,104 @@ def statistics(texts: list[str]) -> dict[str, list]:
         ("top_pair", m["top_pair"] > TOP_PAIR),
         ("punctuated_lines", m["punctuated_lines"] < PUNCTUATED_LINES),
         ("common_share", m["common_share"] < COMMON),
+        *((name, m[name] > MAJORITY) for name in ("list_chars", "table_chars", "junk_chars")),
     )
     failures: list[list[str]] = [[] for _ in texts]
     for name, failed in rules:
         for k in np.flatnonzero(failed):
             failures[k].append(name)
-    for k, form in enumerate(forms):
-        if form != "prose":
-            failures[k].append(f"mostly_{form}")
-    return {**{c: v.tolist() for c, v in m.items()}, "form": forms, "failures": failures}
+    # the form that holds the most characters, which decides with more than half of them; without it prose if prose holds half
+    table = np.stack([held[f"{f}_chars"] for f in FORMS], axis=1) if texts else np.zeros((0, 4))
+    best = table.argmax(axis=1)
+    best[(table.sum(axis=1) == 0) | ((table[np.arange(len(best)), best] <= MAJORITY) & (table[:, PROSE] >= MAJORITY))] = PROSE
+    return {**{c: v.tolist() for c, v in m.items()}, "form": [FORMS[k] for k in best], "failures": failures}
+
+
+def forms_of(texts: list[str], frequent: np.ndarray | None = None) -> list[str]:
+    """The form of each text by its statistics."""
+    return statistics(texts, frequent)["form"]
+
+
+def form_of(text: str) -> tuple[str, list[str]]:
+    """The form of one text and its failed rules."""
+    found = statistics([text])
+    return found["form"][0], found["failures"][0]
 
 
 def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
     return chars.slices(np.array([len(t) for t in texts]), 1_000_000)
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# ---------------------------------------------------------------- lines that many texts share
+
+
+def _sentence_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (hash of the text, hash of a line of one short sentence), each pair once, and a row of 0 for the text."""
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         for low, high in _parts(texts):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(forms_of(texts[low:high]), pa.string())], names=["key", "form"])
+            lines = Lines(texts[low:high])
+            row, line, whole = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(high - low, np.uint64)
+            if len(lines.first):
+                own = lines._hash(lines.first, lines.last + 1)
+                np.add.at(whole, lines.line_row, chars.mix64(own + np.arange(len(own), dtype=np.uint64) - np.searchsorted(lines.line_row, lines.line_row).astype(np.uint64)))
+                short = lines.whole_sentences() & (lines.last - lines.first < SHORT_LINE)
+                pairs = np.unique(np.stack([lines.line_row[short].astype(np.uint64), own[short]], axis=1), axis=0)
+                row, line = pairs[:, 0].astype(np.int64), pairs[:, 1]
+            text = np.r_[whole[row], whole].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(np.r_[line, np.zeros(len(whole), np.uint64)].view(np.int64))], names=["text", "line"])
+
+
+def frequent_lines(df: DataFrame, text: str) -> np.ndarray:
+    """Sorted hashes of the short lines that more than FREQUENT of the distinct texts, and at least FREQUENT_LEAST, hold.
+
+    Counted over all texts, copies of a text once; at most 1 / FREQUENT lines a text of average length reach the driver.
+    """
+    rows = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"))
+    counted = written(rows.mapInArrow(_sentence_lines, "text long, line long").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")), "lines")
+    whole = counted.where("line = 0").first()
+    least = max(FREQUENT_LEAST, FREQUENT * (whole.n if whole else 0))
+    got = counted.where((F.col("line") != 0) & (F.col("n") >= least)).select("line").toArrow().column("line").to_numpy()
+    return np.sort(got.view(np.uint64))
 
 
-def document_forms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and ``form`` (prose, list, table, junk) of each row; rules as in ``quality_statistics``."""
-    rows = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(_forms, f"key {rows.schema['key'].dataType.simpleString()}, form string").select(F.col("key").alias(key), "form")
+# ---------------------------------------------------------------- operator
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(frequent: np.ndarray):
     kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for low, high in _parts(texts):
-            found = statistics(texts[low:high])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low)] + [pa.array(found[c], kinds[k]) for c, k in COLUMNS], names=["key", *(c for c, _ in COLUMNS)]
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for low, high in _parts(texts):
+                found = statistics(texts[low:high], frequent)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low)] + [pa.array(found[c], kinds[k]) for c, k in COLUMNS], names=["key", *(c for c, _ in COLUMNS)]
+                )
+
+    return run
 
 
 def quality_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """Statistics, form and failed rules of each text (problem 8).
 
-    Words are Latin words, numbers and single Chinese characters. The thresholds are the published fixed ones
-    for natural text; each failed rule is named in ``failures``. The form: every line is prose, a list item
-    (bullet, number, check box, link, leader dots), a row of cells or repeated keys, or junk (navigation, page
-    marks, broken encodings, repetition, text without common words); headings and rules count for nothing; the
-    form with more than half of the characters decides, otherwise the largest. Null texts give no row; an empty
-    text has zeros and is prose; repeated rows come out repeatedly.
+    Words are Latin words, numbers and single Chinese characters. Every measure is counted over whole batches in
+    arrays. The published fixed thresholds for natural text are applied to them, and each failed rule is named in
+    ``failures``. For the form each line is told by thresholds on its own measures (bullets and numbers at its
+    beginning, separators that recur in the lines around, keys before short values, share of letters, of broken
+    characters and of common words, repeated words and pairs, repeated lines, and short sentences that many texts
+    share); ``list_chars``, ``table_chars`` and ``junk_chars`` are the shares of characters in such lines, headings
+    counting for nothing. A share of more than half fails the rule of that name and is the form; without one the
+    largest share is, prose if it holds half. Every text that is not prose without a majority has failed rules of
+    its measures. Null texts give no row; an empty text has zeros and is prose; repeated rows come out repeatedly.
     """
+    frequent = frequent_lines(df, text)
     rows = df.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, " + ", ".join(f"{c} {k}" for c, k in COLUMNS)
-    return rows.mapInArrow(_measure, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(_measured(frequent), schema).withColumnRenamed("key", key)
+
+
+def document_forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``form`` (prose, list, table, junk) and ``failures`` of each row, from ``quality_statistics``."""
+    return quality_statistics(df, key, text).select(key, "form", "failures")

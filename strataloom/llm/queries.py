@@ -118,13 +118,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.document_forms(table(spark, folder, "documents"), "doc_id", "text").where("form <> 'prose'")
+    return quality.document_forms(table(spark, folder, "documents"), "doc_id", "text").where("form <> 'prose'").select("doc_id", "form")
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_statistics(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts among the statistics that SQL can say too."""
+    return p8_statistics(spark, folder).select("doc_id", "word_count", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("alpha_words", 6).alias("alpha_words"), "stop_words", F.round("common_share", 6).alias("common_share"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, folder, "answers"))
 
@@ -134,4 +139,4 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_statistics, p8_counts)}

@@ -49,6 +49,23 @@ def test_statistics_and_reasons(spark):
     assert set(got) == {1, 2, 4, 5}
     assert got[1].failures == [] and got[1].form == "prose" and got[1].stop_words >= 2
     assert "few_words" in got[2].failures and got[2].word_count == 0
-    assert "bullet_lines" in got[4].failures and "mostly_list" in got[4].failures
+    assert "bullet_lines" in got[4].failures and "list_chars" in got[4].failures
     assert "many_words" in got[5].failures and got[5].form == "junk"
     assert q.document_forms(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_every_form_has_a_failed_rule():
+    texts = [PROSE_ZH, PROSE_EN, "- 苹果\n- 梨子的价格\n- 香蕉", "| a | b |\n| --- | --- |\n| 1 | 2 |", "哈" * 60, "河流 石头 面包 引擎 台灯 纸张 云朵 锤子 提琴 地毯", ""]
+    found = q.statistics(texts)
+    assert [f == "prose" or bool(x) for f, x in zip(found["form"], found["failures"])] == [True] * len(texts)
+    assert found["form"] == ["prose", "prose", "list", "table", "junk", "junk", "prose"]
+
+
+def test_sentences_that_many_texts_share_are_notices(spark):
+    notice = "请先更新您的程序版本。\n这里的内容现在还不能显示。\n稍后再来看看吧，谢谢。"
+    rows = [(k, f"{notice}\n编号{k}的页面。") for k in range(6)] + [(10 + k, PROSE_ZH) for k in range(300)] + [(400, notice + "\n\n" + PROSE_ZH * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.form, r.failures) for r in q.document_forms(df, "doc_id", "text").collect()}
+    assert all(got[k][0] == "junk" and "junk_chars" in got[k][1] for k in range(6))
+    assert all(got[10 + k][0] == "prose" for k in range(300)) and got[400][0] == "prose"
+    assert len(q.frequent_lines(df.where("doc_id >= 10"), "text")) == 0  # three hundred copies are one text
