@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -14,40 +13,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.quality import COMMON_EN
+from strataloom.llm import mining
+from strataloom.llm.mining import plain
 from strataloom.llm.tables import written
 
-#: Documented parameters. The rules are fitted on the labelled samples and on sentences of at most FIT_TEXTS
-#: corpus texts (those of the smallest hash) that the samples' rules label; counts behind the evidence of every
-#: rule, and the scores, cover all texts.
-FIT_TEXTS = 2000
+#: Documented parameters. SAMPLE_ROWS bounds the labelled samples, of which every HELD_OUT-th calibrates; SUPPORT is the
+#: least share of sentences of a term or rule, MIN_SUPPORT the least number; CHANCE bounds the probability that a first rule's
+#: sentences share their area by chance.
+SAMPLE_ROWS, HELD_OUT = 20_000, 8
+SUPPORT, MIN_SUPPORT = 1e-4, 8
 ROUNDS = 3
-MIN_SUPPORT = 8
 CONFIDENCE = 0.8
+CHANCE = 0.12
+#: In a round a term must be told its area by others at least EARLY times as often as the median one; one that more frequent
+#: matches overlap in at least the share EXPLAINED of its sentences is a fragment of theirs.
+EARLY, EXPLAINED = 0.4, 0.9
 #: An area counts if at least this share of the sentences about any area are about it.
 SHARE = 1 / 3
 #: Least evidence (log odds) for a sentence, and for an area of a title.
 SENTENCE_EVIDENCE, TITLE_EVIDENCE = 1.2, 1.6
-LONGEST = 6
-#: Largest share of the two most frequent neighbours of a term on either side.
-VARIETY = 0.85
 #: A term of an area stands beside others of it at least this often, relative to the median term.
 COMPANY = 0.85
 
-_INLINE = re.compile(r"</?(?:b|i|em|strong|a|span|code|u|s|sup|sub|small|font|mark)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
 _END = re.compile(r"[。！？!?；;…\n\r]+|\.(?=\s|$)")
-_HAN_RUN = re.compile(r"[㐀-鿿]+")
-_WORD = re.compile(r"[a-z][a-z'’-]*[a-z]|[a-z]")
-
-
-def plain(text: str) -> str:
-    """Visible text in lower case, blocks on their own lines."""
-    if "<" in text:
-        text = _TAG.sub("\n", _INLINE.sub("", text))
-    if "&" in text:
-        text = html.unescape(text)
-    return text.lower()
 
 
 def spans(text: str) -> list[tuple[int, int]]:
@@ -74,19 +62,6 @@ def spans(text: str) -> list[tuple[int, int]]:
     return cut
 
 
-def terms_of(sentence: str) -> set[str]:
-    """Han n-grams of one to LONGEST characters, words, and pairs of adjacent words."""
-    out: set[str] = set()
-    for m in _HAN_RUN.finditer(sentence):
-        run = m.group()
-        for size in range(1, LONGEST + 1):
-            out.update(run[k : k + size] for k in range(len(run) - size + 1))
-    words = [m.group() for m in _WORD.finditer(sentence)]
-    out.update(w for w in words if w not in COMMON_EN and len(w) > 1)
-    out.update(f"{a} {b}" for a, b in zip(words, words[1:]) if a not in COMMON_EN and b not in COMMON_EN)
-    return out
-
-
 def overlapping(a: str, b: str) -> bool:
     """Whether two terms may be parts of each other or share an end."""
     if a in b or b in a:
@@ -202,41 +177,14 @@ def title_areas(rules: Rules, matcher: Matcher, text: str) -> list[int]:
 # ---------------------------------------------------------------- fitting
 
 
-def _seed_terms(labelled: list[tuple[str, int]], classes: int) -> dict[str, int]:
-    """Terms of the labelled sentences that go with one area only."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for sentence, area in labelled:
-        for t in terms_of(sentence):
-            counts[t][area] += 1
-    total = Counter(a for _, a in labelled)
-    out = {}
-    for t, c in counts.items():
-        area, n = c.most_common(1)[0]
-        size = sum(c.values())
-        if n < 2 or not (t[0].isascii() or len(t) >= 2) or n < 0.95 * size:
-            continue
-        # the chance that all its occurrences fall into one area
-        chance = (total[area] / max(1, len(labelled))) ** (size - 1)
-        if chance <= 0.12:
-            out[t] = area
-    return _core(out, {t: (sum(c.values()), c.most_common(1)[0][1]) for t, c in counts.items()})
-
-
-def _core(chosen: dict[str, int], counts: dict[str, tuple[int, int]]) -> dict[str, int]:
+def _core(chosen: dict[str, int], counts: dict[str, int]) -> dict[str, int]:
     """Without terms that always are part of a longer one, nor longer terms that a shorter one already explains."""
     closed = dict(chosen)
     for t in chosen:
-        if " " in t:
-            parts = t.split()
-            for p in parts:
-                if p in closed and closed[p] == chosen[t] and counts[p][0] <= 1.1 * counts[t][0]:
-                    closed.pop(p)
-            continue
-        for size in range(1, len(t)):
-            for k in range(len(t) - size + 1):
-                part = t[k : k + size]
-                if part in closed and closed[part] == chosen[t] and counts[part][0] <= 1.1 * counts[t][0]:
-                    closed.pop(part)
+        parts = t.split() if " " in t else [t[k : k + size] for size in range(1, len(t)) for k in range(len(t) - size + 1)]
+        for p in parts:
+            if p in closed and closed[p] == chosen[t] and counts[p] <= 1.1 * counts[t]:
+                closed.pop(p)
     core = {}
     for t, area in closed.items():
         pieces = t.split() if " " in t else [t[k : k + size] for size in range(1, len(t)) for k in range(len(t) - size + 1)]
@@ -245,196 +193,264 @@ def _core(chosen: dict[str, int], counts: dict[str, tuple[int, int]]) -> dict[st
     return core
 
 
-def word_like(frequency: Counter[str]) -> set[str]:
-    """Frequent terms whose neighbours vary: no two characters make up most of what follows or precedes them."""
-    right: dict[str, list[int]] = defaultdict(list)
-    left: dict[str, list[int]] = defaultdict(list)
-    for t, n in frequency.items():
-        if not t[0].isascii() and len(t) > 1 and n >= 2:
-            right[t[:-1]].append(n)
-            left[t[1:]].append(n)
-    out = set()
-    for t, n in frequency.items():
-        if n < MIN_SUPPORT:
-            continue
-        if t[0].isascii():
-            out.add(t)
-        elif 1 < len(t) < LONGEST and all(sum(sorted(side.get(t, [0]))[-2:]) <= VARIETY * n for side in (right, left)):
-            out.add(t)
-    return out
+_LONGER = 1 << 20
 
 
-def grow(samples: list[tuple[str, int]], texts: list[str], classes: int) -> tuple[dict[str, int], list[tuple[str, tuple[str, ...], list[str]]]]:
-    """Terms of each area, found on the samples and then, in rounds, beside known terms in the corpus texts.
+def judged(batch: pa.RecordBatch, area_of: np.ndarray, frequency: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(items, sentence of each, area of each sentence or -1, whether the area may be told to the item, whether a match explains it).
 
-    Also the sentences with their frequent terms and the known ones among them; a sample counts as known.
+    A labelled sentence has its label. Another one has the area of the rules (``area_of`` each term, or -1) that match
+    in it, if they all name the same. Where only one rule matches, it tells nothing to itself or to terms over its
+    characters: every term is judged by others. A match over characters of a rarer term explains that term.
     """
-    seeds = _seed_terms(samples, classes)
-    plain_sentences, marks = [], []
-    for text in texts:
-        low = plain(text)
-        for a, b in spans(low):
-            plain_sentences.append(low[a:b])
-            marks.append(None)
-    for sentence, area in samples:
-        plain_sentences += [sentence] * 3
-        marks += [f"\x00{area}"] * 3
-    frequency: Counter[str] = Counter()
-    for x in plain_sentences:
-        frequency.update(terms_of(x))
-    usable = {t: t for t in word_like(frequency)}
-    frequency = Counter({t: n for t, n in frequency.items() if n >= MIN_SUPPORT or t in seeds})
-    # the terms are read twice: to hold those of all sentences at once would take the driver's memory
-    frequent = [tuple(sorted(usable[t] for t in terms_of(x) if t in usable)) for x in plain_sentences]
-    known: list[list[str]] = []
-    for _ in range(ROUNDS):
-        names = list(seeds)
-        matcher = Matcher(names)
-        known = [[m] if m else [names[k] for _, _, k in matcher(x)] for x, m in zip(plain_sentences, marks)]
-        together: dict[str, np.ndarray] = {}
-        for terms, here in zip(frequent, known):
-            if not here:
-                continue
-            area_of = [(t, int(t[1:]) if t[0] == "\x00" else seeds[t]) for t in here]
-            firm = {a for _, a in area_of}
-            for t in terms:
-                if len(firm) == 1 and not any(t in k or k in t for k in here):
-                    votes = firm
-                else:
-                    votes = {a for k, a in area_of if k[0] == "\x00" or not overlapping(t, k)}
-                if len(votes) == 1:
-                    row = together.get(t)
-                    if row is None:
-                        row = together[t] = np.zeros(classes)
-                    row[next(iter(votes))] += 1
-        chosen, counts = {}, {}
-        for t, row in together.items():
-            n = row.sum()
-            area = int(row.argmax())
-            # judged by others often enough, also for its frequency
-            if n >= MIN_SUPPORT and row[area] >= CONFIDENCE * n and n >= 0.12 * frequency[t]:
-                chosen[t] = area
-                counts[t] = (frequency[t], row[area])
-        for t, area in seeds.items():
-            if t not in chosen and (t not in together or together[t].sum() < MIN_SUPPORT) and frequency[t] < MIN_SUPPORT:
-                chosen[t] = area
-                counts[t] = (max(1, frequency[t]), 1)
-        seeds = _core(chosen, counts)
-    return seeds, list(zip(plain_sentences, frequent, known))
-
-
-def mine(spark: SparkSession, transactions: DataFrame, classes: int, support: int, size: int) -> dict[tuple[str, ...], np.ndarray]:
-    """Class counts of frequent term sets (one or two terms) by parallel FP-growth over (terms + area) transactions."""
-    from pyspark.ml.fpm import FPGrowth
-
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support / max(1, size)), minConfidence=0.5).fit(transactions)
-    found: dict[tuple[str, ...], np.ndarray] = {}
-    for row in model.freqItemsets.where(F.size("items") <= 3).toLocalIterator():
-        area = [x for x in row["items"] if x.startswith("\x01")]
-        body = tuple(sorted(x for x in row["items"] if not x.startswith("\x01")))
-        if len(area) == 1 and 1 <= len(body) <= 2:
-            found.setdefault(body, np.zeros(classes))[int(area[0][1:])] = row["freq"]
-    return found
+    lists = batch.column("items")
+    offsets = np.asarray(lists.offsets)
+    items = lists.flatten().to_numpy()
+    start, size = batch.column("starts").flatten().to_numpy(), batch.column("sizes").flatten().to_numpy()
+    n = batch.num_rows
+    sentence = np.repeat(np.arange(n), np.diff(offsets))
+    end = start + size
+    area = area_of[items] if len(items) else np.zeros(0, np.int32)
+    known = np.flatnonzero(area >= 0)
+    # a match inside a longer one is no match; terms are in order of their place, the longer first
+    reach = end[known].astype(np.int64) + sentence[known].astype(np.int64) * _LONGER
+    before = np.r_[-1, np.maximum.accumulate(reach)[:-1]] if len(reach) else reach
+    firm = known[before < reach]
+    matches = np.bincount(sentence[firm], minlength=n)
+    told = np.zeros(n, dtype=np.int64)
+    np.bitwise_or.at(told, sentence[firm], np.int64(1) << area[firm].astype(np.int64))
+    one = (told > 0) & (told & (told - 1) == 0)
+    of = np.where(one, np.log2(np.maximum(told, 1)).astype(np.int32), -1)
+    label = batch.column("label").to_numpy()
+    of = np.where(label >= 0, label, of)
+    low, high = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    low[sentence[firm]], high[sentence[firm]] = start[firm], end[firm]
+    alone = (matches == 1) & (label < 0)
+    own = alone[sentence] & (start < high[sentence]) & (end > low[sentence])
+    explained = np.zeros(len(items), dtype=bool)
+    if frequency is not None and len(firm):
+        # the frequency of the most frequent match over each character, then over each term's characters
+        width = np.zeros(n, dtype=np.int64)
+        np.maximum.at(width, sentence, end)
+        base = np.cumsum(width) - width
+        over = np.zeros(int(width.sum()), dtype=np.int64)
+        np.maximum.at(over, _spread(base[sentence[firm]] + start[firm], size[firm]), np.repeat(frequency[items[firm]], size[firm]))
+        first = np.cumsum(size) - size
+        explained = np.maximum.reduceat(over[_spread(base[sentence] + start, size)], first) > frequency[items]
+    return items, sentence, of, (of[sentence] >= 0) & ~own, explained
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places start, start + 1, ... of each stretch, one stretch after another."""
+    first = np.cumsum(size) - size
+    return np.repeat(start - first, size) + np.arange(int(size.sum()))
+
+
+def _counted(area_of: np.ndarray, areas: int, frequency: np.ndarray):
+    """Sentences of each (term, area told by others), under ``areas`` where none is told; under the next those where a match explains it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(area_of), areas + 2), dtype=np.int64)
+        sentences = np.zeros(areas, dtype=np.int64)
+        for batch in batches:
+            items, sentence, of, may, explained = judged(batch, area_of, frequency)
+            np.add.at(total, (items, np.where(may, of[sentence], areas)), 1)
+            np.add.at(total, (items[explained], areas + 1), 1)
+            sentences += np.bincount(of[of >= 0], minlength=areas)
+        r, c = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[r, np.full(areas, -1)].astype(np.int32)), pa.array(np.r_[c, np.arange(areas)].astype(np.int32)), pa.array(np.r_[total[r, c], sentences])], names=["item", "area", "n"]
+        )
+
+    return run
+
 
+def _bases(area_of: np.ndarray, order: np.ndarray, classes: int):
+    """Conditional pattern bases of one task, counted: (term, -1, area, n) and (term, more frequent term beside it, area, n).
 
-def _count_rules(terms: list[str], areas: int, seeds: dict[str, int], pairs: list[tuple[int, int]]):
-    """Counts of (rule, area told by the other terms of the sentence) over whole texts."""
-    index = {p: len(terms) + k for k, p in enumerate(pairs)}
+    ``order`` is the place of each frequent term in the list by falling frequency, -1 for the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
-        own = [seeds.get(t, -1) for t in terms]
-        total = np.zeros((len(terms) + len(pairs), areas + 1), dtype=np.int64)
+        frequent = int(order.max()) + 1 if len(order) else 0
+        one = np.zeros((frequent, classes), dtype=np.int64)
+        keys, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            some, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            both, back = np.unique(np.r_[keys, some], return_inverse=True)
+            return both, np.bincount(back, weights=np.r_[counts, n], minlength=len(both)).astype(np.int64)
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                low = plain(text)
-                found = matcher(low)
-                if not found:
-                    continue
-                for ks in _place(found, spans(low)).values():
-                    seen = sorted(set(ks))
-                    known = {own[k] for k in seen if own[k] >= 0}
-                    for k in seen:
-                        votes = {own[x] for x in seen if x != k and own[x] >= 0} if own[k] >= 0 else known
-                        total[k, next(iter(votes)) if len(votes) == 1 else areas] += 1
-                    if index and len(seen) > 2:
-                        for x in range(len(seen)):
-                            for y in range(x + 1, len(seen)):
-                                row = index.get((seen[x], seen[y]))
-                                if row is not None:
-                                    votes = {own[z] for z in seen if z not in (seen[x], seen[y]) and own[z] >= 0}
-                                    total[row, next(iter(votes)) if len(votes) == 1 else areas] += 1
-        r, c = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total[r, c])], names=["rule", "area", "n"])
+            items, sentence, of, may, _ = judged(batch, area_of)
+            place = order[items] if len(items) else items
+            keep = may & (place >= 0)
+            place, sentence = place[keep].astype(np.int64), sentence[keep]
+            np.add.at(one, (place, of[sentence]), 1)
+            step = 1
+            while step < len(place) and (same := np.flatnonzero(sentence[:-step] == sentence[step:])).size:
+                low, high = np.minimum(place[same], place[same + step]), np.maximum(place[same], place[same + step])
+                waiting.append((high * frequent + low) * classes + of[sentence[same]])
+                held += len(same)
+                step += 1
+            if held > 2_000_000:
+                keys, counts = merged()
+                waiting, held = [], 0
+        keys, counts = merged()
+        if len(keys) > 0 or one.any():
+            term, area = np.nonzero(one)
+            pair = keys // classes
+            columns = (np.r_[term, pair // max(1, frequent)], np.r_[np.full(len(term), -1), pair % max(1, frequent)], np.r_[area, keys % classes])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns] + [pa.array(np.r_[one[term, area], counts])], names=["suffix", "prefix", "area", "n"])
 
     return run
 
 
+def mine(rows: DataFrame, area_of: np.ndarray, frequency: np.ndarray, chosen: list[int], classes: int, support: int) -> dict[tuple[int, ...], np.ndarray]:
+    """Class counts of frequent sets of one or two terms with an area, by parallel frequent-pattern growth.
+
+    The terms ``chosen`` after the parallel count are ordered by falling frequency; every sentence is cut to them and to
+    its area. Each task grows patterns from the conditional pattern bases of its sentences (a term, the more frequent
+    terms beside it, the area); only their counts are shuffled and added. Growth ends at two terms, so no sentence makes
+    more patterns than pairs. Sets of fewer than ``support`` sentences are dropped; their number is bounded by pairs a
+    sentence divided by the relative support.
+    """
+    if not chosen:
+        return {}
+    ranked = np.array(sorted(chosen, key=lambda k: (-frequency[k], k)))
+    order = np.full(len(frequency), -1, dtype=np.int32)
+    order[ranked] = np.arange(len(ranked))
+    counted = rows.mapInArrow(_bases(area_of, order, classes), "suffix int, prefix int, area int, n long").groupBy("suffix", "prefix", "area").agg(F.sum("n").alias("n"))
+    sets = counted.groupBy("suffix", "prefix").agg(F.collect_list(F.struct("area", "n")).alias("by"), F.sum("n").alias("whole")).where(F.col("whole") >= support).select("suffix", "prefix", "by").collect()
+    found: dict[tuple[int, ...], np.ndarray] = {}
+    for r in sets:
+        body = (int(ranked[r.suffix]),) if r.prefix < 0 else tuple(sorted((int(ranked[r.suffix]), int(ranked[r.prefix]))))
+        row = found.setdefault(body, np.zeros(classes))
+        for x in r.by:
+            row[x.area] = x.n
+    return found
+
+
+class Learner:
+    """Class-association rules from the transactions of labelled and of all other sentences."""
+
+    def __init__(self, rows: DataFrame, words: mining.Vocabulary, classes: int) -> None:
+        self.rows, self.words, self.classes = rows, words, classes
+
+    def counts(self, area_of: np.ndarray, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first step of pattern growth: sentences of each term by area, of each area, and the share in which a match explains the term."""
+        got = rows.mapInArrow(_counted(area_of, self.classes, self.words.frequency), "item int, area int, n long").groupBy("item", "area").agg(F.sum("n").alias("n")).toArrow()
+        item, area, n = (got.column(k).to_numpy() for k in range(3))
+        table, total = np.zeros((len(self.words.terms), self.classes + 2)), np.zeros(self.classes)
+        table[item[item >= 0], area[item >= 0]] = n[item >= 0]
+        total[area[item < 0]] = n[item < 0]
+        return table[:, :-1], total, table[:, -1] / np.maximum(1, table[:, :-1].sum(axis=1))
+
+    def grown(self, area_of: np.ndarray, rows: DataFrame, chosen: list[int], support: int) -> dict[tuple[int, ...], np.ndarray]:
+        return mine(rows, area_of, self.words.frequency, chosen, self.classes, support)
+
+    def _area_of(self, sets: dict[tuple[int, ...], np.ndarray]) -> np.ndarray:
+        out = np.full(len(self.words.terms), -1, dtype=np.int32)
+        for body, row in sets.items():
+            if len(body) == 1 and row.max() >= CONFIDENCE * row.sum():
+                out[body[0]] = row.argmax()
+        return out
+
+    def _pruned(self, chosen: dict[int, int], counts: np.ndarray) -> list[int]:
+        terms = self.words.terms
+        core = _core({terms[k]: area for k, area in chosen.items()}, {terms[k]: counts[k] for k in chosen})
+        return [self.words.place[t] for t in core]
+
+    def first(self) -> np.ndarray:
+        """Rules of the labelled samples alone."""
+        nothing = np.full(len(self.words.terms), -1, dtype=np.int32)
+        rows = self.rows.where("label >= 0")
+        table, total, _ = self.counts(nothing, rows)
+        n = table[:, :-1].sum(axis=1)
+        best = table[:, :-1].argmax(axis=1)
+        top = table[np.arange(len(n)), best]
+        # the chance that all occurrences of a term fall into one area
+        chance = (total[best] / max(1.0, total.sum())) ** np.maximum(n - 1, 0)
+        good = np.flatnonzero((top >= 2) & (top >= 0.95 * n) & (chance <= CHANCE))
+        sets = self.grown(nothing, rows, self._pruned({int(k): int(best[k]) for k in good}, n), 2)
+        return self._area_of(sets)
+
+    def spread(self, area_of: np.ndarray, last: bool = False) -> tuple[np.ndarray, dict[tuple[int, ...], np.ndarray], np.ndarray]:
+        """Rules of all sentences, each labelled by the rules so far: the areas of terms, the mined sets, and how often each term is told an area."""
+        table, total, explained = self.counts(area_of, self.rows)
+        told, whole = table[:, :-1].sum(axis=1), table.sum(axis=1)
+        best = table[:, :-1].argmax(axis=1)
+        top = table[np.arange(len(told)), best]
+        support = max(MIN_SUPPORT, int(SUPPORT * total.sum()))
+        share = told / np.maximum(1, whole)
+        good = (told >= support) & (top >= CONFIDENCE * told) & (explained < EXPLAINED)
+        good &= share >= EARLY * (np.median(share[good]) if good.any() else 0.0)
+        chosen = {int(k): int(best[k]) for k in np.flatnonzero(good)}
+        # known rules that others cannot judge yet stay
+        for k in np.flatnonzero((area_of >= 0) & (told < support) & (whole < 10 * support) & (explained < EXPLAINED)):
+            chosen.setdefault(int(k), int(area_of[k]))
+            whole[k] = max(whole[k], 1)
+        core = self._pruned(chosen, whole)
+        extra = self._ambiguous(table[:, :-1], support, {self.words.terms[k] for k in core}) if last else []
+        sets = self.grown(area_of, self.rows, core + extra, support)
+        return self._area_of(sets), sets, share
+
+    def _ambiguous(self, table: np.ndarray, support: int, known: set[str]) -> list[int]:
+        """Frequent terms that stand in a few areas only: of use in rules of two terms."""
+        n = table.sum(axis=1)
+        top = np.sort(table, axis=1)[:, ::-1]
+        good = np.flatnonzero((n >= 5 * support) & (top[:, :3].sum(axis=1) >= 0.9 * n) & (top[:, 0] < CONFIDENCE * n))
+        keep: list[int] = []
+        for k in sorted(good, key=lambda k: (-len(self.words.terms[k]), k)):
+            t = self.words.terms[k]
+            if not any(t in x or x in t for x in known) and not any(t in self.words.terms[j] for j in keep):
+                keep.append(int(k))
+        return keep
+
+
 def fit_rules(spark: SparkSession, samples: DataFrame, texts: DataFrame, areas: list[str]) -> Rules:
     """Rules from labelled ``samples`` (``text``, ``subjects``) and unlabelled ``texts`` (one column ``text``).
 
-    1. Terms that go with one area in the samples are seeds; terms that stand beside known terms of one area in
-       the sentences of at most FIT_TEXTS texts join them, over ROUNDS rounds.
-    2. Parallel FP-growth over the labelled sentences mines sets of one or two terms with an area; a set of two
-       is dropped if one of its terms is as sure (redundant), rules below CONFIDENCE are dropped.
-    3. The evidence of each rule is its smoothed log odds, counted over the sentences of all texts, each judged
-       by the other terms beside it.
+    1. ``mining.vocabulary`` counts the terms of all texts, ``mining.transactions`` writes the terms of every sentence.
+    2. Parallel FP-growth over the labelled sentences mines the first rules (a term and an area).
+    3. Over ROUNDS rounds every sentence of all texts is labelled by the rules that match in it, and FP-growth over these
+       transactions mines the rules of the next round; a term is judged by the other terms of its sentences.
+    4. Redundant rules are pruned: terms that only are parts of longer ones, longer terms that a shorter one explains,
+       and sets of two terms that are no surer than one of them. Rules below CONFIDENCE, and terms that stand beside
+       others of their area much more seldom than most, are dropped.
+    5. A rule's evidence is its smoothed log odds over the mined counts, calibrated on samples that were held out.
+
+    At most SAMPLE_ROWS labelled samples are used, every HELD_OUT-th for the calibration; nothing else is sampled.
     """
     code = {a: k for k, a in enumerate(areas)}
-    rows = samples.where(F.col("text").isNotNull() & (F.size("subjects") == 1)).select("text", F.col("subjects")[0].alias("s")).collect()
-    labelled = []
-    for r in rows:
-        if r.s in code:
-            low = plain(r.text)
-            labelled += [(low[a:b], code[r.s]) for a, b in spans(low)]
-    longer = texts.where(F.length("text") > 20)
-    # only rows of small hash reach the driver, about FIT_TEXTS from all partitions together
-    share = min(1.0, 1.2 * FIT_TEXTS / max(1, longer.count()))
-    some = longer.where(F.shiftrightunsigned(F.xxhash64("text"), 33) < F.lit(int(share * 2**31))).orderBy(F.xxhash64("text"), "text").limit(FIT_TEXTS).collect()
-    seeds, sentences = grow(labelled, [r.text for r in some], len(areas))
-    ambiguous = _ambiguous(seeds, sentences, len(areas))
-    names = sorted(set(seeds) | ambiguous)
-    place = {t: k for k, t in enumerate(names)}
-    matcher = Matcher(names)
-    rowsets = []
-    for sentence, _, known in sentences:
-        found = sorted({names[k] for _, _, k in matcher(sentence)})
-        votes = {int(t[1:]) if t[0] == "\x00" else seeds[t] for t in known if t[0] == "\x00" or t in seeds}
-        if found and len(votes) == 1:
-            rowsets.append((found + [f"\x01{next(iter(votes))}"],))
-    if not rowsets:
+    some = samples.where(F.col("text").isNotNull() & (F.size("subjects") >= 1)).select("text", "subjects")
+    rows = some.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()
+    held = [(r.text, {code[x] for x in r.subjects if x in code}) for r in rows[::HELD_OUT]]
+    taught = [(r.text, code[r.subjects[0]]) for k, r in enumerate(rows) if k % HELD_OUT and len(r.subjects) == 1 and r.subjects[0] in code]
+    every = texts.select("text", F.lit(-1).alias("label")).unionByName(spark.createDataFrame(taught, "text string, label int"))
+    words = mining.vocabulary(every, SUPPORT, MIN_SUPPORT)
+    if not words.terms:
         return Rules(areas, [], {}, {})
-    transactions = written(spark.createDataFrame(rowsets, "items array<string>").repartition(8), "transactions")
-    sets = mine(spark, transactions, len(areas), MIN_SUPPORT, len(rowsets))
-    pairs = []
-    for body, row in sets.items():
-        if len(body) == 2 and row.max() >= CONFIDENCE * row.sum() and not overlapping(*body):
-            parts = [sets.get((t,)) for t in body]
-            best = max((p.max() / p.sum() for p in parts if p is not None), default=0.0)
-            if row.max() / row.sum() >= best + 0.03:
-                pairs.append((place[body[0]], place[body[1]], int(row.argmax())))
-    keys = [(min(a, b), max(a, b)) for a, b, _ in pairs]
-    counted = texts.mapInArrow(_count_rules(names, len(areas), seeds, keys), "rule int, area int, n long").groupBy("rule", "area").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros((len(names) + len(keys), len(areas) + 1))
-    for r in counted:
-        table[r.rule, r.area] = r.n
-    single, double = {}, {}
-    judged = table[:, : len(areas)].sum(axis=1)
-    share = judged / np.maximum(1, table.sum(axis=1))
-    often = [share[k] for k in range(len(names)) if judged[k] >= MIN_SUPPORT]
+    learner = Learner(written(mining.transactions(every, ["label"], words), "transactions"), words, len(areas))
+    area_of = learner.first()
+    sets: dict[tuple[int, ...], np.ndarray] = {}
+    share = np.zeros(len(words.terms))
+    for k in range(ROUNDS):
+        area_of, sets, share = learner.spread(area_of, k == ROUNDS - 1)
+    one = [k for k in range(len(words.terms)) if area_of[k] >= 0]
+    often = [share[k] for k in one if sets[k,].sum() >= MIN_SUPPORT]
     least = COMPANY * float(np.median(often)) if often else 0.0
-    for k, t in enumerate(names):
-        row = table[k, : len(areas)] + (0 if (t,) not in sets else np.minimum(sets[t,], 5))
-        if t in seeds and table[k].sum() < MIN_SUPPORT:
-            single[k] = (seeds[t], 1.6)
-        elif row.sum() and share[k] >= least and (weight := _log_odds(row)) > 0.0:
-            single[k] = (int(row.argmax()), weight)
-    for j, (key, (_, _, area)) in enumerate(zip(keys, pairs)):
-        row = table[len(names) + j, : len(areas)] + np.minimum(sets[tuple(sorted((names[key[0]], names[key[1]])))], 20)
-        weight = _log_odds(row)
-        if int(row.argmax()) == area and weight >= 1.0:
-            double[key] = (area, weight)
-    return Rules(areas, names, single, double)
+    single = {k: (int(area_of[k]), weight) for k in one if share[k] >= least and (weight := _log_odds(sets[k,])) > 0.0}
+    double = {}
+    for body, row in sets.items():
+        if len(body) == 2 and row.max() >= CONFIDENCE * row.sum() and not overlapping(words.terms[body[0]], words.terms[body[1]]):
+            parts = [sets[t,] for t in body if (t,) in sets]
+            if row.max() / row.sum() >= max((p.max() / p.sum() for p in parts), default=0.0) + 0.03 and (weight := _log_odds(row)) >= 1.0:
+                double[body] = (int(row.argmax()), weight)
+    used = sorted(set(single) | {k for body in double for k in body})
+    place = {k: j for j, k in enumerate(used)}
+    rules = Rules(areas, [words.terms[k] for k in used], {place[k]: v for k, v in single.items()}, {(place[a], place[b]): v for (a, b), v in double.items()})
+    return calibrated(rules, held)
 
 
 def _log_odds(row: np.ndarray) -> float:
@@ -442,28 +458,21 @@ def _log_odds(row: np.ndarray) -> float:
     return float(min(5.0, np.log((best + 0.5) / (row.sum() - best + 0.5))))
 
 
-def _ambiguous(seeds: dict[str, int], sentences: list[tuple[str, tuple[str, ...], list[str]]], classes: int) -> set[str]:
-    """Frequent terms that stand in a few areas only: of use in rules of two terms."""
-    rows: dict[str, np.ndarray] = {}
-    total = np.zeros(classes)
-    for _, terms, known in sentences:
-        votes = {int(t[1:]) if t[0] == "\x00" else seeds.get(t, -1) for t in known}
-        if len(votes) == 1 and (area := next(iter(votes))) >= 0:
-            total[area] += 1
-            for t in terms:
-                if t not in seeds:
-                    rows.setdefault(t, np.zeros(classes))[area] += 1
-    out = {}
-    for t, row in rows.items():
-        n = row.sum()
-        top = np.sort(row)[::-1]
-        if n >= 5 * MIN_SUPPORT and top[:3].sum() >= 0.9 * n and top[0] < 0.97 * n and not any(t in s or s in t for s in seeds):
-            out[t] = n
-    keep = set()
-    for t in sorted(out, key=len, reverse=True):
-        if not any(t in k and out[t] <= 1.1 * out[k] for k in keep) and not any(p in out and p != t and out[p] <= 1.5 * out[t] and p in t for p in keep):
-            keep.add(t)
-    return keep
+def calibrated(rules: Rules, held: list[tuple[str, set[int]]]) -> Rules:
+    """Evidence no surer than rules of like evidence are on the held-out samples.
+
+    The rules are put into bins of their evidence; the log odds of right to wrong matches in a bin's held-out samples, plus
+    one of each, cap the evidence of its rules. Bins with fewer than 20 matches stay as they are.
+    """
+    matcher = rules.matcher()
+    right, wrong = np.zeros(6), np.zeros(6)
+    for text, subjects in held:
+        for k in {k for _, _, k in matcher(plain(text))}:
+            if hit := rules.single.get(k):
+                (right if hit[0] in subjects else wrong)[int(hit[1])] += 1
+    cap = np.where(right + wrong >= 20, np.log((right + 1) / (wrong + 1)), 5.0)
+    fitted = {k: (area, float(min(weight, cap[int(weight)]))) for k, (area, weight) in rules.single.items()}
+    return Rules(rules.areas, rules.terms, {k: v for k, v in fitted.items() if v[1] > 0}, rules.double)
 
 
 # ---------------------------------------------------------------- operator

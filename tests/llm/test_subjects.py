@@ -21,7 +21,7 @@ def sentence(rng, area):
 
 
 @pytest.fixture(scope="module")
-def fitted(spark):
+def tables(spark):
     rng = random.Random(4)
     samples = []
     for k in range(900):
@@ -32,7 +32,63 @@ def fitted(spark):
             samples.append((k, text, [area]))
     texts = ["".join(sentence(rng, area) for _ in range(8)) for area in AREAS for _ in range(150)]
     df = spark.createDataFrame(samples, "sample_id long, text string, subjects array<string>")
-    return S.fit_rules(spark, df, spark.createDataFrame([(t,) for t in texts], "text string"), AREAS)
+    return df, spark.createDataFrame([(t,) for t in texts], "text string")
+
+
+@pytest.fixture(scope="module")
+def fitted(spark, tables):
+    return S.fit_rules(spark, *tables, AREAS)
+
+
+def test_without_mined_rules_there_is_none(spark, tables, monkeypatch):
+    monkeypatch.setattr(S, "mine", lambda *a: {})
+    rules = S.fit_rules(spark, *tables, AREAS)
+    assert not rules.single and not rules.double and not rules.terms
+
+
+def test_mined_sets_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    terms, classes = 12, 3
+    rows = []
+    for _ in range(400):
+        items = sorted(rng.sample(range(terms), rng.randint(1, 6)))
+        rows.append((rng.randrange(classes), items, list(range(0, 10 * len(items), 10)), [2] * len(items)))
+    df = spark.createDataFrame(rows, "label int, items array<int>, starts array<int>, sizes array<int>").repartition(3)
+    want = {}
+    for label, items, _, _ in rows:
+        for body in [(a,) for a in items] + [(a, b) for a in items for b in items if a < b]:
+            want.setdefault(body, S.np.zeros(classes))[label] += 1
+    got = S.mine(df, S.np.full(terms, -1, dtype=S.np.int32), S.np.arange(terms), list(range(10)), classes, 15)
+    kept = {b: row for b, row in want.items() if row.sum() >= 15 and max(b) < 10}
+    assert got.keys() == kept.keys() and all((got[b] == kept[b]).all() for b in got)
+
+
+def test_vocabulary_counts_all_texts(spark):
+    from collections import Counter
+
+    from strataloom.llm import mining
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randint(1, 30))) + "。" + " ".join(rng.choice(["ant", "bee", "cat", "the"]) for _ in range(6)) for _ in range(200)]
+    want = Counter()
+    for t in texts:
+        han, latin = t.split("。")
+        want.update(han[k : k + 2] for k in range(len(han) - 1))
+        words = latin.split()
+        want.update(w for w in words if w != "the")
+        want.update(f"{a} {b}" for a, b in zip(words, words[1:]) if "the" not in (a, b))
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string").repartition(3)
+    words = mining.vocabulary(df, 0.0, 20)
+    got = dict(zip(words.terms, words.frequency.tolist()))
+    assert all(got[t] == n for t, n in want.items() if n >= 20 and t[0] <= "z")
+    assert got and all(want[t] == n for t, n in got.items() if len(t) == 2 and t[0] > "z")
+
+
+def test_evidence_is_capped_by_held_out_samples():
+    rules = S.Rules(["a", "b"], ["alpha"], {0: (0, 4.5)}, {})
+    held = [("alpha", {0})] * 30 + [("alpha", {1})] * 10
+    assert abs(S.calibrated(rules, held).single[0][1] - S.np.log(31 / 11)) < 1e-9
+    assert S.calibrated(rules, held[:5]).single[0][1] == 4.5
 
 
 def test_held_out_texts_and_words_missing_from_the_samples(fitted):
