@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -220,13 +221,36 @@ def vocabulary(texts: DataFrame, support: float, least: int) -> Vocabulary:
     return Vocabulary([r.term for r in rows], np.array([r.n for r in rows], dtype=np.int64), sentences)
 
 
-def _transactions(known: np.ndarray, order: np.ndarray, carried: int):
+@dataclass
+class Block:
+    """Sentences with known terms: for each its label and number of terms, for each term its place in the vocabulary, start and size."""
+
+    label: np.ndarray
+    lengths: np.ndarray
+    items: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def packed(self) -> list[bytes]:
+        return [x.astype(t).tobytes() for x, t in zip((self.label, self.lengths, self.items, self.starts, self.sizes), _KINDS)]
+
+    @classmethod
+    def unpacked(cls, raw: list[bytes]) -> Block:
+        return cls(*(np.frombuffer(x, dtype=t).astype(np.int32) for x, t in zip(raw, _KINDS)))
+
+
+#: Stored widths of a block's arrays.
+_KINDS = (np.int16, np.int32, np.int32, np.int32, np.int32)
+_FIELDS = ("label", "lengths", "items", "starts", "sizes")
+
+
+def _transactions(known: np.ndarray, order: np.ndarray):
     mask = np.zeros(1 << BITS, dtype=bool)
     mask[_bucket(known).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(carried).to_pylist()
+            labels, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for low, high in chars.slices(np.array([len(t) for t in texts]), 500_000):
                 part = Sentences(texts[low:high])
                 found = []
@@ -237,25 +261,35 @@ def _transactions(known: np.ndarray, order: np.ndarray, carried: int):
                     hit = known[spot] == h if len(known) else np.zeros(len(h), bool)
                     found.append((start[hit], length[hit], order[spot[hit]]))
                 start, length, item = (np.concatenate([x[k] for x in found]) for k in range(3))
-                sentence = part.sentence[start].astype(np.int64) if len(start) else np.zeros(0, np.int64)
+                if not len(start):
+                    continue
+                sentence = part.sentence[start].astype(np.int64)
                 # each term once a sentence, in order of its place, the longer first
                 _, first = np.unique((sentence << 32) | item, return_index=True)
                 start, length, item, sentence = start[first], length[first], item[first], sentence[first]
-                turn = np.lexsort((-length, start))
+                turn = np.argsort((start.astype(np.int64) << 16) - length, kind="stable")
                 start, length, item, sentence = start[turn], length[turn], item[turn], sentence[turn]
-                head = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(sentence) else np.zeros(0, np.int64)
-                offsets = pa.array(np.r_[head, len(sentence)], pa.int32())
-                row = pa.array(part.row[start[head]].astype(np.int64) + low) if len(head) else pa.array([], pa.int64())
-                within = start - np.repeat(start[head], np.diff(np.r_[head, len(start)])) if len(head) else start
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t))) for x, t in ((item, np.int32), (within, np.int32), (length, np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in range(carried)] + lists, names=[f"c{c}" for c in range(carried)] + ["items", "starts", "sizes"])
+                head = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+                many = np.diff(np.r_[head, len(sentence)])
+                label = labels[low:high][part.row[start[head]]]
+                block = Block(label, many, item, start - np.repeat(start[head], many), length)
+                yield pa.RecordBatch.from_arrays([pa.array([bool((label >= 0).any())])] + [pa.array([raw], pa.binary()) for raw in block.packed()], names=["taught", *_FIELDS])
 
     return run
 
 
-def transactions(texts: DataFrame, columns: list[str], words: Vocabulary) -> DataFrame:
-    """One row a sentence with known terms: ``columns``, ``items`` (places in the vocabulary), ``starts`` and ``sizes`` in characters."""
-    rows = texts.where("text is not null").select(*columns, "text")
-    schema = ", ".join(f"c{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
-    found = rows.mapInArrow(_transactions(words.hashes, words.order, len(columns)), f"{schema}, items array<int>, starts array<int>, sizes array<int>")
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "items", "starts", "sizes")
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The blocks in rows of ``transactions``."""
+    for batch in batches:
+        columns = [batch.column(f) for f in _FIELDS]
+        for k in range(batch.num_rows):
+            yield Block.unpacked([c[k].as_py() for c in columns])
+
+
+def transactions(texts: DataFrame, words: Vocabulary) -> DataFrame:
+    """The known terms of every sentence of ``text`` (with ``label``), a packed ``Block`` of at most some 500,000 characters' sentences a row.
+
+    ``taught`` tells whether a block has labelled sentences.
+    """
+    rows = texts.where("text is not null").select(F.col("label").cast("int"), "text")
+    return rows.mapInArrow(_transactions(words.hashes, words.order), "taught boolean, " + ", ".join(f"{f} binary" for f in _FIELDS))

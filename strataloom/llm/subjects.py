@@ -196,19 +196,16 @@ def _core(chosen: dict[str, int], counts: dict[str, int]) -> dict[str, int]:
 _LONGER = 1 << 20
 
 
-def judged(batch: pa.RecordBatch, area_of: np.ndarray, frequency: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def judged(block: mining.Block, area_of: np.ndarray, frequency: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(items, sentence of each, area of each sentence or -1, whether the area may be told to the item, whether a match explains it).
 
     A labelled sentence has its label. Another one has the area of the rules (``area_of`` each term, or -1) that match
     in it, if they all name the same. Where only one rule matches, it tells nothing to itself or to terms over its
     characters: every term is judged by others. A match over characters of a rarer term explains that term.
     """
-    lists = batch.column("items")
-    offsets = np.asarray(lists.offsets)
-    items = lists.flatten().to_numpy()
-    start, size = batch.column("starts").flatten().to_numpy(), batch.column("sizes").flatten().to_numpy()
-    n = batch.num_rows
-    sentence = np.repeat(np.arange(n), np.diff(offsets))
+    items, start, size, label = block.items, block.starts, block.sizes, block.label
+    n = len(label)
+    sentence = np.repeat(np.arange(n), block.lengths)
     end = start + size
     area = area_of[items] if len(items) else np.zeros(0, np.int32)
     known = np.flatnonzero(area >= 0)
@@ -221,7 +218,6 @@ def judged(batch: pa.RecordBatch, area_of: np.ndarray, frequency: np.ndarray | N
     np.bitwise_or.at(told, sentence[firm], np.int64(1) << area[firm].astype(np.int64))
     one = (told > 0) & (told & (told - 1) == 0)
     of = np.where(one, np.log2(np.maximum(told, 1)).astype(np.int32), -1)
-    label = batch.column("label").to_numpy()
     of = np.where(label >= 0, label, of)
     low, high = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     low[sentence[firm]], high[sentence[firm]] = start[firm], end[firm]
@@ -252,8 +248,8 @@ def _counted(area_of: np.ndarray, areas: int, frequency: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(area_of), areas + 2), dtype=np.int64)
         sentences = np.zeros(areas, dtype=np.int64)
-        for batch in batches:
-            items, sentence, of, may, explained = judged(batch, area_of, frequency)
+        for block in mining.blocks(batches):
+            items, sentence, of, may, explained = judged(block, area_of, frequency)
             np.add.at(total, (items, np.where(may, of[sentence], areas)), 1)
             np.add.at(total, (items[explained], areas + 1), 1)
             sentences += np.bincount(of[of >= 0], minlength=areas)
@@ -281,8 +277,8 @@ def _bases(area_of: np.ndarray, order: np.ndarray, classes: int):
             both, back = np.unique(np.r_[keys, some], return_inverse=True)
             return both, np.bincount(back, weights=np.r_[counts, n], minlength=len(both)).astype(np.int64)
 
-        for batch in batches:
-            items, sentence, of, may, _ = judged(batch, area_of)
+        for block in mining.blocks(batches):
+            items, sentence, of, may, _ = judged(block, area_of)
             place = order[items] if len(items) else items
             keep = may & (place >= 0)
             place, sentence = place[keep].astype(np.int64), sentence[keep]
@@ -364,7 +360,7 @@ class Learner:
     def first(self) -> np.ndarray:
         """Rules of the labelled samples alone."""
         nothing = np.full(len(self.words.terms), -1, dtype=np.int32)
-        rows = self.rows.where("label >= 0")
+        rows = self.rows.where("taught")
         table, total, _ = self.counts(nothing, rows)
         n = table[:, :-1].sum(axis=1)
         best = table[:, :-1].argmax(axis=1)
@@ -431,7 +427,7 @@ def fit_rules(spark: SparkSession, samples: DataFrame, texts: DataFrame, areas:
     words = mining.vocabulary(every, SUPPORT, MIN_SUPPORT)
     if not words.terms:
         return Rules(areas, [], {}, {})
-    learner = Learner(written(mining.transactions(every, ["label"], words), "transactions"), words, len(areas))
+    learner = Learner(written(mining.transactions(every, words), "transactions"), words, len(areas))
     area_of = learner.first()
     sets: dict[tuple[int, ...], np.ndarray] = {}
     share = np.zeros(len(words.terms))

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
+from strataloom.llm import mining
 from strataloom.llm import subjects as S
 
 WORDS = {
@@ -53,7 +55,11 @@ def test_mined_sets_are_those_of_brute_force(spark):
     for _ in range(400):
         items = sorted(rng.sample(range(terms), rng.randint(1, 6)))
         rows.append((rng.randrange(classes), items, list(range(0, 10 * len(items), 10)), [2] * len(items)))
-    df = spark.createDataFrame(rows, "label int, items array<int>, starts array<int>, sizes array<int>").repartition(3)
+    packed = []
+    for part in (rows[:150], rows[150:151], rows[151:]):
+        block = mining.Block(*(S.np.array(x) for x in ([r[0] for r in part], [len(r[1]) for r in part], [x for r in part for x in r[1]], [x for r in part for x in r[2]], [x for r in part for x in r[3]])))
+        packed.append((True, *block.packed()))
+    df = spark.createDataFrame(packed, "taught boolean, label binary, lengths binary, items binary, starts binary, sizes binary").repartition(3)
     want = {}
     for label, items, _, _ in rows:
         for body in [(a,) for a in items] + [(a, b) for a in items for b in items if a < b]:
@@ -64,10 +70,6 @@ def test_mined_sets_are_those_of_brute_force(spark):
 
 
 def test_vocabulary_counts_all_texts(spark):
-    from collections import Counter
-
-    from strataloom.llm import mining
-
     rng = random.Random(6)
     texts = ["".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randint(1, 30))) + "。" + " ".join(rng.choice(["ant", "bee", "cat", "the"]) for _ in range(6)) for _ in range(200)]
     want = Counter()
