@@ -70,6 +70,8 @@ _NUMBER = re.compile(
     + ")"
     + _RIGHT
 )
+#: Every number has such a stretch.
+_DIGITS = re.compile(r"\d[\d\-. ()\\–+]{4,}\d")
 _ZH_DIGITS = "一二三四五六七八九零〇○幺两拐洞勾"
 _SPELLED = re.compile(rf"(?<![{_ZH_DIGITS}0-9])(?:[{_ZH_DIGITS}0-9](?:[ \-])?){{10}}[{_ZH_DIGITS}0-9](?![{_ZH_DIGITS}0-9])")
 _EN_DIGIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
@@ -95,18 +97,20 @@ _EN_ADDRESS = re.compile(
     r"(?:\\?\.?,\s(?:apt|flat|unit|suite|apartment|room)\\?\.?\s\\?#?[0-9A-Za-z]{1,4})?(?-i:,\s(?:[A-Z][a-z]+)(?:\s[A-Z][a-z]+)?)?(?-i:,?\s(?:[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}|[A-Z]{2}\s\d{5}|\d{5}))?",
     re.I,
 )
+_MENTION = re.compile(r"@\S{0,8}$")
+#: Every English address has such a start.
+_HOUSE = re.compile(r"\d[A-Za-z]?,?\s[A-Za-z]")
 _CAPITAL = r"(?:[A-Z][a-z]+(?:[’'\-][A-Z]?[a-z]+)*|[A-Z]{2,}(?:[’'\-][A-Z]{2,})?)"
 _RUN = re.compile(rf"(?<![{_ASCII}_@#/.\-]){_CAPITAL}(?:\\?\.)?(?:,?\s(?:{_CAPITAL}\b|[A-Z]\\?\.?(?=[\s,])))+(?![{_ASCII}_@/=])")
-_STRONG_NAME = re.compile(r"(?:收件人|联系人|收货人|姓名\s?[：:]\s?|我叫|名叫|叫做|原稿在|作者\s?[：:]\s?|户名\s?[：:]\s?)$")
 _LABELS_LEFT = (
     ("phone", re.compile(r"(?:电话|手机|微信(?:同号)?|致电|直接|可以打|拨打|号码|联系|加我|phone|call|text me|tel|mobile|whatsapp|reach .{0,30} on|line|ring|fax)[^一-鿿A-Za-z0-9]{0,6}(?:at |on |me )?[^A-Za-z0-9]{0,3}$", re.I)),
-    ("idnum", re.compile(r"(?:身份证(?:号码?)?|证件号?(?:码)?(?:是)?|护照号?|社保号?|保险号?|passport|insurance number|id on file|ssn|social security|national insurance|printed|pasted|他居然把)[^一-鿿A-Za-z0-9]{0,4}(?:no\.? |number )?$", re.I)),
+    ("idnum", re.compile(r"(?:身份证(?:号码?)?|证件号?(?:码)?(?:是)?|护照号?|社保号?|保险号?|passport|insurance number|id card|ssn|social security|national insurance|no)[^一-鿿A-Za-z0-9]{0,4}(?:no\.? |number )?$", re.I)),
     ("mail", re.compile(r"(?:邮箱|邮件到?|写信给|联系方式|找|mail|inbox is|contact|write to|reach .{0,20} at)\W{0,4}$", re.I)),
-    ("person", re.compile(r"(?:收件人|联系人|姓名\W?|署名\W?|落款\W?|原稿在|我跟|我的是|找|和|与|thanks to|ask|dr\\?\.|told|reach|name is|regards,|parcel for|and|for|dear|mr\\?\.|ms\\?\.|mrs\\?\.|my name,|by)\s?$", re.I)),
-    ("place", re.compile(r"(?:地址\W?|寄到|住|住在|开在|在|到|live at|sits at|send it to|deliver to|parcel for .{2,30}, |at|to)\s?$", re.I)),
-    ("against", re.compile(r"(?:订单号?|单号|书号|时间戳(?:是)?|版本(?:是)?|装的是|背到|编号|快递|isbn|order(?: no\\?\.?| number)?|item|log says|release|version|between|invoice|tracking|sku|号码牌|从|图)\W{0,3}$", re.I)),
+    ("person", re.compile(r"(?:收件人|联系人|姓名\W?|署名\W?|落款\W?|跟|找|和|与|thanks to|ask|dr\\?\.|told|reach|name is|regards,|and|for|dear|mr\\?\.|ms\\?\.|mrs\\?\.|my name,|by)\s?$", re.I)),
+    ("place", re.compile(r"(?:地址\W?|寄到|住|住在|在|到|live at|send it to|deliver to|at|to)\s?$", re.I)),
+    ("against", re.compile(r"(?:订单号?|单号|书号|时间戳(?:是)?|版本(?:是)?|编号|快递|isbn|order(?: no\\?\.?| number)?|item|release|version|between|invoice|tracking|sku|从)\W{0,3}$", re.I)),
 )
-_TAIL_NAME = re.compile(r"^(?:收|手里|说|写|先生|女士|老师|同学|教授|医生|律师|[，。、；：！？）（」「【】《,.!?;:()\[\s<\n—]|在|还是|当时|见过|建议|这件事|一直|居然|其实|后悔|的|和|与|$)")
+_TAIL_NAME = re.compile(r"^(?:收|手里|说|写|先生|女士|老师|同学|教授|医生|律师|[，。、；：！？）（」「【】《,.!?;:()\[\s<\n—]|在|还是|当时|见过|建议|这件事|一直|居然|其实|后悔|的|和|与|把|被|对|给|让|没|总|也|都|又|周末|上个月|去年|今年|昨天|今天|前天|那天|后来|$)")
 _PLACE_NAME = re.compile(r"[一-鿿]{2,3}(?:路|街|巷|大道|弄|区|市|省|县|镇|村|山|湖|河|桥|寺|楼|店|馆|邀)|谢邀")
 _TAIL_VERB = re.compile(r"^(?:[’']s)?[\s,.()\[\]\\]*(?:[a-z]+(?:ed|s|ly)?\b|$|[,.!?)\]<\n])")
 _BREAK = re.compile(r"[。！？!?\n]|<(?:/?p|br|/?li|/?div|/?h\d|/?blockquote)\b|(?<=[a-z])\.\s")
@@ -144,8 +148,11 @@ class Finder:
     def __init__(self, common: str, words: frozenset[str] = frozenset()) -> None:
         two = "|".join(FAMILY_TWO)
         self.banned, self.words = frozenset(common), words
-        self.name = re.compile(rf"(?:{two}|[{FAMILY}])(?=[一-鿿])")
-        self.strong = re.compile(rf"(?:收件人|联系人|收货人|(?:姓名|署名|落款|户名)\s?[：:]\s?|我叫|名叫|原稿在|收款人|户名\s?[：:]\s?)(?P<name>(?:{two}|[{FAMILY}])[一-鿿]{{1,2}})(?![一-鿿]{{2}}(?:公司|店|馆))")
+        self.two, self.family = frozenset(FAMILY_TWO), frozenset(FAMILY)
+        # the characters a family name begins with, before a Han character: one class, as alternatives would be tried at every place
+        self.head = re.compile(rf"[{FAMILY}{''.join(sorted({t[0] for t in FAMILY_TWO}))}](?=[一-鿿])")
+        self.labels = ("收件人", "联系人", "收货人", "姓名", "署名", "落款", "户名", "我叫", "名叫", "收款人")
+        self.strong = re.compile(rf"(?:收件人|联系人|收货人|(?:姓名|署名|落款|户名)\s?[：:]\s?|我叫|名叫|收款人|户名\s?[：:]\s?)(?P<name>(?:{two}|[{FAMILY}])[一-鿿]{{1,2}})(?![一-鿿]{{2}}(?:公司|店|馆))")
 
     def __call__(self, raw: str) -> list[Candidate]:
         text = raw.translate(_FULL) if _FULL_ANY.search(raw) else raw
@@ -166,7 +173,7 @@ class Finder:
                     continue
                 shape = "email_word" if worded else "email_hash" if "#" in at else "email"
                 add(Candidate(m.start(), m.end(), "email", shape, (m["local"] + "@" + ".".join(tld)).replace("\\", "").lower()))
-        for m in _NUMBER.finditer(text):
+        for m in _NUMBER.finditer(text) if _DIGITS.search(text) else ():
             shape = m.lastgroup if m.lastgroup != "d" else "ssn"
             digits = re.sub(r"[^0-9A-Za-z]", "", m.group())
             label = "idnum" if shape in ("id18", "id15", "ssn", "ni", "passport") else "phone"
@@ -188,7 +195,7 @@ class Finder:
                 if start is not None:
                     add(Candidate(low + start, m.end(), "address", "zh_address", re.sub(r"\s", "", text[low + start : m.end()])))
         covered: list[tuple[int, int]] = []
-        for m in _EN_ADDRESS.finditer(text):
+        for m in _EN_ADDRESS.finditer(text) if _HOUSE.search(text) else ():
             words = re.findall(r"[A-Za-z]+", re.sub(r"^.*?\d+[A-Za-z]?,?\s", "", m.group().split(",")[0] if m.group()[0].isdigit() else m.group().split(",")[1] if "," in m.group() else m.group(), count=1))
             c = Candidate(m.start(), m.end(), "address", "en_address", re.sub(r"\W+", " ", m.group().lower()))
             c.features.append("filler" if any(w.lower() in COMMON_EN or w.lower() in ("kinds", "years", "days", "times", "people", "hours", "minutes", "cases", "weeks", "months", "percent") for w in words[:-1]) else "plain_words")
@@ -198,32 +205,64 @@ class Finder:
             if any(a <= m.start() < b for a, b in covered):
                 continue
             self._english(text, m, found)
-        labelled = {m.start("name") for m in self.strong.finditer(text)}
-        starts: list[tuple[int, int, str]] = []
-        for m in self.name.finditer(text):
-            if text[m.end()] in self.banned:
-                if m.start() not in labelled:
-                    add(self._usual(text, m))
-                continue
-            c = Candidate(m.start(), self._name_end(text, m.end()), "person", "zh_name", text[m.start() : m.end() + 1])
-            c.features.append("two_family" if len(m.group()) == 2 else "one_family")
-            c.features.append("family_common" if m.group()[-1] in self.banned and len(m.group()) == 1 else "family_rare")
-            after = self.name.match(text, m.end())
-            if after and text[after.end()] not in self.banned:
-                c.features.append("inner_common" if c.features[-1] == "family_common" else "inner_rare")
-            if starts and starts[-1][1] > m.start() and starts[-1][2] == "family_rare":
-                c.features.append(f"inside_{starts[-1][2]}")
-            starts.append((m.start(), m.end() + 1, c.features[1]))
-            add(c)
-        for m in self.strong.finditer(text):
-            add(Candidate(m.start("name"), m.end("name"), "person", "zh_labelled", m["name"][:2] if m["name"][:2] not in FAMILY_TWO else m["name"][:3]))
+        labelled = {m.start("name") for m in self.strong.finditer(text)} if any(x in text for x in self.labels) else ()
+        rare: list[tuple[int, int]] = []
+        for start, given in self._families(text):
+            usual = text[given] in self.banned and start not in labelled
+            shared = [] if usual else self._traits(text, start, given, rare)
+            for end in (given + 1, given + 2):
+                if end > given + 1 and not "一" <= text[end - 1 : end] <= "鿿":
+                    break
+                c = Candidate(start, end, "person", "zh_common" if usual else "zh_name", text[start:end])
+                c.features = self._usual(text, start, given, end) if usual else [*shared, *self._ending(text, given, end)]
+                if start in labelled:
+                    c.features.append("zh_labelled")
+                add(c)
         return self._finish(text, found)
 
-    def _usual(self, text: str, m: re.Match) -> Candidate:
-        """A candidate whose given name begins with a common character; its features have weights of their own."""
-        start, given = m.start(), m.end()
-        end = self._name_end(text, given)
-        c = Candidate(start, end, "person", "zh_common", text[start : given + 1])
+    def _families(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, start of the given name) of every family name before a Han character; 谢邀 (thanks for asking) is a set phrase."""
+        low = 0
+        for m in self.head.finditer(text):
+            start = m.start()
+            if start < low:
+                continue
+            if text[start : start + 2] in self.two and "一" <= text[start + 2 : start + 3] <= "鿿":
+                low = start + 2
+                yield start, low
+            elif text[start] in self.family and text[start : start + 2] != "谢邀":
+                yield start, start + 1
+
+    def _traits(self, text: str, start: int, given: int, rare: list[tuple[int, int]]) -> list[str]:
+        """What does not depend on where a name ends; ``rare`` holds the names begun so far with an uncommon family name."""
+        traits = ["two_family" if given - start == 2 else "one_family"]
+        traits.append("family_common" if text[given - 1] in self.banned and given - start == 1 else "family_rare")
+        after = given + 2 if text[given : given + 2] in self.two else given + 1 if text[given] in self.family else 0
+        if after and "一" <= text[after : after + 1] <= "鿿" and text[after] not in self.banned:
+            traits.append("inner_common" if traits[-1] == "family_common" else "inner_rare")
+        if rare and rare[-1][1] > start:
+            traits.append("inside_family_rare")
+        if traits[1] == "family_rare":
+            rare.append((start, given + 1))
+        return traits
+
+    def _ending(self, text: str, given: int, end: int) -> list[str]:
+        """What tells whether a name ends at ``end``."""
+        tail = bool(_TAIL_NAME.match(text[end : end + 6]))
+        size = end - given
+        traits = [f"given{size}", "tail" if tail else "no_tail", f"given{size}&{'tail' if tail else 'no_tail'}"]
+        if size == 2:
+            second = text[end - 1]
+            common = second in self.banned
+            traits.append("second_common" if common else "second_rare")
+            if common and second in _VERB_HEADS:
+                traits.append("second_verb")
+            if common and _TAIL_NAME.match(text[end - 1 : end + 5]):
+                traits.append("second_tail")
+        return traits
+
+    def _usual(self, text: str, start: int, given: int, end: int) -> list[str]:
+        """Features of a name whose given name begins with a common character; they have weights of their own."""
         traits = ["two_family" if given - start == 2 else "one_family"]
         traits.append(f"usual{sum(x in USUAL_GIVEN for x in text[given:end])}of{end - given}")
         if any(x in FUNCTION_HAN and x not in USUAL_GIVEN for x in text[given:end]):
@@ -235,23 +274,13 @@ class Finder:
             traits.append("left_word")
         if any(text[k : k + 2] in self.words for k in range(given, end)):
             traits.append("right_word")
+        if end - given == 2 and text[end - 1] in _VERB_HEADS:
+            traits.append("second_verb")
         free = "known" if len(traits) > 2 else "free"
         traits.append("han_left" if "一" <= left <= "鿿" else "edge_left")
         traits.append("tail" if _TAIL_NAME.match(text[end : end + 6]) or text[end : end + 1] in tuple("也又却") else "no_tail")
         traits += [f"{free}&{traits[1]}", f"{free}&{traits[1]}&{traits[-2]}&{traits[-1]}"]
-        c.features = [f"common:{t}" for t in traits]
-        return c
-
-    def _name_end(self, text: str, given: int) -> int:
-        """The end of a name whose given name begins at ``given``: one or two characters."""
-        second = text[given + 1 : given + 2]
-        if not "一" <= second <= "鿿":
-            return given + 1
-        if second in self.banned and _TAIL_NAME.match(text[given + 1 : given + 7]) and not _TAIL_NAME.match(text[given + 2 : given + 8]):
-            return given + 1
-        if second in self.banned and second in _VERB_HEADS:
-            return given + 1
-        return given + 2
+        return traits
 
     @staticmethod
     def _left(head: str) -> int | None:
@@ -321,7 +350,7 @@ class Finder:
         block: dict[int, list[Candidate]] = {}  # the kept items that touch each stretch of 64 characters
         for c in found:
             touched = range(c.start >> 6, (max(c.end, c.start + 1) - 1 >> 6) + 1)
-            if any(c.start < k.end and k.start < c.end and not (k.label == c.label == "person" and k.start != c.start) for b in touched for k in block.get(b, ())):
+            if any(c.start < k.end and k.start < c.end and not (k.label == c.label == "person") for b in touched for k in block.get(b, ())):
                 same = first.get((c.start, c.label))
                 if same:
                     same.features.append(c.shape)
@@ -330,34 +359,32 @@ class Finder:
             first.setdefault((c.start, c.label), c)
             for b in touched:
                 block.setdefault(b, []).append(c)
-        kept.sort(key=lambda c: c.start)
+        kept.sort(key=lambda c: (c.start, c.end))
+        around: dict[int, list[str]] = {}
         for c in kept:
             left, right = text[max(0, c.start - 40) : c.start], text[c.end : c.end + 20]
             c.features.append(f"shape={c.shape}")
-            for name, pattern in _LABELS_LEFT:
-                if pattern.search(left[-40:]):
-                    c.features.append(f"left={name}")
+            if (before := around.get(c.start)) is None:
+                before = around[c.start] = [f"left={name}" for name, pattern in _LABELS_LEFT if pattern.search(left)]
+            c.features += before
             if c.shape == "zh_common":
                 c.features = [f if f.startswith("common:") else f"common:{f}" for f in c.features]
                 if _PLACE_NAME.match(text[c.start : c.start + 6]):
                     c.features.append("common:place")
-                if re.search(r"@\S{0,8}$", left):
+                if "@" in left and _MENTION.search(left):
                     c.features.append("common:mention")
                 c.features.append("common:bias")
                 continue
             if c.label == "person":
                 if c.shape.startswith("zh"):
                     c.features.append("han_left" if left[-1:] and "一" <= left[-1] <= "鿿" else "edge_left")
-                    name_end = c.start + len(c.key)
-                    tails = [bool(_TAIL_NAME.match(text[name_end + k : name_end + k + 6])) for k in (0, 1)]
-                    c.features.append("tail" if any(tails) else "no_tail")
                     if re.match(r"[一-鿿]?记", text[c.start + 1 : c.start + 3]) or re.match(r"[一-鿿]{0,2}(?:公司|面馆|酒楼|商店|书店|药房|集团)", text[c.start + 2 : c.start + 7]):
                         c.features.append("shop")
                     if re.search(r"[老小阿]$", left):
                         c.features.append("nick")
                 else:
                     c.features.append("tail" if _TAIL_VERB.match(right) else "no_tail")
-                if re.search(r"@\S{0,8}$", left):
+                if "@" in left and _MENTION.search(left):
                     c.features.append("mention")
                 if _PLACE_NAME.match(text[c.start : c.start + 6]):
                     c.features.append("place")
@@ -370,94 +397,194 @@ class Finder:
 # ---------------------------------------------------------------- the field
 
 
+#: Readings that overlap exclude each other; messages are mixed with the ones before.
+EXCLUDE, DAMPING, NEAR = -8.0, 0.5, 40
+LABEL = {name: k for k, name in enumerate(LABELS)}
+
+
+class Graph:
+    """The readings of many texts as nodes, and the factors between them as arrays.
+
+    A node is a place where an item of one kind may begin; its states are "nothing" and each reading (each end) of the
+    item. Factors: neighbours within NEAR characters by their labels (chain), readings of the same or a similar
+    surface, however distant, linked each to the one before (skip: ``same``, and ``part`` for a shared part of an English
+    name), and readings that overlap (exclude). No factor joins two texts.
+    """
+
+    STATES = 3
+
+    def __init__(self, texts: list[list[Candidate]]) -> None:
+        self.node, self.state, labels = [], [], []
+        one, two, kind, spot = [], [], [], []
+        for items in texts:
+            last: dict[tuple[str, str, str], tuple[int, int]] = {}
+            first = len(labels)
+            ends: list[int] = []
+            before: Candidate | None = None
+            for c in items:
+                if before is not None and (before.start, before.label) == (c.start, c.label) and self.state[-1] + 1 < self.STATES:
+                    self.state.append(self.state[-1] + 1)
+                    ends[-1] = max(ends[-1], c.end)
+                else:
+                    labels.append(LABEL[c.label])
+                    self.state.append(1)
+                    if before is not None and c.start - before.end <= NEAR:
+                        one.append(len(labels) - 2)
+                        two.append(len(labels) - 1)
+                        kind.append(0)
+                        spot.append((0, 0))
+                    ends.append(c.end)
+                node, state = len(labels) - 1, self.state[-1]
+                self.node.append(node)
+                before = c
+                keys = [("same", c.label, c.key)]
+                if c.shape == "en_name":
+                    keys += [("part", c.label, w) for w in c.key.split()]
+                linked = set()
+                for key in keys:
+                    if key in last and last[key][0] != node and last[key][0] not in linked:
+                        one.append(last[key][0])
+                        two.append(node)
+                        kind.append(1 if key[0] == "same" else 2)
+                        spot.append((last[key][1], state))
+                        linked.add(last[key][0])
+                    last[key] = (node, state)
+            starts: dict[int, list[tuple[int, int, int]]] = {}
+            for node, state, c in zip(self.node[-len(items) :] if items else (), self.state[-len(items) :] if items else (), items):
+                starts.setdefault(node, []).append((c.start, c.end, state))
+            for node in range(first, len(labels)):
+                follow = node + 1
+                while follow < len(labels) and starts[follow][0][0] < ends[node - first]:
+                    for _, end, a in starts[node]:
+                        for start, _, b in starts[follow]:
+                            if end > start:
+                                one.append(node)
+                                two.append(follow)
+                                kind.append(3)
+                                spot.append((a, b))
+                    follow += 1
+        self.labels = np.array(labels, dtype=np.int64)
+        self.node, self.state = np.array(self.node, dtype=np.int64), np.array(self.state, dtype=np.int64)
+        self.one, self.two, self.kind = (np.array(x, dtype=np.int64) for x in (one, two, kind))
+        self.spot = np.array(spot, dtype=np.int64).reshape(-1, 2)
+        # where a pair of states takes its weight: a pair of labels, linked readings that are both, or only one of them, chosen
+        n, width = len(labels), len(LABELS)
+        seen = np.where(np.arange(self.STATES) > 0, self.labels[:, None], 0) if n else np.zeros((0, self.STATES), np.int64)
+        self.slot = seen[self.one][:, :, None] * width + seen[self.two][:, None, :] if len(self.one) else np.zeros((0, 3, 3), np.int64)
+        far = self.kind > 0
+        a = np.arange(self.STATES)[None, :, None] == self.spot[:, 0][:, None, None]
+        b = np.arange(self.STATES)[None, None, :] == self.spot[:, 1][:, None, None]
+        base = width * width
+        link = np.where(a & b, base + 2 * self.kind[:, None, None] - 2, np.where(a | b, base + 2 * self.kind[:, None, None] - 1, base + 4))
+        self.slot = np.where(far[:, None, None] & (self.kind < 3)[:, None, None], link, self.slot)
+        self.slot = np.where((self.kind == 3)[:, None, None], np.where(a & b, base + 5, base + 4), self.slot)
+
+    #: Pair weights: 36 of labels, both and one of "same", both and one of "part", none, and the fixed exclusion.
+    PAIRS = len(LABELS) ** 2 + 6
+
+
 class Field:
-    """Unary weights per (label, feature), pair weights of neighbours and of repeated items."""
+    """Weights per (label, feature) of a reading, and of pairs of states; skip weights may be switched off to see what they do."""
 
-    def __init__(self, unary: dict[tuple[str, str], float], chain: np.ndarray, skip: np.ndarray) -> None:
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: dict[tuple[str, str], float], pairs: np.ndarray) -> None:
+        self.unary, self.pairs = unary, pairs
 
-    def potentials(self, items: list[Candidate]) -> np.ndarray:
-        """Two states for each item: not personal, and its own kind."""
-        return np.array([[0.0, sum(self.unary.get((c.label, f), 0.0) for f in c.features)] for c in items])
+    def without_skip(self) -> Field:
+        pairs = self.pairs.copy()
+        pairs[len(LABELS) ** 2 : len(LABELS) ** 2 + 4] = 0.0
+        return Field(self.unary, pairs)
 
-    @staticmethod
-    def edges(items: list[Candidate]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Neighbours within forty characters; repeats of a key and of a part of an English name, each linked to its last."""
-        near = [(k, k + 1) for k in range(len(items) - 1) if items[k + 1].start - items[k].end <= 40]
-        last: dict[tuple[str, str], int] = {}
-        far = []
-        for k, c in enumerate(items):
-            keys = [(c.label, c.key)]
-            if c.shape == "en_name":
-                keys += [(c.label, w) for w in c.key.split()]
-            linked = set()
-            for key in keys:
-                if key in last and last[key] not in linked:
-                    far.append((last[key], k))
-                    linked.add(last[key])
-                last[key] = k
-        return near, far
+    def score(self, c: Candidate) -> float:
+        get, label = self.unary.get, c.label
+        return sum(get((label, f), 0.0) for f in c.features)
+
+    def marginals_of(self, texts: list[list[Candidate]], rounds: int = 12) -> np.ndarray:
+        """The probability of each reading, in order, by loopy sum-product messages over all its text."""
+        graph = Graph(texts)
+        own = np.full((len(graph.labels), Graph.STATES), -1e9)
+        own[:, 0] = 0.0
+        own[graph.node, graph.state] = [self.score(c) for items in texts for c in items]
+        belief, _ = _messages(graph, own, self.pairs, rounds)
+        return np.exp(belief)[graph.node, graph.state]
 
     def marginals(self, items: list[Candidate], rounds: int = 12) -> np.ndarray:
-        """The probability that each item is personal, by damped loopy sum-product messages."""
         return self.marginals_of([items], rounds)
 
-    def marginals_of(self, texts: list[list[Candidate]], rounds: int = 12) -> np.ndarray:
-        """The same for the items of many texts, one after the other; no message goes from one text to another."""
-        own = self.potentials([c for items in texts for c in items])
-        near, far, base = [], [], 0
-        for items in texts:
-            for into, edges in zip((near, far), self.edges(items)):
-                into += [(i + base, j + base) for i, j in edges]
-            base += len(items)
-        pairs = near + far
-        if pairs:
-            a = np.array([p[0] for p in pairs] + [p[1] for p in pairs])
-            b = np.array([p[1] for p in pairs] + [p[0] for p in pairs])
-            table = np.stack([self.chain, self.skip, self.chain.T, self.skip.T]).repeat([len(near), len(far)] * 2, axis=0)
-            back = np.r_[np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))]
-            message = np.zeros((len(a), 2))
-            for _ in range(rounds):
-                total = own.copy()
-                np.add.at(total, b, message)
-                going = total[a] - message[back]
-                new = np.logaddexp(going[:, :1] + table[:, 0, :], going[:, 1:] + table[:, 1, :])
-                new -= new.max(axis=1, keepdims=True)
-                message = 0.5 * message + 0.5 * new
-            own = own.copy()
-            np.add.at(own, b, message)
-        return 1.0 / (1.0 + np.exp(np.clip(own[:, 0] - own[:, 1], -50, 50)))
-
-
-def fit(finder: Finder, documents: list[tuple[str, set[tuple[str, int]]]], rounds: int = 400) -> Field:
-    """Piecewise training: logistic unary factors on labelled candidates, pair factors from label counts."""
-    rows = []
-    chain, skip = np.full((2, 2), 1.0), np.full((2, 2), 1.0)
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+
+def _messages(graph: Graph, own: np.ndarray, pairs: np.ndarray, rounds: int, want_pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log marginals of the nodes, and if wanted of the factors, after damped loopy message passing."""
+    joint = None
+    total = own
+    if len(graph.one):
+        table = pairs[graph.slot]
+        send, take = np.r_[graph.one, graph.two], np.r_[graph.two, graph.one]
+        both = np.concatenate([table, table.transpose(0, 2, 1)])
+        back = np.r_[np.arange(len(table), 2 * len(table)), np.arange(len(table))]
+        message = np.zeros((len(send), Graph.STATES))
+
+        def gathered(message: np.ndarray) -> np.ndarray:
+            return own + np.stack([np.bincount(take, weights=message[:, k], minlength=len(own)) for k in range(Graph.STATES)], axis=1)
+
+        for _ in range(rounds):
+            going = (gathered(message)[send] - message[back])[:, :, None] + both
+            new = going.max(axis=1)
+            new += np.log(np.exp(going - new[:, None, :]).sum(axis=1))
+            new -= new.max(axis=1, keepdims=True)
+            message = DAMPING * message + (1 - DAMPING) * new
+        total = gathered(message)
+        if want_pairs:
+            n = len(table)
+            joint = (total[graph.one] - message[n:])[:, :, None] + (total[graph.two] - message[:n])[:, None, :] + table
+            joint -= _log_sum(joint.reshape(n, -1), 1)[:, None, None]
+    return total - _log_sum(total, 1)[:, None], joint
+
+
+def fit(finder: Finder, documents: list[tuple[str, set[tuple[str, int, int]]]], rounds: int = 60) -> Field:
+    """Joint training: the gradient of the likelihood of the labelled readings, expectations by loopy messages.
+
+    All weights, those of features and those of chain and skip factors, are fitted together. A node whose item is true has
+    the reading of the true end, or the first one if none ends there.
+    """
+    texts, gold = [], []
     for text, truth in documents:
         items = finder(text)
-        marks = [int((c.label, c.start) in truth) for c in items]
-        rows += list(zip(items, marks))
-        near, far = Field.edges(items)
-        for (i, j), table in [(e, chain) for e in near] + [(e, skip) for e in far]:
-            table[marks[i], marks[j]] += 1
-    names = sorted({(c.label, f) for c, _ in rows for f in c.features})
+        texts.append(items)
+        ends = {(kind, a): b for kind, a, b in truth}
+        gold += [2 if ends.get((c.label, c.start)) == c.end else int((c.label, c.start) in ends) for c in items]
+    graph = Graph(texts)
+    every = [c for items in texts for c in items]
+    state = np.zeros(len(graph.labels), dtype=np.int64)
+    for level in (1, 2):  # exact ends override others
+        for k in np.flatnonzero(np.array(gold) == level)[::-1]:
+            state[graph.node[k]] = graph.state[k]
+    names = sorted({(c.label, f) for c in every for f in c.features})
     place = {n: k for k, n in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    y = np.array([m for _, m in rows], dtype=float)
-    for k, (c, _) in enumerate(rows):
-        for f in c.features:
-            x[k, place[c.label, f]] = 1.0
-    w = np.zeros(len(names))
-    rate = 1.0
+    reading = np.repeat(np.arange(len(every)), [len(c.features) for c in every])
+    feature = np.array([place[c.label, f] for c in every for f in c.features], dtype=np.int64)
+    chosen = (state[graph.node] == graph.state).astype(float)
+    w, v = np.zeros(len(names)), np.zeros(Graph.PAIRS)
+    v[-1] = EXCLUDE
+    seen = np.bincount(graph.slot[np.arange(len(graph.one)), state[graph.one], state[graph.two]], minlength=Graph.PAIRS)
+    scale_w, scale_v = np.full(len(w), 1e-6), np.full(len(v), 1e-6)
     for _ in range(rounds):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= rate * (x.T @ (p - y) / np.maximum(1.0, x.sum(axis=0)) + 0.002 * w)
-
-    def centred(table: np.ndarray) -> np.ndarray:
-        joint = table / table.sum()
-        return np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-
-    return Field({n: float(w[k]) for n, k in place.items()}, 0.3 * centred(chain), 1.0 * centred(skip))
+        own = np.full((len(graph.labels), Graph.STATES), -1e9)
+        own[:, 0] = 0.0
+        own[graph.node, graph.state] = np.bincount(reading, weights=w[feature], minlength=len(every))
+        belief, joint = _messages(graph, own, v, 4, True)
+        p = np.exp(belief)[graph.node, graph.state]
+        step = np.bincount(feature, weights=(chosen - p)[reading], minlength=len(w)) - 0.5 * w
+        expected = np.bincount(graph.slot.ravel(), weights=np.exp(joint).ravel(), minlength=Graph.PAIRS)
+        pull = seen - expected - 2.0 * v
+        pull[-2:] = 0.0
+        scale_w, scale_v = scale_w + step**2, scale_v + pull**2
+        w += 0.5 * step / np.sqrt(scale_w)
+        v += 0.2 * pull / np.sqrt(scale_v)
+    return Field({n: float(w[k]) for n, k in place.items()}, v)
 
 
 # ---------------------------------------------------------------- operator
@@ -527,22 +654,30 @@ def common_characters(texts: DataFrame) -> str:
     return commonness(texts).characters
 
 
+@functools.cache
+def trained() -> Field:
+    """The field's weights, fitted once in the driver on documents made from patterns."""
+    from strataloom.llm import pii_samples
+
+    return fit(Finder(pii_samples.common(), pii_samples.WORDS), pii_samples.documents(1000) + pii_samples.common_names(1000))
+
+
 @functools.lru_cache(maxsize=4)
-def _model(common: str | Commonness) -> tuple[Finder, Field]:
+def _finder(common: str | Commonness) -> Finder:
     from strataloom.llm import pii_samples
 
     known = common if isinstance(common, Commonness) else Commonness(common, pii_samples.WORDS)  # words that were not counted
-    return Finder(known.characters, known.words), fit(Finder(pii_samples.common(), pii_samples.WORDS), pii_samples.documents() + pii_samples.common_names())
+    return Finder(known.characters, known.words)
 
 
-def find_in(text: str, common: str | Commonness = "", threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
+def find_in(text: str, common: str | Commonness = "", threshold: float = THRESHOLD, field: Field | None = None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, probability) of each item of one text, in code points."""
-    return find_each([text], common, threshold)[0]
+    return find_each([text], common, threshold, field)[0]
 
 
-def find_each(texts: list[str], common: str | Commonness = "", threshold: float = THRESHOLD) -> list[list[tuple[str, int, int, float]]]:
+def find_each(texts: list[str], common: str | Commonness = "", threshold: float = THRESHOLD, field: Field | None = None) -> list[list[tuple[str, int, int, float]]]:
     """``find_in`` of every text; the messages of up to 256 texts go in the same arrays."""
-    finder, model = _model(common)
+    finder, model = _finder(common), field or trained()
     out = []
     for low in range(0, len(texts), 256):
         items = [finder(t) for t in texts[low : low + 256]]
@@ -552,16 +687,28 @@ def find_each(texts: list[str], common: str | Commonness = "", threshold: float
 
 
 def _chosen(items: list[tuple[Candidate, float]], threshold: float) -> list[tuple[str, int, int, float]]:
-    out: list[tuple[Candidate, float]] = []
+    """At each place the likeliest reading, if something begins there with at least the threshold; of two that overlap the likelier."""
+    places: dict[tuple[int, str], list[tuple[Candidate, float]]] = {}
     for c, p in items:
-        if p < threshold:
-            continue
-        # of two readings that share characters the likelier one holds, where one begins with a common character
-        if out and out[-1][0].end > c.start and "zh_common" in (c.shape, out[-1][0].shape) and out[-1][0].label == c.label:
-            if p <= out[-1][1]:
-                continue
-            out.pop()
-        out.append((c, p))
+        places.setdefault((c.start, c.label), []).append((c, p))
+    best = [(max(r, key=lambda x: x[1])[0], sum(p for _, p in r)) for r in places.values()]
+    out: list[tuple[Candidate, float]] = []
+    k = 0
+    while k < len(best):
+        # places whose likeliest readings overlap share one decision: whether any of them holds, and then the likeliest
+        group, end = [best[k]], best[k][0].end
+        while k + len(group) < len(best) and best[k + len(group)][0].start < end:
+            end = max(end, best[k + len(group)][0].end)
+            group.append(best[k + len(group)])
+        k += len(group)
+        while group:
+            c, p = max(group, key=lambda x: x[1])
+            beside = sum(q for d, q in group if d.start < c.end and c.start < d.end)
+            if beside < threshold:
+                break
+            out.append((c, p))
+            group = [(d, q) for d, q in group if d.start >= c.end or d.end <= c.start]
+    out.sort(key=lambda x: x[0].start)
     return [(c.label, c.start, c.end, p) for c, p in out]
 
 
@@ -577,11 +724,13 @@ def replaced(text: str, found: list[tuple[str, int, int, float]]) -> str:
 
 
 def _scan(common: str | Commonness, carried: int, with_text: bool):
+    field = trained()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(carried).to_pylist()
             row, kind, start, end, clean = [], [], [], [], []
-            for k, (text, found) in enumerate(zip(texts, find_each(texts, common))):
+            for k, (text, found) in enumerate(zip(texts, find_each(texts, common, THRESHOLD, field))):
                 if with_text:
                     row.append(k)
                     clean.append(replaced(text, found))
@@ -613,11 +762,13 @@ def _prepared(df: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, str
 def personal_items(df: DataFrame, keys: list[str], text: str, common: str | Commonness) -> DataFrame:
     """One row per occurrence: ``keys``, ``kind``, ``start_pos``, ``end_pos`` in code points of the raw text (problem 2).
 
-    Method: a skip-chain conditional random field. Candidate items (addresses of mail, numbers, places, names)
-    are its nodes; neighbours within forty characters and repeats of an item, however distant, share pair
-    potentials; loopy message passing gives each candidate's probability within its document. Its weights are
-    trained piecewise on labelled documents made by ``pii_samples``; ``common`` (see ``commonness``) are the
-    corpus's frequent characters and words, which are features of a name and exclude none.
+    Method: a skip-chain conditional random field. Its nodes are the places where an item may begin, its states
+    "nothing" and every reading of the item there (a name of one or two given characters). Neighbours within
+    forty characters share potentials by their labels, readings of the same or a similar surface, however distant, by
+    being chosen together; readings that overlap exclude each other. Loopy message passing gives each reading's
+    probability within its document. All weights are trained jointly on labelled documents made by
+    ``pii_samples``; ``common`` (see ``commonness``) are the corpus's frequent characters and words, which are features
+    of a name and exclude none.
 
     Null and empty texts give no row; repeated rows give repeated rows; whole texts are read.
     """

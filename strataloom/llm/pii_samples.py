@@ -88,13 +88,13 @@ def _en_address(r: random.Random) -> str:
 POSITIVE = (
     ("电话", "phone", "，下午在。"), ("加我微信同号", "phone", "。"), ("可以打", "phone", "问问。"), ("", "phone", "（晚上别打）"), ("这样也行（", "phone", "），就这样。"), ("Call ", "phone", " after six. "),
     ("Text me: ", "phone", ". "), ("it is messy (", "phone", "), of course. "), ("邮箱", "email", "，备注来意。"), ("Write to ", "email", " and I will answer. "), ("", "email", " works best. "), ("这样也行——", "email", "。"),
-    ("身份证号", "idnum", "被抄了。"), ("证件号：", "idnum", "。"), ("他居然把", "idnum", "贴了出来。"), ("Passport or ID on file: ", "idnum", ". "), ("这样也行（", "idnum", "），就这样。"), ("it is messy - ", "idnum", ". "),
-    ("地址：", "zh_address", "。"), ("我住", "zh_address", "，欢迎来。"), ("东西寄到", "zh_address", "就行。"), ("那家店开在", "zh_address", "对面。"), ("I live at ", "en_address", ", drop by. "), ("Send it to ", "en_address", ". "), ("it is messy [", "en_address", "], then. "),
-    ("收件人", "zh_name", "，谢谢。"), ("联系人", "zh_name", "。"), ("我跟", "zh_name", "在那里。"), ("", "zh_name", "还是愿意去。"), ("。", "zh_name", "当时不懂。"), ("姓名：", "zh_name", "。"), ("这样也行（", "zh_name", "），就这样。"), ("这件事", "zh_name", "聊过。"), ("原稿在", "zh_name", "手里。"), ("署名：", "zh_name", "（本人）"), ("这样也行 ", "zh_name", " ，对吧。"), ("这样也行——", "zh_name", "，对吧。"), ("这样也行 ", "zh_address", " ，对吧。"), ("这样也行（", "zh_address", "），对吧。"), ("这样也行 ", "phone", " ，对吧。"), ("带我的是", "zh_name", "。"), ("感谢", "zh_name", "的提醒。"), ("等到看天气时", "zh_name", "其实后悔。"), ("那天", "zh_name", "没有来。"), ("收藏了", "zh_name", "常常不懂。"), ("，", "zh_name", "收。"), ("我叫", "zh_name", "，做这行八年。"), ("按经验，", "zh_name", "入秋一直在看天气。"),
+    ("身份证号", "idnum", "被抄了。"), ("证件号：", "idnum", "。"), ("护照号码", "idnum", "请勿外传。"), ("ID card no. ", "idnum", " was copied. "), ("这样也行（", "idnum", "），就这样。"), ("it is messy - ", "idnum", ". "),
+    ("地址：", "zh_address", "。"), ("我住", "zh_address", "，欢迎来。"), ("请送到", "zh_address", "，谢谢。"), ("我们在", "zh_address", "碰面。"), ("I live at ", "en_address", ", drop by. "), ("Send it to ", "en_address", ". "), ("it is messy [", "en_address", "], then. "),
+    ("收件人", "zh_name", "，谢谢。"), ("联系人", "zh_name", "。"), ("我跟", "zh_name", "在那里。"), ("", "zh_name", "还是愿意去。"), ("。", "zh_name", "当时不懂。"), ("姓名：", "zh_name", "。"), ("这样也行（", "zh_name", "），就这样。"), ("这件事", "zh_name", "聊过。"), ("钥匙在", "zh_name", "手里。"), ("署名：", "zh_name", "（本人）"), ("这样也行 ", "zh_name", " ，对吧。"), ("这样也行——", "zh_name", "，对吧。"), ("这样也行 ", "zh_address", " ，对吧。"), ("这样也行（", "zh_address", "），对吧。"), ("这样也行 ", "phone", " ，对吧。"), ("带我的是", "zh_name", "。"), ("感谢", "zh_name", "的提醒。"), ("等到看天气时", "zh_name", "其实后悔。"), ("那天", "zh_name", "没有来。"), ("收藏了", "zh_name", "常常不懂。"), ("，", "zh_name", "收。"), ("我叫", "zh_name", "，做这行八年。"), ("按经验，", "zh_name", "入秋一直在看天气。"),
     ("Thanks to ", "en_name", " for the help. "), ("Dr. ", "en_name", " explained it. "), ("Ask ", "en_name", " about it. "), ("My name is ", "en_name", " and I did it. "), ("", "en_name", " kept asking. "), ("", "en_name", " (see below) wrote it. "), ("Nobody told ", "en_name", " until then. "), ("Regards, ", "en_name", "\n"), ("it is messy (", "en_name", "), then. "),
 )
 NEGATIVE = (
-    "订单号{o}查不到。", "书号 978-0-00-{d6}。", "时间戳是16{d8}。", "版本是4.{d1}.6。", "装的是 tool@3.2.{d1} 那个包。", "从{d6}到{d6}之间。", "Order no. {o} never came. ", "The log says 16{d8} twice. ", "Pin it to tool@8.{d1}.6 for now. ",
+    "订单号{o}查不到。", "书号 978-0-00-{d6}。", "时间戳是16{d8}。", "版本是4.{d1}.6。", "升级到 tool@3.2.{d1} 以后好了。", "从{d6}到{d6}之间。", "Order no. {o} never came. ", "The log says 16{d8} twice. ", "Pin it to tool@8.{d1}.6 for now. ",
     "We saw {d1} kinds of road last year. ", "They spent 12 days in court again. ", "About {d1} in a court. ", "Professor Ashgrove said so. ", "Kestrel Analytics published a chart. ", "Station Road Bakery changed its sign. ", "Maple Street is long. ",
     "老王和小李都不同意。", "王记面馆的招牌换了。", "梧桐路很长。", "秦淮路那一带我常去。", "薛岗街很长。", "@野生秦娥45 说得对。", "@安静雷鸥 说得对。", "谢邀。", "谢邀，不懂。", "高汤很好。", "方圆很大。", "Port Merrow is far. ", "Elmsford Partners Ltd hired many. ", "订单号{fake}查不到。", "快递单号{fake}。", "Order number {fake}. ", "Look up item 978-0-00-{d6} in a library. ", "Order no. {fake} never arrived. ", "单号{fake}，别弄丢。",
 )
@@ -106,8 +106,8 @@ def common() -> str:
     return "".join(sorted({c for c in fixed if "一" <= c <= "鿿" and c not in GIVEN and c not in RARE_SURNAMES}))
 
 
-def documents(count: int = 1200, seed: int = 20240611) -> list[tuple[str, set[tuple[str, int]]]]:
-    """Texts with the (kind, start) of each item in them."""
+def documents(count: int = 1200, seed: int = 20240611) -> list[tuple[str, set[tuple[str, int, int]]]]:
+    """Texts with the (kind, start, end) of each item in them."""
     r = random.Random(seed)
     makers = {"phone": _phone, "email": _email, "idnum": _number, "zh_address": _zh_address, "en_address": _en_address, "zh_name": _zh_name, "en_name": _en_name}
     out = []
@@ -120,7 +120,7 @@ def documents(count: int = 1200, seed: int = 20240611) -> list[tuple[str, set[tu
                 value = used[kind] if kind in used and r.random() < 0.35 else makers[kind](r)
                 used[kind] = value
                 text += before
-                truth.add((kind.split("_")[-1].replace("name", "person"), len(text)))
+                truth.add((kind.split("_")[-1].replace("name", "person"), len(text), len(text) + len(value)))
                 text += value + after
             else:
                 text += r.choice(NEGATIVE).format(o=f"20{r.randint(10**15, 10**16 - 1)}", d6=f"{r.randint(0, 999999):06d}", d8=f"{r.randint(0, 10**8 - 1):08d}", d1=r.randint(2, 40), fake=f"20{r.randint(1000, 9999)}{_date(r)}{r.randint(0, 9999):04d}")
@@ -128,7 +128,7 @@ def documents(count: int = 1200, seed: int = 20240611) -> list[tuple[str, set[tu
     return out
 
 
-def common_names(count: int = 1200, seed: int = 20240612) -> list[tuple[str, set[tuple[str, int]]]]:
+def common_names(count: int = 1200, seed: int = 20240612) -> list[tuple[str, set[tuple[str, int, int]]]]:
     """Texts with names of common given characters, among words that begin or end with a family name."""
     from strataloom.llm.pii import FAMILY
 
@@ -144,7 +144,7 @@ def common_names(count: int = 1200, seed: int = 20240612) -> list[tuple[str, set
                 before, after = r.choice(before_after)
                 used = used if used and r.random() < 0.35 else family + given
                 text += before
-                truth.add(("person", len(text)))
+                truth.add(("person", len(text), len(text) + len(used)))
                 text += used + after
             else:
                 text += "".join(r.choice(("", "", "", "", "和", "与", "我找", "感谢")) + r.choice(ORDINARY) for _ in range(r.randint(1, 5)))

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from strataloom.llm import pii, pii_samples
@@ -8,6 +10,7 @@ def test_held_out_accuracy():
     hits = wrong = missed = 0
     for text, truth in pii_samples.documents(300, seed=99):
         got = {(kind, start) for kind, start, _, _ in pii.find_in(text, common)}
+        truth = {(kind, start) for kind, start, _ in truth}
         hits += len(got & truth)
         wrong += len(got - truth)
         missed += len(truth - got)
@@ -50,25 +53,68 @@ def test_places(text, want):
 
 def test_repeats_share_their_label():
     items = [pii.Candidate(0, 5, "person", "en_name", "ada lovel", ["weak"]), pii.Candidate(500, 505, "person", "en_name", "ada lovel", ["sure"])]
-    field = pii.Field({("person", "weak"): -0.5, ("person", "sure"): 4.0}, pii.np.zeros((2, 2)), pii.np.array([[1.0, -3.0], [-3.0, 1.0]]))
+    pairs = pii.np.zeros(pii.Graph.PAIRS)
+    pairs[36], pairs[37] = 2.0, -2.0
+    field = pii.Field({("person", "weak"): -0.5, ("person", "sure"): 4.0}, pairs)
     alone = field.marginals(items[:1])[0]
     assert alone < 0.5 < field.marginals(items)[0]
+    assert abs(field.without_skip().marginals(items)[0] - alone) < 1e-9
 
 
-def test_messages_are_exact_on_a_chain():
-    import itertools
+def _enumerated(field, items):
+    """Marginals of the readings by summing over all states."""
+    np = pii.np
+    graph = pii.Graph([items])
+    own = np.full((len(graph.labels), pii.Graph.STATES), -np.inf)
+    own[:, 0] = 0.0
+    own[graph.node, graph.state] = [field.score(c) for c in items]
+    weight, total = np.zeros(own.shape), 0.0
+    for state in itertools.product(*[np.flatnonzero(np.isfinite(row)) for row in own]):
+        p = np.exp(sum(own[k, x] for k, x in enumerate(state)) + sum(field.pairs[graph.slot[e, state[i], state[j]]] for e, (i, j) in enumerate(zip(graph.one, graph.two))))
+        total += p
+        for k, x in enumerate(state):
+            weight[k, x] += p
+    return (weight / total)[graph.node, graph.state]
 
+
+def test_messages_are_exact_on_a_tree():
     np = pii.np
     rng = np.random.default_rng(3)
-    items = [pii.Candidate(10 * k, 10 * k + 5, "phone", "us", str(k), [f"f{k}"]) for k in range(5)]
-    field = pii.Field({("phone", f"f{k}"): float(rng.normal()) for k in range(5)}, rng.normal(size=(2, 2)), np.zeros((2, 2)))
-    own, weight = field.potentials(items), np.zeros(5)
-    total = 0.0
-    for state in itertools.product((0, 1), repeat=5):
-        p = np.exp(sum(own[k, s] for k, s in enumerate(state)) + sum(field.chain[a, b] for a, b in zip(state, state[1:])))
-        total += p
-        weight += p * np.array(state)
-    assert np.allclose(field.marginals(items, rounds=60), weight / total, atol=1e-6)
+    items = [pii.Candidate(10 * k, 10 * k + size, "person", "zh_name", f"{k}{size}", [f"f{k}{size}"]) for k in range(5) for size in (2, 3)]
+    pairs = rng.normal(size=pii.Graph.PAIRS)
+    field = pii.Field({("person", c.features[0]): float(rng.normal()) for c in items}, pairs)
+    assert np.allclose(field.marginals(items, rounds=80), _enumerated(field, items), atol=1e-6)
+
+
+def test_overlapping_readings_exclude_each_other():
+    items = [pii.Candidate(0, 3, "person", "zh_name", "温岑朔", ["a"]), pii.Candidate(1, 3, "person", "zh_name", "岑朔", ["b"])]
+    pairs = pii.np.zeros(pii.Graph.PAIRS)
+    pairs[-1] = pii.EXCLUDE
+    got = pii.Field({("person", "a"): 3.0, ("person", "b"): 2.0}, pairs).marginals(items)
+    assert got[0] > 0.6 > 0.4 > got[1] and got.sum() < 1.01
+
+
+def test_skip_factors_find_what_no_context_tells():
+    """Phrases the training never has: a name of common characters is introduced once and then comes back without a cue."""
+    common = pii.Commonness("".join(sorted(set(pii_samples.common()) | pii.COMMON_ZH | set("国建明军志海天小子雨强高平方云"))), pii_samples.WORDS)
+    field = pii.trained()
+    lost = 0
+    for text, name in (
+        ("联系人马小云。马小云不太懂。", "马小云"),
+        ("署名：严正行。这本书里严正行提到很多。", "严正行"),
+        ("我叫高明，做这行八年。天气不错。听说高明去了北边工作。", "高明"),
+        ("我跟王大海聊过。人人都说王大海好。", "王大海"),
+    ):
+        full = [text[a:b] for kind, a, b, _ in pii.find_in(text, common, field=field)]
+        bare = [text[a:b] for kind, a, b, _ in pii.find_in(text, common, field=field.without_skip())]
+        assert full.count(name) == 2
+        lost += full.count(name) - bare.count(name)
+    assert lost >= 3
+
+
+def test_many_items_on_one_place_and_none():
+    assert pii.find_each(["", "无", "赵" * 400]) is not None
+    assert pii.Field({}, pii.np.zeros(pii.Graph.PAIRS)).marginals([]).shape == (0,)
 
 
 def test_operator_and_replacement(spark):
