@@ -17,8 +17,12 @@ from strataloom.llm.tables import written
 CLASS_BITS = 14
 SMOOTHING = 2.0
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0)
-#: Rounds and tolerance of the projected gradient.
-ROUNDS, TOLERANCE = 40, 1e-4
+#: One labelled document in HELD_OUT (by a hash of its key) chooses the temperature and tells the accuracy.
+HELD_OUT = 8
+#: Most rounds of the projected gradient, the error it stops at, and the one that is no fit.
+ROUNDS, TOLERANCE, FAILED = 60, 1e-4, 0.01
+#: Where STALL rounds do not halve the error, the size of the mix shrinks by the factor SHRINK.
+STALL, SHRINK = 4, 0.8
 #: Bins of the step that turns rates into whole copies.
 STEPS = 4000
 
@@ -114,7 +118,7 @@ def _losses(sources: list[str], model: Classifier):
     return run
 
 
-def _membership(sources: list[str], repeats: np.ndarray, model: Classifier, temperature: float):
+def _membership(sources: list[str], repeats: np.ndarray, model: Classifier, temperature: float, trust: float):
     code = {s: k for k, s in enumerate(sources)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +126,12 @@ def _membership(sources: list[str], repeats: np.ndarray, model: Classifier, temp
             p_out, domain, cap = [], [], []
             for source, raw in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 p = np.zeros(len(sources))
-                if source is None and model.known.any():
+                named = code.get(source) if source is not None else None
+                if (source is None or (named is not None and trust < 1)) and model.known.any():
                     p = posterior(model.logits(np.frombuffer(raw, dtype=np.int32)), temperature)
-                elif source in code:
-                    p[code[source]] = 1.0
+                if named is not None:
+                    p = (1 - trust) * p
+                    p[named] += trust
                 k = int(p.argmax())
                 p_out.append(p.tolist())
                 domain.append(k if p[k] > 0 else -1)
@@ -180,7 +186,7 @@ def _rated(width: int, start: np.ndarray, moves: list[np.ndarray]):
 class Mix:
     """The fitted mix: ``copies`` (a row a document) and ``targets`` (sources with their target, cap and reach)."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, key: str, text: str, source: str) -> None:
+    def __init__(self, docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, trust: float = 1.0) -> None:
         spark: SparkSession = docs.sparkSession
         aims = targets.where(F.col("source").isNotNull()).orderBy("source").collect()  # a fixed small table
         self.sources = [r.source for r in aims]
@@ -196,16 +202,17 @@ class Mix:
             )
             return
         self.base = written(rows.mapInArrow(_features, f"key {kind}, source string, tokens int, features binary"), "features")
-        labelled = self.base.where(F.col("source").isin(self.sources)).select("source", "features")
+        labelled = self.base.where(F.col("source").isin(self.sources)).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(HELD_OUT)))
+        taught, held = (labelled.where(c).select("source", "features") for c in ("fold > 0", "fold = 0"))
         counts = np.zeros((width, (1 << CLASS_BITS) + 1))
-        got = labelled.mapInArrow(_class_counts(self.sources), "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).toArrow()
+        got = taught.mapInArrow(_class_counts(self.sources), "s int, b int, n long").groupBy("s", "b").agg(F.sum("n").alias("n")).toArrow()
         counts[got.column("s").to_numpy(), got.column("b").to_numpy()] = got.column("n").to_numpy()
         model = Classifier(counts)
-        losses = labelled.mapInArrow(_losses(self.sources, model), "loss array<double>, hits long, n long")
+        losses = held.mapInArrow(_losses(self.sources, model), "loss array<double>, hits long, n long")
         total = losses.select(F.posexplode("loss").alias("j", "x"), "hits", "n").groupBy("j").agg(F.sum("x").alias("x"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).orderBy("j").collect()
-        self.temperature = TEMPERATURES[int(np.argmin([r.x for r in total]))] if total else 1.0
+        self.temperature = TEMPERATURES[int(np.argmin([r.x for r in total]))] if total and total[0].n else 1.0
         self.accuracy = total[0].hits / max(1, total[0].n) if total else 0.0
-        member = self.base.mapInArrow(_membership(self.sources, repeats, model, self.temperature), f"key {kind}, source string, tokens int, p array<double>, domain int, cap int")
+        member = self.base.mapInArrow(_membership(self.sources, repeats, model, self.temperature, trust), f"key {kind}, source string, tokens int, p array<double>, domain int, cap int")
         member = written(member, "membership")
 
         named = member.where(F.col("source").isNotNull() & (F.col("domain") >= 0)).groupBy("domain").agg(F.sum(F.col("tokens").cast("long") * F.col("cap")).alias("n")).collect()
@@ -224,14 +231,24 @@ class Mix:
         able = (sure > 0) & (share > 0)
         size = float(np.min(sure[able] / share[able])) if able.any() else 0.0
         aim = np.where(able, share * size, 0.0)
-        start = np.divide(aim * repeats, most, out=np.zeros(width), where=able)
+        start = np.where(able, 1.0, 0.0)  # every document once
         moves: list[np.ndarray] = []
         reached = np.zeros(width)
-        for _ in range(ROUNDS if able.any() else 0):
+        before = np.inf
+        for k in range(ROUNDS if able.any() else 0):
             reached, slack = achieved(start, moves)
             error = np.divide(reached - aim, aim, out=np.zeros(width), where=able)
             if np.abs(error).max() <= TOLERANCE:
                 break
+            if k == ROUNDS - 1 and np.abs(error).max() > FAILED:
+                raise RuntimeError(f"no rates reach the targets after {ROUNDS} rounds: {dict(zip(self.sources, error.round(4).tolist()))}")
+            if k % STALL == STALL - 1:
+                if np.abs(error).max() > 0.5 * before:
+                    # memberships that overlap reach the shares at a smaller size only
+                    size *= SHRINK
+                    aim = aim * SHRINK
+                    error = np.divide(reached - aim, aim, out=np.zeros(width), where=able)
+                before = np.abs(error).max()
             # gradient of the squared relative errors, scaled by the tokens that can still move
             room = np.where(slack > 0, slack, most / np.maximum(repeats, 1))
             moves.append(np.divide(error * aim, room, out=np.zeros(width), where=able & (room > 0)))
@@ -240,7 +257,7 @@ class Mix:
         rated = member.mapInArrow(_rated(width, start, moves), f"key {kind}, source string, tokens int, domain int, cap int, rate double").where("domain >= 0 and cap > 0")
         draw = (F.pmod(F.xxhash64("key"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
         rated = rated.withColumn("draw", draw)
-        scale = self._scales(rated, aim)
+        self.scale = scale = self._scales(rated, aim) if trust >= 1 else np.ones(width)
         factor = F.element_at(F.array(*[F.lit(float(x)) for x in scale] or [F.lit(1.0)]), F.col("domain") + 1)
         copies = F.least(F.col("cap").cast("long"), F.floor(F.col("rate") * factor + F.col("draw")).cast("long"))
         names = F.array(*[F.lit(s) for s in self.sources] or [F.lit("")])
@@ -267,21 +284,24 @@ class Mix:
         return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", trust: float = 1.0) -> DataFrame:
     """The documents of the mix: ``key``, ``source``, ``domain``, ``tokens``, ``rate`` and ``copies`` (at least 1).
 
-    Method: soft-membership mixing. A classifier (naive Bayes over hashed terms and layout marks) is trained on
-    all documents that name a source of ``targets``; documents without a source belong to the sources by its
-    posteriors, those that name one belong to it. A projected gradient then fits a rate between 0 and the
-    allowed repeats for each document, so that the expected tokens of each source meet its target; every round
-    is one pass over the documents, only sums by source reach the driver. The size of the mix is the largest
-    that lets every source that has documents meet its share. Rates become whole copies by a fixed draw from the
-    key, with a factor for each source that brings its tokens closest to the target.
+    Method: soft-membership mixing. A classifier (naive Bayes over hashed terms and layout marks) is trained on the
+    documents that name a source of ``targets``, but for one in HELD_OUT, which choose the temperature of its
+    posteriors. A document without a source belongs to the sources by its posterior; one that names a source belongs to it
+    with the weight ``trust`` and by its posterior with the rest. The shares asked for are shares of the named sources, so
+    ``trust`` is 1 unless the names are doubtful. A projected gradient then fits a rate between 0 and the allowed
+    repeats for each document, beginning with every document once, so that the expected tokens of each source meet its
+    target; every round is one pass over the documents, only sums by source reach the driver. It ends at TOLERANCE and
+    raises if FAILED is not reached in ROUNDS. The size of the mix is the largest that lets every source that has
+    documents meet its share. Rates become whole copies by a fixed draw from the key; where names are trusted a factor for
+    each source makes up for what rounding moved.
 
     Sources that ``targets`` does not name are left out; a named source without documents reaches 0 (see
     ``shares``). Null texts are left out, empty ones have no tokens; equal texts count each.
     """
-    return Mix(docs, targets, key, text, source).copies.where("copies >= 1").withColumnRenamed("key", key)
+    return Mix(docs, targets, key, text, source, trust).copies.where("copies >= 1").withColumnRenamed("key", key)
 
 
 def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

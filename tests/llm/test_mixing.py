@@ -52,3 +52,28 @@ def test_nothing(spark, docs):
     assert mixing.mix(docs.limit(0), aims).count() == 0
     assert mixing.mix(docs, targets(spark, [])).count() == 0
     assert [r.tokens for r in mixing.shares(docs.limit(0), aims).collect()] == [0, 0]
+
+
+def test_posteriors_of_all_documents_change_rates(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(900):
+        kind = rng.choice("aab")
+        text = " ".join(rng.choice(WORDS[kind]) for _ in range(40))
+        # a third of the documents of the one kind are named after the other
+        rows.append((k, text, "a" if kind == "b" and rng.random() < 0.33 else kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    aims = targets(spark, [("a", 0.4, 2), ("b", 0.6, 3)])
+    named, soft = (mixing.Mix(docs, aims, "doc_id", "text", "source", trust) for trust in (1.0, 0.2))
+    assert soft.rounds > 1 and abs(soft.expected / soft.expected.sum() - [0.4, 0.6]).max() < 0.005
+    one, two = ({r.key: r.rate for r in m.copies.collect()} for m in (named, soft))
+    false = [k for k, text, source in rows if source == "a" and text.split()[0] in WORDS["b"]]
+    true = [k for k, text, source in rows if source == "a" and text.split()[0] in WORDS["a"]]
+    mean = lambda rate, keys: sum(rate.get(k, 0.0) for k in keys) / len(keys)
+    assert abs(mean(one, false) - mean(one, true)) < 1e-6
+    assert mean(two, false) > 1.3 * mean(two, true)
+
+
+def test_rounding_factors_stay_close_to_one(spark, docs):
+    fitted = mixing.Mix(docs, targets(spark, [("a", 0.3, 1), ("b", 0.4, 3), ("c", 0.3, 4)]), "doc_id", "text", "source")
+    assert fitted.rounds >= 1 and abs(fitted.scale - 1).max() < 0.15 and fitted.accuracy > 0.95
