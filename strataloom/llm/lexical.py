@@ -71,7 +71,7 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows.append(row[at[first]])
     bucket = (np.concatenate(hashes) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     key, count = np.unique((np.concatenate(rows) << BUCKET_BITS) | bucket, return_counts=True)
-    return key >> BUCKET_BITS, (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), np.minimum(count, 255).astype(np.uint8)
+    return key >> BUCKET_BITS, (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), count.astype(np.uint32)
 
 
 def _profile(carried: int, capacities: tuple[int, ...], folder: str):

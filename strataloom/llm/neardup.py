@@ -108,24 +108,20 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _run_pairs(run_start: np.ndarray, run_size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs inside runs of a sorted order, size by size without a loop over runs."""
-    left, right = [], []
+def _run_pairs(run_start: np.ndarray, run_size: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs inside runs of a sorted order, size by size without a loop over runs, at most some millions at once."""
     for size in np.unique(run_size):
         at = run_start[run_size == size]
         a, b = np.triu_indices(size, 1)
-        step = max(1, 4_000_000 // len(a))
+        step = max(1, 2_000_000 // len(a))
         for low in range(0, len(at), step):
             part = at[low : low + step, None]
-            left.append(order[(part + a).ravel()])
-            right.append(order[(part + b).ravel()])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+            yield order[(part + a).ravel()], order[(part + b).ravel()]
 
 
-def _collide(key: np.ndarray, cid: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _collide(key: np.ndarray, cid: np.ndarray, second: np.ndarray, in_task: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of one stretch of whole first-collection buckets, and (table key, cid) rows of tables too large for a task."""
+    in_task = IN_TASK if in_task is None else in_task
     change = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[change, len(key)])
     shared = np.repeat(sizes > 1, sizes)
@@ -142,14 +138,16 @@ def _collide(key: np.ndarray, cid: np.ndarray, second: np.ndarray) -> tuple[np.n
         in_order = table_key[order]
         start = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
         size = np.diff(np.r_[start, len(order)])
-        small = (size > 1) & (size <= IN_TASK)
-        a, b = _run_pairs(start[small], size[small], order)
-        a, b = cid[a], cid[b]
-        differ = a != b
-        waiting = np.concatenate([waiting, np.stack([np.minimum(a, b)[differ], np.maximum(a, b)[differ]], axis=1)])
-        if len(waiting) > 1_000_000 or column == SIDE - 1:
-            pairs, waiting = _distinct(np.concatenate([pairs, waiting])), waiting[:0]
-        big = np.repeat(size > IN_TASK, size)
+        small = (size > 1) & (size <= in_task)
+        for a, b in _run_pairs(start[small], size[small], order):
+            a, b = cid[a], cid[b]
+            differ = a != b
+            waiting = np.concatenate([waiting, np.stack([np.minimum(a, b)[differ], np.maximum(a, b)[differ]], axis=1)])
+            if len(waiting) > 1_000_000:
+                pairs, waiting = _distinct(np.concatenate([pairs, waiting])), waiting[:0]
+        if column == SIDE - 1:
+            pairs = _distinct(np.concatenate([pairs, waiting]))
+        big = np.repeat(size > in_task, size)
         later.append(np.stack([in_order[big].astype(np.int64), cid[order[big]]], axis=1))
     return pairs[:, 0], pairs[:, 1], np.concatenate(later)
 
@@ -179,12 +177,12 @@ def _bands_of(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SIDE)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tables(batches: Iterator[pa.RecordBatch], in_task: int | None = None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key come in; whole buckets of the first collection are split into tables by the second."""
 
     def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key = rows.column("key").to_numpy()
-        a, b, later = _collide(key, rows.column("cid").to_numpy(), _bands_of(rows.column("second")))
+        a, b, later = _collide(key, rows.column("cid").to_numpy(), _bands_of(rows.column("second")), in_task)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[a, later[:, 0]]), pa.array(np.r_[b, later[:, 1]]), pa.array(np.r_[np.zeros(len(a), bool), np.ones(len(later), bool)])],
             names=["a", "b", "later"],
@@ -209,7 +207,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # one bucket fills the task: its rows go on to Spark's join, table by table
             yield _all_tables(key, _bands_of(rest.column("second")), rest.column("cid").to_numpy())
             # the bucket stays open: its other rows are sent the same way
-            yield from _send_rest(batches, key[-1])
+            yield from _send_rest(batches, key[-1], in_task)
             return
         open_key = key[-1]
         held, size = rest.to_batches(), rest.num_rows
@@ -218,7 +216,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(pa.Table.from_batches(held))
 
 
-def _send_rest(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+def _send_rest(batches: Iterator[pa.RecordBatch], hot: int, in_task: int | None = None) -> Iterator[pa.RecordBatch]:
     """Goes on after a bucket that fills a task: its further rows go to Spark's join, the rest is handled as usual."""
     rest = iter(batches)
     for batch in rest:
@@ -232,7 +230,7 @@ def _send_rest(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Recor
                 yield first
                 yield from rest
 
-            yield from _tables(chained())
+            yield from _tables(chained(), in_task)
             return
 
 
@@ -285,7 +283,7 @@ class NearDuplicates:
     entities decoded, in lower case, letters and digits only; shorter ones than ``shortest`` are left out.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", width: int = WIDTH, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", width: int = WIDTH, threshold: float = THRESHOLD, shortest: int = SHORTEST, in_task: int = IN_TASK) -> None:
         source = docs.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
             F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("content")
         )
@@ -297,7 +295,7 @@ class NearDuplicates:
         classes = written(classes, "classes")
         keyed = classes.select("cid", "first", "second").mapInArrow(_keys, "key long, cid long, second binary")
         found = written(
-            keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_tables, "a long, b long, later boolean").distinct(), "candidates"
+            keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _tables(batches, in_task), "a long, b long, later boolean").distinct(), "candidates"
         )
         later = found.where("later").select(F.col("a").alias("t"), F.col("b").alias("cid"))
         hot = (
@@ -322,7 +320,7 @@ class NearDuplicates:
         self.pairs = written(joined.mapInArrow(_similar(width, threshold), "a long, b long"), "pairs")
 
 
-def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "content", **options) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "content", expand: int | None = EXPAND, **options) -> DataFrame:
     """Pairs of ids whose texts are nearly the same: ``id_a`` < ``id_b`` (problem 5).
 
     Method: tensored banding. Two collections of SIDE bands of ROWS minhashes each are computed once; a table
@@ -330,18 +328,20 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "c
     by the first band only and carry the second collection as 16-bit keys; the tables are built inside the
     bucket. Every candidate is checked exactly.
 
-    Equal texts form one class first. Classes of up to EXPAND ids come out as all their pairs, larger ones as
+    Equal texts form one class first. Classes of up to ``expand`` ids come out as all their pairs, larger ones as
     pairs with the representative (the smallest id), within the class and towards other classes; so no link
-    between different texts is lost and a huge group of copies stays linear. Nulls, empty and short texts give
+    between different texts is lost and a huge group of copies stays linear. ``expand=None`` gives all pairs of all classes,
+    ``near_duplicate_members`` the class of every id. Nulls, empty and short texts give
     no row; repeated rows of an id count once; an id is never paired with itself; an empty table gives none.
     """
     found = NearDuplicates(docs, id_col, text_col, **options)
+    most = F.lit(2**62 if expand is None else expand)
     sized = found.members.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head"))
     grouped = found.members.join(sized.where("n > 1"), "cid")
-    small = grouped.where(F.col("n") <= EXPAND).select("cid", "id")
+    small = grouped.where(F.col("n") <= most).select("cid", "id")
     within = small.alias("x").join(small.alias("y"), F.col("x.cid") == F.col("y.cid")).select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
-    star = grouped.where(F.col("n") > EXPAND).select(F.col("head").alias("p"), F.col("id").alias("q"))
-    speakers = found.members.join(sized.where(F.col("n") > EXPAND), "cid", "left").where(F.col("n").isNull() | (F.col("id") == F.col("head"))).select("cid", "id")
+    star = grouped.where(F.col("n") > most).select(F.col("head").alias("p"), F.col("id").alias("q"))
+    speakers = found.members.join(sized.where(F.col("n") > most), "cid", "left").where(F.col("n").isNull() | (F.col("id") == F.col("head"))).select("cid", "id")
     across = (
         found.pairs.join(speakers.select(F.col("cid").alias("a"), F.col("id").alias("p")), "a")
         .join(speakers.select(F.col("cid").alias("b"), F.col("id").alias("q")), "b")
@@ -351,14 +351,21 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "c
     return every.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 40) -> DataFrame:
+def near_duplicate_members(docs: DataFrame, id_col: str = "id", text_col: str = "content", **options) -> DataFrame:
+    """One row per id of a compared text: ``id`` and ``head``, the smallest id with an equal text (after normalisation)."""
+    members = NearDuplicates(docs, id_col, text_col, **options).members
+    return members.join(members.groupBy("cid").agg(F.min("id").alias("head")), "cid").select("id", "head")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: ``node`` and the smallest node of its component as ``head``.
 
-    Alternates large-star and small-star steps; every step is a written table, so nothing gathers on the driver.
+    Alternates large-star and small-star steps until nothing changes; every step is a written table, so nothing
+    gathers on the driver.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     last = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

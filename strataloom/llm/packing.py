@@ -104,7 +104,7 @@ def _pack(kinds: list[tuple[str, int]], idf: np.ndarray, average: float):
         ids, tokens, cuts = rows.column("c0").to_pylist(), rows.column("tokens").to_numpy(), rows.column("cuts").to_pylist()
         index = Shard(
             [np.frombuffer(x, dtype=np.int32) for x in rows.column("buckets").to_pylist()],
-            [np.frombuffer(x, dtype=np.uint8) for x in rows.column("counts").to_pylist()],
+            [np.frombuffer(x, dtype=np.uint32) for x in rows.column("counts").to_pylist()],
             idf,
             average,
         )

@@ -1,38 +1,12 @@
-"""Written tables that cut a lineage, in the folder all executors share."""
+"""The driver's tables, and written tables that cut a lineage (from the core's helper)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from strataloom.shared import shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder is set once."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="strataloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back.
-
-    A lost executor loses nothing of it, and what follows does not compute ``df`` again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strataloom-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -19,15 +19,18 @@ def test_hot_question(spark):
     assert [r.id for r in got] == [r[0] for r in want]
 
 
-def test_a_third_are_copies(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPAND", 20)
+def test_a_third_are_copies(spark):
     rng = random.Random(1)
     same, close = words(rng, 60), None
     close = same + " and three more words"
     rows = [(f"{k:04d}", same if k % 3 == 0 else words(rng, 60)) for k in range(900)] + [("9000", close)]
     df = spark.createDataFrame(rows, "id string, content string").withColumn("cid", neardup.F.lit(1)).withColumn("a", neardup.F.lit(2))
-    got = {(r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(df).collect()}
+    got = {(r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(df, expand=20).collect()}
     assert {("0000", f"{k:04d}") for k in range(3, 900, 3)} | {("0000", "9000")} == got
+    whole = {(r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(df, expand=None).collect()}
+    assert len(whole) == 300 * 299 // 2 + 300
+    heads = {r.id: r["head"] for r in neardup.near_duplicate_members(df).collect()}
+    assert heads["0300"] == "0000" and heads["0001"] == "0001" and heads["9000"] == "9000"
     groups = {r.id: r for r in neardup.near_duplicate_groups(df).collect()}
     assert {groups[f"{k:04d}"].group_id for k in range(0, 900, 3)} == {"0000"} and groups["9000"].group_id == "0000" and groups["0001"].group_id == "0001"
 
@@ -84,3 +87,8 @@ def test_one_subject_holds_most(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
     got = {r.id: r.subject for r in subjects.subject_areas(df, ["id"], "content", rules).collect()}
     assert len(got) == 200 and all(got[k] == ("sea" if k % 3 else "farm") for k in got)
+
+
+def test_a_long_chain_of_links_is_one_component(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(400)], "a long, b long")
+    assert {r["head"] for r in neardup.components(edges).collect()} == {0}

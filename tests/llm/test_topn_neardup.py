@@ -84,13 +84,14 @@ def test_tables_too_large_for_a_task_lose_nothing(spark, monkeypatch):
     a, b, later = neardup._collide(key, np.array([5, 6, 7, 8], dtype=np.int64), second)
     assert not len(a) and len(later) == 3 * neardup.SIDE
     assert usual
+    # the same pairs where every table goes through Spark's join
+    assert set(map(tuple, neardup.near_duplicate_pairs(df, in_task=1).collect())) == usual
 
 
-def test_copies_beyond_the_limit_form_a_star(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPAND", 3)
+def test_copies_beyond_the_limit_form_a_star(spark):
     text = "the same long text about nothing in particular " * 4
     df = spark.createDataFrame([(f"{k}", text) for k in range(6)], "id string, content string")
-    got = {(r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(df).collect()}
+    got = {(r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(df, expand=3).collect()}
     assert got == {("0", str(k)) for k in range(1, 6)}
 
 
