@@ -92,7 +92,7 @@ def root_comments(comments: DataFrame, group: str = "answerid", order: str = "cr
 
 
 def merge_comments(answers: DataFrame, selected: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Comment lists after a fetch.
+    """Comment lists after a fetch.
 
     ``answers``: ``id``, ``comments`` (the earlier list or null); ``selected``: ``id``; ``fetched``: ``id``,
     ``ok``, ``new_comments``. A success replaces (an empty list too); a failure keeps an earlier list of at most
@@ -106,6 +106,15 @@ def merge_comments(answers: DataFrame, selected: DataFrame, fetched: DataFrame)
     )
 
 
+def existing_question(question_id: Column, title: Column) -> Column:
+    """Whether a stored document (``doc``, ``corrupt``, as ``sources.files`` reads them) is a question's own one.
+
+    It must be readable, an object with answers, name the same id, and have the same title; a missing title is no match.
+    """
+    same = (F.col("doc.questionId") == question_id) & (F.col("doc.questionTitle") == title) & F.col("doc.answers").isNotNull()
+    return F.coalesce(~F.col("corrupt") & ~F.col("bare_array") & same, F.lit(False))
+
+
 def topics(value: Column) -> Column:
     """Topics that have both an id and a name; null stays null."""
     return F.filter(value, lambda t: t["topicid"].isNotNull() & t["topicname"].isNotNull())

@@ -1,8 +1,8 @@
-"""A replayed paged source: responses of one question as numbered page files.
+"""A replayed paged source: responses of one question as numbered page files.
 
 Layout: ``<folder>/<question id>/page-<n>.json``, each ``{"data": [...], "paging": {"is_end": bool}}``.
 The reader keeps the rules of the live source: it stops only where a page says so, an empty page without that,
-a page whose first five ids repeat those before, a page that is no list, or more than 300 pages are errors.
+a page whose first five ids repeat those before, a page that is no list, or more than ``cap`` (300) pages of one reading are errors.
 """
 
 from __future__ import annotations
@@ -71,21 +71,21 @@ class _Question(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    def __init__(self, folder: str, cap: int = CAP) -> None:
+        self.folder, self.cap = folder, cap
 
     def partitions(self) -> list[InputPartition]:
         return [_Question(q) for q in sorted(os.listdir(self.folder)) if re.fullmatch(r"[0-9]{1,20}", q)]
 
     def read(self, partition: _Question) -> Iterator[tuple]:
-        yield from read_pages(self.folder, partition.question)
+        yield from read_pages(self.folder, partition.question, cap=self.cap)
 
 
 class _StreamReader(DataSourceStreamReader):
     """The offset is the number of pages of each question that were read; a restart goes on behind it."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    def __init__(self, folder: str, cap: int = CAP) -> None:
+        self.folder, self.cap = folder, cap
 
     def initialOffset(self) -> dict:
         return {"pages": "{}"}
@@ -99,7 +99,7 @@ class _StreamReader(DataSourceStreamReader):
         return [_Question(q, old.get(q, 0), n) for q, n in new.items() if n > old.get(q, 0)]
 
     def read(self, partition: _Question) -> Iterator[tuple]:
-        for row in read_pages(self.folder, partition.question, partition.start):
+        for row in read_pages(self.folder, partition.question, partition.start, self.cap):
             if partition.stop is not None and row[1] >= partition.stop:
                 return
             yield row
@@ -119,10 +119,10 @@ class ReplayPages(DataSource):
         return schemas.PAGE
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("cap", CAP)))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _StreamReader(self.options["path"])
+        return _StreamReader(self.options["path"], int(self.options.get("cap", CAP)))
 
 
 def register(spark: SparkSession) -> None:

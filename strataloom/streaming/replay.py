@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strataloom.operators.ingest import keep_first
-from strataloom.sources.pages import register
+from strataloom.sources.pages import CAP, register
 
 ANSWERS = "id string, questionid string, author string, content string, excerpt string, voteupcount long, commentcount long, createdtime long, updatedtime long, captureseq long"
 
@@ -49,10 +49,10 @@ def merge_batch(table: str):
     return run
 
 
-def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, cap: int = CAP) -> StreamingQuery:
     """A stream that reads all pages that are there and ends; started again with the same checkpoint it goes on."""
     register(spark)
-    pages = spark.readStream.format("replay_pages").option("path", folder).load()
+    pages = spark.readStream.format("replay_pages").option("path", folder).option("cap", cap).load()
     writer = pages.writeStream.foreachBatch(merge_batch(table)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
