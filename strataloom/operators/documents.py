@@ -20,7 +20,10 @@ def _joined(order: str, value: str):
 def answer_blocks(answers: DataFrame, base: str, link_name: str = "回答", site: urls.Site = urls.Site()) -> DataFrame:
     """The block of each answer with its rank by votes (ties in capture order): ``questionid``, ``rank``, ``block``."""
     named = answers.where(F.col("questionid").isNotNull() & F.col("id").isNotNull())
-    ranked = numbered(named, "questionid", [-F.coalesce("voteupcount", F.lit(0)), F.col("captureseq")])
+    # only ids are ranked; the texts join the ranks
+    slim = named.select("questionid", "captureseq", "voteupcount")
+    ranks = numbered(slim, "questionid", [-F.coalesce("voteupcount", F.lit(0)), F.col("captureseq")]).drop("voteupcount")
+    ranked = named.join(ranks, ["questionid", "captureseq"])
     author = tx.escape_markdown(F.when(F.coalesce("author", F.lit("")) == "", ANONYMOUS).otherwise(F.col("author")))
     block = F.concat(
         F.lit("## "), F.col("rank").cast("string"), F.lit(". "), author, F.lit(" — "), F.coalesce("voteupcount", F.lit(0)).cast("string"), F.lit(" 赞 · "),

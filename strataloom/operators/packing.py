@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,15 +138,7 @@ def greedy_pack(df: DataFrame, group: str, order: list[str | Column], length: st
     """
     if max_chars < 1 or max_items < 1:
         raise ValueError("limits must be at least 1")
-    keys = [F.coalesce(F.col(group).cast("string"), F.lit("\x00")).alias("_group"), F.coalesce(_column(length).cast("long"), F.lit(0)).alias("_length")]
-    rows = df.select(F.struct(*df.columns).alias("_row"), *keys, *[_column(c).alias(f"_order{k}") for k, c in enumerate(order)])
-    ranked = [F.col(f"_order{k}") for k in range(len(order))]
-    size = df.count()
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-size // BLOCK_ROWS), min(parallel, -(-size // SMALL_BLOCK)))
-    laid = rows.repartitionByRange(blocks, "_group", *ranked).sortWithinPartitions("_group", *ranked)
-    laid = laid.withColumn("_block", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()).drop(*[f"_order{k}" for k in range(len(order))])
-    laid = written(laid, "blocks")
+    laid = _laid(df, group, order, F.coalesce(_column(length).cast("long"), F.lit(0)).alias("_length"))
     slim = laid.select("_group", "_block", "_pos", "_length")
     summary = slim.groupBy("_block").applyInArrow(_summaries(max_chars, max_items), _SUMMARY)
     states = summary.groupBy("_group").applyInArrow(_states(max_chars, max_items), "_group string, _block int, done long, chars long, count long")
@@ -155,6 +147,19 @@ def greedy_pack(df: DataFrame, group: str, order: list[str | Column], length: st
     return numbered.select("_row.*", F.col("_number").alias(number))
 
 
+def _laid(df: DataFrame, group: str, order: list[str | Column], *more: Column) -> DataFrame:
+    """Rows (``_row``) laid out once by ranges of group and order: ``_group``, ``_block`` and, ascending in a block, ``_pos``."""
+    name = F.coalesce(F.col(group).cast("string"), F.lit("\x00")).alias("_group")
+    rows = df.select(F.struct(*df.columns).alias("_row"), name, *more, *[_column(c).alias(f"_order{k}") for k, c in enumerate(order)])
+    ranked = [F.col(f"_order{k}") for k in range(len(order))]
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = df.count()
+    blocks = max(1, -(-size // BLOCK_ROWS), min(parallel, -(-size // SMALL_BLOCK)))
+    laid = rows.repartitionByRange(blocks, "_group", *ranked).sortWithinPartitions("_group", *ranked)
+    laid = laid.withColumn("_block", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()).drop(*[f"_order{k}" for k in range(len(order))])
+    return written(laid, "blocks")
+
+
 def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -165,5 +170,14 @@ def pack_by_count(df: DataFrame, group: str, order: list[str | Column], size: in
 
 
 def numbered(df: DataFrame, group: str, order: list[str | Column], number: str = "rank") -> DataFrame:
-    """The place of each row in its group, from 1, without one task for a group: volumes of one row each."""
-    return pack_by_count(df, group, order, 1, number)
+    """The place of each row in its group, from 1, without one task for a group.
+
+    Rows are laid out in blocks by group and order, so a group's rows in a block stand one after another: a row's place is its
+    distance from the first of them plus the rows of the group in the blocks before. Only one row for each group of
+    a block is shuffled to know those. ``order`` must be unique in a group; a null group is a group.
+    """
+    laid = _laid(df, group, order)
+    part = laid.groupBy("_group", "_block").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = F.coalesce(F.sum("_rows").over(Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = part.withColumn("_before", earlier).drop("_rows")
+    return laid.join(places, ["_group", "_block"]).select("_row.*", (F.col("_pos") - F.col("_first") + F.col("_before") + 1).alias(number))

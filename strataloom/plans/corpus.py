@@ -603,26 +603,26 @@ def render_comments(spark, folder):
 @query
 def code_projection_answers(spark, folder):
     """K1"""
-    return load(spark, folder, "answers").where(F.contains("content", F.lit("<pre"))).select("captureseq", html.project_code(html.rich_markdown(F.col("content"), F.col("id"))).alias("text"))
+    return load(spark, folder, "answers").where(F.contains(F.lower("content"), F.lit("<pre"))).select("captureseq", html.project_code(html.rich_markdown(F.col("content"), F.col("id"))).alias("text"))
 
 
 @query
 def extract_assets_answers(spark, folder):
     """H15, H50-H56, K4"""
-    return load(spark, folder, "answers").where(F.contains("content", F.lit("<"))).select("captureseq", html.extract_assets(F.col("content")).alias("a")).select("captureseq", "a.*")
+    return load(spark, folder, "answers").where(F.contains(F.lower("content"), F.lit("<"))).select("captureseq", html.extract_assets(F.col("content")).alias("a")).select("captureseq", "a.*")
 
 
 @query
 def image_counts_answers(spark, folder):
     """H51, H52"""
-    got = load(spark, folder, "answers").where(F.contains("content", F.lit("<img"))).select("captureseq", html.extract_assets(F.col("content")).alias("a"))
+    got = load(spark, folder, "answers").where(F.contains(F.lower("content"), F.lit("<img"))).select("captureseq", html.extract_assets(F.col("content")).alias("a"))
     return got.select("captureseq", F.size("a.images").alias("images"), F.size(F.filter("a.images", lambda x: x["clickable"])).alias("clickable"))
 
 
 @query
 def code_blocks_answers(spark, folder):
     """H15, H55"""
-    got = load(spark, folder, "answers").where(F.contains("content", F.lit("<pre"))).select("captureseq", html.extract_assets(F.col("content")).alias("a"))
+    got = load(spark, folder, "answers").where(F.contains(F.lower("content"), F.lit("<pre"))).select("captureseq", html.extract_assets(F.col("content")).alias("a"))
     return got.select("captureseq", F.size("a.code_blocks").alias("blocks"), F.aggregate("a.code_blocks", F.lit(0).cast("long"), lambda n, c: n + c["lines"]).alias("lines"))
 
 
@@ -635,7 +635,7 @@ def classify_answer_urls(spark, folder):
 @query
 def classify_urls_documents(spark, folder):
     """H22, H23, H24"""
-    rows = load(spark, folder, "documents").where(F.contains("text", F.lit("http"))).select("doc_id", F.explode(urls.bare_urls(F.col("text"))).alias("url"))
+    rows = load(spark, folder, "documents").where(F.contains(F.lower("text"), F.lit("http"))).select("doc_id", F.explode(urls.bare_urls(F.col("text"))).alias("url"))
     got = rows.select("doc_id", "url", urls.url_class(F.col("url")).alias("c"))
     return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("urls"), F.count_if(F.coalesce("c.clickable", F.lit(False))).cast("long").alias("clickable"))
 
@@ -655,7 +655,7 @@ def digest_document(spark, folder):
     """B7, H70"""
     _, _, maps, _ = _digest(spark, folder)
     seq = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long")
-    merged = merge.merge_claims(_claims(spark, folder), _sources(spark, folder)).withColumn("evidence", F.slice("evidence", 1, 5))
+    merged = merge.merge_claims(_claims(spark, folder), _sources(spark, folder))
     doubts = merge.distinct_in_order(maps.select(seq.alias("seq"), F.explode("uncertainties").alias("uncertainty")), "uncertainty")
     views = doubts.where(F.lit(False)).withColumnRenamed("uncertainty", "minority_view")
     return documents.digest_document(merged, views, doubts, 10, 2)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions import text as tx
+from strataloom.operators import ingest, packing
 from strataloom.plans.corpus import QUERIES, load
 from strataloom.shared import shared_folder
 from strataloom.sources import files, lookups, pages
@@ -45,9 +45,9 @@ def _store(bodies: DataFrame, folder: str) -> str:
 
 
 def _placed(spark: SparkSession, folder: str, size: int) -> DataFrame:
-    """Answers with the part of their question they belong to, by the order of their capture (row numbers of ids and numbers only)."""
-    place = F.row_number().over(Window.partitionBy("questionid").orderBy("captureseq")) - 1
-    keys = load(spark, folder, "answers").where("questionid is not null and id is not null").select("questionid", "captureseq").withColumn("_place", place)
+    """Answers with the part of their question they belong to, by the order of their capture (only ids are numbered)."""
+    ids = load(spark, folder, "answers").where("questionid is not null and id is not null").select("questionid", "captureseq")
+    keys = packing.numbered(ids, "questionid", ["captureseq"], "_place").withColumn("_place", F.col("_place") - 1)
     return load(spark, folder, "answers").join(keys, ["questionid", "captureseq"]).withColumn("part", F.floor(F.col("_place") / size).cast("int"))
 
 
@@ -66,9 +66,7 @@ def stored_questions(spark, folder):
     """Documents of both shapes, with corrupt ones as marked rows, and whether each is the question it should be"""
     place = _store(_stored_documents(spark, folder), _folder(spark, "documents"))
     got = files.question_documents(spark, [place], skip_corrupt=True)
-    from strataloom.operators.ingest import existing_question
-
-    same = existing_question(F.col("directory"), F.concat(F.lit("T"), "directory"))
+    same = ingest.existing_question(F.col("directory"), F.concat(F.lit("T"), "directory"))
     return got.select(F.regexp_extract("path", "/p([0-9]+)/[^/]+/answers.json$", 1).cast("int").alias("part"), "question_id", "bare_array", "corrupt", F.size("doc.answers").alias("answers"), same.alias("same"))
 
 
