@@ -109,7 +109,7 @@ def format_time_answers(spark, folder):
 @query
 def numeric_props_events(spark, folder):
     """H61, H66"""
-    amount = F.get_json_object("props", "$.v")
+    amount = F.get_json_object("props", "$.k")
     return load(spark, folder, "events").select("event_id", tx.numeric_or(amount, -1.0).alias("v"))
 
 

@@ -269,3 +269,5 @@ SQL: dict[str, str] = {
     "code_blocks_answers": r"""SELECT captureseq, CAST(len(b) AS INTEGER) AS blocks, CAST(list_sum(list_transform(b, lambda x: CASE WHEN x = '' THEN 0 ELSE 1 + length(x) - length(replace(x, chr(10), '')) END)) AS BIGINT) AS lines
         FROM (SELECT captureseq, regexp_extract_all(content, '(?s)<pre[^>]*><code[^>]*>(.*?)</code>', 1) AS b FROM answers WHERE content LIKE '%<pre%')""",
 }
+
+SQL["numeric_props_events"] = "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), -1.0) AS v FROM events"

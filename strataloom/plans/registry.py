@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import corpus, oracles, stored
+from strataloom.plans import composed, corpus, oracles, stored
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,4 +17,4 @@ def queries() -> dict[str, corpus.Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**oracles.SQL, **stored.SQL}
+    return {**oracles.SQL, **stored.SQL, **composed.SQL}
