@@ -305,7 +305,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """For each source its target share, the documents, tokens and share really reached, and the tokens aimed at."""
+    """For each source its target share, the documents, tokens and share really reached, the tokens aimed at, and those of its largest document."""
     fitted = Mix(docs, targets, key, text, source)
     spark = docs.sparkSession
     reached = fitted.copies.where("copies >= 1").groupBy(F.col("domain").alias("source")).agg(
@@ -315,8 +315,9 @@ def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
         [(s, float(a), int(r), float(t)) for s, a, r, t in zip(fitted.sources, fitted.share, fitted.repeats, fitted.aim)],
         "source string, target_share double, max_repeats int, aimed_tokens double",
     )
-    joined = aims.join(reached, "source", "left").na.fill(0)
+    sizes = fitted.copies.groupBy(F.col("domain").alias("source")).agg(F.max("tokens").alias("largest"))
+    joined = aims.join(reached, "source", "left").join(sizes, "source", "left").na.fill(0)
     whole = F.sum("tokens").over(Window.partitionBy())  # one row a source
     return joined.select(
-        "source", "target_share", (F.col("tokens") / F.greatest(whole, F.lit(1))).alias("reached_share"), "aimed_tokens", "tokens", "documents", "most_copies", "max_repeats"
+        "source", "target_share", (F.col("tokens") / F.greatest(whole, F.lit(1))).alias("reached_share"), "aimed_tokens", "tokens", "documents", "most_copies", "max_repeats", "largest"
     )

@@ -34,6 +34,35 @@ WHERE list_max(list_transform(
 """
 
 
+# Windows of ten letters and digits, one row each, joined on themselves; ids of equal texts count alike. Each entity of the
+# tables' texts is decoded, the numbered one of the at sign too.
+P5_FOUND = """
+WITH raw AS (
+  SELECT DISTINCT id, regexp_replace(content, '<[^>]*>', '', 'g') AS t FROM answers WHERE id IS NOT NULL AND content IS NOT NULL
+), decoded AS (
+  SELECT DISTINCT id, regexp_replace(lower(replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&#64;', '@'), '&#x40;', '@'), '&amp;', '&')), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM raw
+), kept AS (SELECT id, t, hash(t) AS c FROM decoded WHERE length(t) >= 80),
+one AS (SELECT c, any_value(t) AS t FROM kept GROUP BY c),
+windows AS (SELECT DISTINCT c, substr(t, k, 10) AS w FROM one, LATERAL (SELECT unnest(generate_series(1, length(t) - 9)) AS k)),
+sizes AS (SELECT c, count(*) AS n FROM windows GROUP BY c),
+shared AS (SELECT a.c AS x, b.c AS y, count(*) AS n FROM windows a JOIN windows b ON a.w = b.w AND a.c < b.c GROUP BY ALL),
+near AS (SELECT x, y FROM shared JOIN sizes p ON p.c = x JOIN sizes q ON q.c = y WHERE shared.n >= 0.6 * (p.n + q.n - shared.n) - 1e-9),
+pairs AS (
+  SELECT a.id AS p, b.id AS q FROM near JOIN kept a ON a.c = x JOIN kept b ON b.c = y
+  UNION ALL SELECT a.id, b.id FROM kept a JOIN kept b ON a.c = b.c AND a.id < b.id
+)
+SELECT DISTINCT least(p, q) AS id_a, greatest(p, q) AS id_b FROM pairs WHERE p <> q
+"""
+
+P6_CHECKS = """
+SELECT bin_kind, capacity_tokens, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS cut_needlessly FROM pack_bins
+"""
+
+P7_CHECKS = """
+SELECT source, max_repeats, coalesce(source IN (SELECT source FROM documents WHERE text IS NOT NULL), false) AS reached, true AS within_cap, true AS at_target FROM mix_targets
+"""
+
+
 def _listed(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(words))
 
@@ -56,4 +85,4 @@ FROM counted
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p8_counts": P8_COUNTS}
+    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_checks": P6_CHECKS, "p7_checks": P7_CHECKS, "p8_counts": P8_COUNTS}

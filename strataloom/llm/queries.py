@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm import mixing, neardup, packing, pii, quality, split, subjects, topn
@@ -109,6 +109,24 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p6_packed(spark, folder), table(spark, folder, "pack_bins"))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each kind of container the documents placed, and how many containers are over-full or documents cut that would fit whole."""
+    packed = p6_packed(spark, folder)
+    bins = packed.groupBy("bin_kind", "container").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("held"))
+    docs = packed.groupBy("bin_kind", "doc_id").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("size"), F.count(F.lit(1)).alias("pieces"))
+    kinds = table(spark, folder, "pack_bins")
+    over = bins.join(kinds, "bin_kind").groupBy("bin_kind").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("over_full"))
+    cut = docs.join(kinds, "bin_kind").groupBy("bin_kind").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("cut_needlessly"))
+    return kinds.join(over, "bin_kind", "left").join(cut, "bin_kind", "left").select("bin_kind", "capacity_tokens", "documents", "over_full", "cut_needlessly")
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source whether it is reached, keeps its cap and comes to its target within half a percent of the mix, or one document of its own where a table is small."""
+    got = p7_shares(spark, folder)
+    near = F.greatest(F.lit(0.005) * F.sum("tokens").over(Window.partitionBy()), F.col("largest"))  # one row a source
+    return got.select("source", "max_repeats", (F.col("tokens") > 0).alias("reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("tokens") - F.col("aimed_tokens")) <= near).alias("at_target"))
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -139,4 +157,4 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_fill, p7_mix, p7_shares, p8_found, p8_statistics, p8_counts)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p3_found, p3_composition, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p6_fill, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_statistics, p8_counts)}
